@@ -74,5 +74,22 @@ def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def slices(batch, col: str, most: int):
+    """Slices of an Arrow batch of at most about `most` characters (or list entries) of a column, so that memory stays bounded."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    values = batch.column(col)
+    lengths = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    start = total = 0
+    for i, n in enumerate(pc.fill_null(lengths, 0).to_pylist()):
+        if total and total + n > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

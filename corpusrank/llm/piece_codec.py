@@ -13,16 +13,14 @@ Defined cases: a null text counts as empty; an empty text has the end id alone a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import drop_columns
+from .common import drop_columns, slices
 
-#: Text of a slice, in characters, and distinct words that a task remembers between slices.
+#: Text of a slice, in bytes, and distinct words that a task remembers between slices.
 SLICE_CHARS = 8_000_000
 WORDS_KEPT = 300_000
 _MARK = "▁"
@@ -101,27 +99,14 @@ class WordTable:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def _slices(batch: pa.RecordBatch, col: str, size) -> Iterator[pa.RecordBatch]:
-    start = total = 0
-    for i, n in enumerate(size(batch.column(col))):
-        if total and total + n > SLICE_CHARS:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def encode(df: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """df with ids_col array<int>: the ids of text_col and the end id. model: a path that every executor can open."""
     check_model(_processor(model))
 
     def run(batches):
-        import pyarrow.compute as pc
-
         tab = WordTable(_processor(model))
         for batch in batches:
-            for part in _slices(batch, text_col, lambda c: pc.fill_null(pc.utf8_length(c), 0).to_pylist()):
+            for part in slices(batch, text_col, SLICE_CHARS):
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, tab.encode(texts)], [*part.schema.names, ids_col])
 
@@ -133,11 +118,9 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", text_col: str = "dec
     """df with text_col: the text that the library decodes from ids_col (null ids: empty)."""
 
     def run(batches):
-        import pyarrow.compute as pc
-
         sp = _processor(model)
         for batch in batches:
-            for part in _slices(batch, ids_col, lambda c: pc.fill_null(pc.list_value_length(c), 0).to_pylist()):
+            for part in slices(batch, ids_col, SLICE_CHARS // 3):
                 ids = [x or [] for x in part.column(ids_col).to_pylist()]
                 texts = sp.decode(ids, num_threads=1) if ids else []
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])

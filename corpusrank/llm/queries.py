@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, piece_codec, secret_scan, url_filter
-from .common import table, text_of
+from . import exact_dedup, jaccard_join, lm_scoring, media, mixing, piece_codec, quality, secret_scan, sharding, url_filter
+from .common import scratch_path, table, text_of
 
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
@@ -25,6 +25,34 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+QUALITY_LEAST = 0.3
+ARRIVALS = 4
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, scratch_path(spark, "shards"))
+    arrival = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % ARRIVALS
+    for i in range(ARRIVALS):  # every row arrives in one of the appends
+        store.append(docs.where(arrival == i))
+    store.compact()
+    store.vacuum()
+    rows = sum(r["rows"] for r in store.manifest()["runs"])
+    body = text_of("text")
+    return store.read().select(
+        "doc_id", "lang", "source", "n_chars", F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("text_sha256"),
+        F.lit(rows).cast("long").alias("manifest_rows"),
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(quality.fold_of("doc_id") == 0, F.lit(False))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -41,6 +69,10 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.JaccardJoin(table(spark, sf_dir, "documents").select("doc_id", "text")).classes()
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.find_secrets(docs).select("doc_id", "secrets")
@@ -62,8 +94,28 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).taken()
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = media.MediaStore.write(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = media.with_feature(store.payloads())
+    return rows.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring.WordModel(docs, piece_model()).score(docs)
+
+
+_ALL = (
+    op1_sharding, op2_quality, op3_url_filter, op4_piece_codec, op5_jaccard_join, op6_secret_scan, op7_exact_dedup, op8_mixing, op9_media, op10_lm_scoring,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_piece_codec, op6_secret_scan, op7_exact_dedup, op8_mixing)}
+    return {f.__name__: f for f in _ALL}
 
 
 _HOST = "coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
@@ -85,6 +137,10 @@ def _url_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_sharding": """
+            SELECT doc_id, lang, source, n_chars, strlen(coalesce(text, '')) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256,
+                   count(*) OVER () AS manifest_rows
+            FROM documents""",
         "op3_url_filter": _url_sql(),
         "op7_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
