@@ -14,7 +14,7 @@ Links are needed to find components, so a group of n sets that share a key is ne
 1. Each set of a key is paired with the key's smallest id (tasks combine their own sets first, so a key that
    a third of all sets share is a few rows for each task). Verified pairs give components.
 2. Keys that still join different components are paired across components only, behind exact upper bounds
-   (sizes, and shared counts in HISTOGRAM classes of shingles). Verified pairs join those components.
+   (sizes, shingles that no other set has, and counts by classes of shingles). Verified pairs join those components.
 Every pair that shares a key is then verified, or in one component already, so no component is missed.
 
 Verification intersects the whole sets. Shingles stand for their words by 64-bit hashes; two of the
@@ -27,10 +27,12 @@ sets is; rows with a null id link with nothing and have a null component.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +43,14 @@ from .components import connected_components
 WORDS = 5
 PERCENT = 80
 SLICE_BYTES = 8_000_000
-HISTOGRAM = 32
 #: Shingles in at least 1 / COMMON_SHARE of all places count as common; so at most COMMON_SHARE of them are broadcast.
 COMMON_SHARE = 500_000
 #: Chance that a shingle of one set is in another set, as the cost model assumes it.
-REPEAT = 0.05
+REPEAT = 0.01
 BROADCAST_ROWS = 500_000
+#: Keys of more open sets than this are first relieved of sets that can have no partner there.
+LARGE_KEY = 48
+FAMILY_BLOCK = 1024
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -102,7 +106,7 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Band:
-    """Sets of sizes low to high, which includes partners of up to 1/0.8 times sizes under `next_low`.
+    """Sets of sizes low to high: those under next_low, and their partners of up to 1/0.8 times as many.
 
     With m segments, of which the first w are wide, and a pair that differs in at most H shingles: if no wide
     segment of one set is equal to, or one deletion from, that of the other, each holds two differences or
@@ -113,38 +117,56 @@ class Band:
 
     number: int
     low: int
+    next_low: int
     high: int
-    segments: int
-    wide: int
-
-    def most_differences(self, size: int) -> int:
-        return most_differences(size)
-
-
-def most_differences(size: int) -> int:
-    """The largest symmetric difference of a set of this size with a partner: |union| <= size * 100 / 80."""
-    return size * (100 - PERCENT) // PERCENT
-
-
-def allocate(number: int, low: int, high: int, docs: int) -> Band:
-    """The cheapest plan by cost: keys that a set of the band's middle size indexes, and chance pairs they give."""
-    most = most_differences(high)
-    size = (low + high) / 2
-    best = None
-    for wide in range(0, (most + 1) // 2 + 2):
+    segments: int = 1
+    wide: int = 0
+
+    def most_differences(self, size):
+        """The largest symmetric difference of a set of this size with a partner in the band (also for arrays).
+
+        100 |shared| >= 80 |union| gives difference * 80 <= size * 20 and difference * 180 <= (size + partner's size) * 20;
+        partners of sets of next_low and more are under next_low.
+        """
+        by_own = size * (100 - PERCENT) // PERCENT
+        by_both = (size + self.next_low - 1) * (100 - PERCENT) // (100 + PERCENT)
+        return np.where(np.asarray(size) < self.next_low, by_own, np.minimum(by_own, by_both))
+
+
+def _chance(size: int, segments: int, keep: float, deletions: bool) -> tuple[float, float]:
+    """(keys, chance pairs for each other set) of one of the segments of a set, of which the fullest share `keep` is indexed."""
+    if segments == 1:
+        return (size + 1 if deletions else 1), REPEAT**size + (size * REPEAT ** (size - 1) if deletions else 0)
+    keys = pairs = 0.0
+    p = (1 - 1 / segments) ** size
+    below = 1.0 - keep  # the emptiest segments are passed over
+    for n in range(min(size, 64) + 1):
+        here = max(0.0, p - below)
+        below = max(0.0, below - p)
+        keys += here * (n + 1 if deletions else 1)
+        pairs += here * (REPEAT**n + (n * REPEAT ** (n - 1) if deletions and n else 0))
+        p *= (size - n) / ((n + 1) * (segments - 1))
+    return keys, pairs
+
+
+def allocate(band: Band, docs: int) -> Band:
+    """The band with its cheapest plan by cost: keys that sets of its sizes index, and chance pairs that they give."""
+    sizes = sorted({band.low, (band.low + band.next_low) // 2, band.next_low - 1, band.high})
+    needs = {n: int(band.most_differences(n)) for n in sizes}
+    most, best = max(int(band.most_differences(n)) for n in (band.next_low - 1, band.high)), None
+    for wide in range(0, min((most + 2) // 2, 64) + 1):
         exact = max(0, most + 1 - 2 * wide)
-        segments = wide + (exact + max(1, exact // 5) if exact else 0)
-        if segments < 1:
-            continue
-        held = size / segments
-        keys = wide * (held + 1) + exact
-        chance = docs * (wide * REPEAT ** max(0.0, held - 1) + exact * REPEAT**held)
-        cost = keys + chance
-        if best is None or cost < best[0]:
-            best = (cost, segments, wide)
-        if high > 512 and wide:  # wide segments of long sets cost more keys than they can save
-            break
-    return Band(number, low, high, best[1], best[2])
+        for spare in (0.1, 0.2, 0.35, 0.5, 0.8) if exact else (0.0,):
+            segments = wide + exact + math.ceil(exact * spare)
+            cost = 0.0
+            for size, need in needs.items() if segments else ():
+                k, c = _chance(size, segments, 1.0, True)
+                share = max(0, need + 1 - 2 * wide) / max(1, segments - wide)
+                ke, ce = _chance(size, segments, share, False)
+                cost += wide * (k + docs * c) + (segments - wide) * (ke + docs * ce)
+            if segments and (best is None or cost < best[0]):
+                best = (cost, segments, wide)
+    return replace(band, segments=best[1], wide=best[2])
 
 
 def bands_for(counts: dict[int, int]) -> list[Band]:
@@ -155,7 +177,7 @@ def bands_for(counts: dict[int, int]) -> list[Band]:
         high = max(low, (next_low - 1) * 100 // PERCENT)
         docs = counts.get(e, 0) + counts.get(e + 1, 0)
         if docs:
-            out.append(allocate(e, low, high, docs))
+            out.append(allocate(Band(e, low, next_low, high), docs))
     return out
 
 
@@ -181,7 +203,7 @@ def _index_keys(sets: list[np.ndarray], band: Band, common: np.ndarray) -> tuple
             mine = seg < w
             docs.append(of[mine])
             out.append(mix(sums[at[mine]] - mixed[mine] + salt[seg[mine]]))
-        need = sizes * (100 - PERCENT) // PERCENT + 1 - 2 * w
+        need = band.most_differences(sizes) + 1 - 2 * w
         if m > w and (need > 0).any():
             rare = np.bincount(at[~_found(h, common)], minlength=len(sums))
             doc, part = np.divmod(np.arange(len(sums)), m)
@@ -216,8 +238,25 @@ def index_keys(sets: list[np.ndarray], bands: list[Band], common: np.ndarray) ->
     return np.concatenate(docs), np.concatenate(keys)
 
 
-def histogram(s: np.ndarray) -> list[int]:
-    return np.bincount((s >> _U(59)).astype(np.int64), minlength=HISTOGRAM).tolist()
+def sketch(s: np.ndarray) -> bytes | None:
+    """Counts of the shingles by their first bits, one byte for each of about as many classes as shingles; None if a count needs more."""
+    bits = min(12, max(5, len(s).bit_length() - 1))
+    counts = np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def shared_at_most(one: list[bytes | None], two: list[bytes | None], n: np.ndarray) -> np.ndarray:
+    """Upper bounds of the intersections of pairs by their sketches; n: the bounds of pairs that lack one."""
+    out = n.astype(np.int64)
+    for i, (a, b) in enumerate(zip(one, two, strict=True)):
+        if a is not None and b is not None:
+            x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+            if len(x) > len(y):
+                x, y = y, x
+            if len(x) < len(y):
+                y = y.reshape(len(x), -1).sum(1)
+            out[i] = np.minimum(x, y).sum(dtype=np.int64)
+    return out
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -301,16 +340,16 @@ def _sized(x: DataFrame) -> DataFrame:
 
 
 def active_sets(df: DataFrame, ids: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """id, n, shingles, shared-count histogram of the documents in ids."""
+    """id, n, shingles and sketch of the documents in ids."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")).join(_sized(ids), "id", "left_semi")
 
     def run(batches):
         for part in _tables(batches, "_t"):
             sets = [shingle_set(t) for t in part.column("_t").to_pylist()]
-            cols = [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([histogram(s) for s in sets], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "shingles", "histogram"])
+            cols = [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "shingles", "sketch"])
 
-    out = rows.mapInArrow(run, "id long, n long, shingles array<long>, histogram array<int>")
+    out = rows.mapInArrow(run, "id long, n long, shingles array<long>, sketch binary")
     return materialize(out.dropDuplicates(["id", "n", "shingles"]), "jaccard-sets")
 
 
@@ -318,14 +357,31 @@ def _may_link(na: Column, nb: Column) -> Column:
     return (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT)
 
 
+def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches do not rule out."""
+    small = sets.select("id", "n", "sketch")
+    one, two = small.toDF("a", "_na", "_ka"), small.toDF("b", "_nb", "_kb")
+    both = join_hot(pairs, two, "b").join(one, "a").where(_may_link(F.col("_na"), F.col("_nb")))
+
+    def run(batches):
+        for p in batches:
+            n = p.column("_na").to_numpy() + p.column("_nb").to_numpy()
+            most = shared_at_most(p.column("_ka").to_pylist(), p.column("_kb").to_pylist(), n)
+            yield p.filter(pa.array(most * 100 >= (n - most) * PERCENT)).select(["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with intersection * 100 >= union * 80, by intersecting the whole sets.
 
-    A hot document (the centre of a large star) meets its pairs by broadcast of at most HOT_KEYS sets.
+    Cheap exact bounds come first. A hot document (the centre of a large star) meets its pairs by broadcast of
+    at most HOT_KEYS sets.
     """
+    pairs = materialize(_sketched(pairs, sets), "jaccard-maybe")
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("shingles").alias("_sa"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("shingles").alias("_sb"))
-    both = join_hot(pairs, two, "b").join(one, "a").where(_may_link(F.col("_na"), F.col("_nb")))
+    both = join_hot(pairs, two, "b").join(one, "a")
     shared = F.size(F.array_intersect("_sa", "_sb"))
     good = shared * 100 >= (F.col("_na") + F.col("_nb") - shared) * PERCENT
     return both.where(good).select("a", "b").distinct()
@@ -344,19 +400,74 @@ def cross_pairs(sets: DataFrame, labels: DataFrame, bands: list[Band], common: n
             yield pa.RecordBatch.from_arrays(cols, ["key", "id", "component"])
 
     keyed = rows.mapInArrow(run, "key long, id long, component long")
-    mixed = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    mixed = materialize(mixed, "jaccard-mixed")
-    if mixed.isEmpty():
+    open_ = materialize(_open_keys(keyed), "jaccard-open")
+    if open_.isEmpty():
         return sets.sparkSession.createDataFrame([], "a long, b long")
-    small = sets.select("id", "n", "histogram")
-    left = materialize(keyed.join(_sized(mixed), "key").distinct(), "jaccard-open").join(small, "id")
-    other = left.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "component", "n", "histogram")])
-    most = F.aggregate(F.zip_with("histogram", "o_histogram", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
-    may = most * 100 >= (F.col("n") + F.col("o_n") - most) * PERCENT
-    on = (F.col("component") != F.col("o_component")) & (F.col("id") > F.col("o_id")) & _may_link(F.col("n"), F.col("o_n")) & may
+    large = materialize(open_.groupBy("key").count().where(F.col("count") > LARGE_KEY).select("key"), "jaccard-large")
+    pairs = _pairs_of_keys(open_.join(_sized(large), "key", "left_anti"), sets)
+    if large.isEmpty():
+        return pairs
+    # a shingle that one set alone has among all sets of large keys is shared with no partner there
+    crowd = open_.join(_sized(large), "key", "left_semi")
+    ids = materialize(crowd.select("id").distinct(), "jaccard-crowd")
+    each = sets.join(_sized(ids), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+    lone = each.groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("lone"))
+    facts = sets.select("id", "n", "sketch").join(_sized(ids), "id", "left_semi").join(lone, "id", "left")
+    facts = facts.withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    facts = materialize(facts.where(F.col("m") * 100 >= F.col("n") * PERCENT), "jaccard-facts")
+    crowd = materialize(_open_keys(crowd.join(_sized(facts.select("id")), "id", "left_semi")), "jaccard-crowded")
+    return pairs.unionByName(_pairs_of_families(crowd, facts)).distinct()
+
+
+def _open_keys(keyed: DataFrame) -> DataFrame:
+    """Rows (key, id, component) of the keys that hold several components."""
+    several = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return keyed.join(_sized(materialize(several, "jaccard-several")), "key", "left_semi").distinct()
+
+
+def _pairs_of_keys(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct (a, b), a > b, of rows of a key in different components that may link by their sizes. Keys are small here."""
+    left = rows.join(_sized(sets.select("id", "n")), "id")
+    other = left.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "component", "n")])
+    on = (F.col("component") != F.col("o_component")) & (F.col("id") > F.col("o_id")) & _may_link(F.col("n"), F.col("o_n"))
     return left.join(other, "key").where(on).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
 
 
+def _pairs_of_families(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Distinct (a, b), a > b, of sets that large keys connect, in different components, that no upper bound rules out.
+
+    A family (sets connected by keys) is dealt into blocks, and a task compares two blocks of at most about
+    FAMILY_BLOCK sets: each pair is met once however many keys it shares, and only what may link is returned.
+    """
+    least = rows.groupBy("key").agg(F.min("id").alias("b"))
+    stars = rows.join(least, "key").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+    family = connected_components(stars).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    members = rows.select("id", "component").distinct().join(family, "id").join(facts, "id")
+    members = materialize(members, "jaccard-members")
+    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).alias("blocks"))
+    dealt = members.join(_sized(blocks), "family").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+
+    def compare(key, g):
+        ids, part, n, m = (g[c].to_numpy() for c in ("id", "component", "n", "m"))
+        mine = np.flatnonzero(g["own"].to_numpy() == key[1])
+        theirs = mine if key[1] == key[2] else np.flatnonzero(g["own"].to_numpy() == key[2])
+        most = np.minimum(m[mine][:, None], m[theirs][None, :])
+        total = n[mine][:, None] + n[theirs][None, :]
+        may = (part[mine][:, None] != part[theirs][None, :]) & (most * 100 >= (total - most) * PERCENT)
+        if key[1] == key[2]:
+            may &= ids[mine][:, None] > ids[theirs][None, :]
+        x, y = np.nonzero(may)
+        x, y, sketches = mine[x], theirs[y], g["sketch"].tolist()
+        most = shared_at_most([sketches[i] for i in x], [sketches[i] for i in y], np.minimum(m[x], m[y]))
+        keep = most * 100 >= (n[x] + n[y] - most) * PERCENT
+        a, b = ids[x[keep]], ids[y[keep]]
+        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return dealt.groupBy("family", "p", "q").applyInPandas(compare, "a long, b long")
+
+
 class JaccardJoin:
     """Sizes, verified links and components of a table of documents, made once."""
 
