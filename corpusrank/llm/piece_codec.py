@@ -13,6 +13,8 @@ Defined cases: a null text counts as empty; an empty text has the end id alone a
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +23,8 @@ from pyspark.sql import types as T
 from .common import drop_columns, slices
 
 #: Text of a slice, in bytes, and distinct words that a task remembers between slices.
-SLICE_CHARS = 8_000_000
-WORDS_KEPT = 300_000
+SLICE_CHARS = 2_000_000
+WORDS_KEPT = 120_000
 _MARK = "▁"
 
 
@@ -84,21 +86,28 @@ class WordTable:
         got = self.sp.encode(new, num_threads=1) if new else []
         got = [[self.lone] if w == _MARK else g for w, g in zip(new, got, strict=True)]
         self.lens += map(len, got)
-        self.parts.append(np.fromiter((i for g in got for i in g), np.int32))
+        self.parts.append(np.fromiter(chain.from_iterable(got), np.int32))
         self.parts = [np.concatenate(self.parts)]
         # an end id for each text stands as one more word after its last
         ids, lens = np.append(self.parts[0], np.int32(self.end)), np.array([*self.lens, 1])
         starts = np.cumsum(lens) - lens
-        place, end = self.place.__getitem__, len(self.lens)
-        at = np.fromiter((p for ws in words for p in (*map(place, ws), end)), np.int64)
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
+        at = np.insert(at, np.cumsum(counts), len(self.lens))
         n = lens[at]
         ends = np.cumsum(n)
         flat = ids[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum([len(ws) + 1 for ws in words]) - 1
+        last = np.cumsum(counts + 1) - 1
         offsets = np.concatenate([[0], ends[last]]) if words else np.zeros(1)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """Python lists of a list column (to_pylist makes an object for each value first)."""
+    flat, ends = column.flatten().to_numpy().tolist(), np.cumsum(column.value_lengths().fill_null(0).to_numpy())
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def encode(df: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """df with ids_col array<int>: the ids of text_col and the end id. model: a path that every executor can open."""
     check_model(_processor(model))
@@ -121,7 +130,7 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", text_col: str = "dec
         sp = _processor(model)
         for batch in batches:
             for part in slices(batch, ids_col, SLICE_CHARS // 3):
-                ids = [x or [] for x in part.column(ids_col).to_pylist()]
+                ids = _lists(part.column(ids_col))
                 texts = sp.decode(ids, num_threads=1) if ids else []
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])
 
