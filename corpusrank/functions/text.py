@@ -86,9 +86,14 @@ def char_ngrams(c: Column, n: int = 3, head: int | None = None) -> Column:
     """Distinct character n-grams (none if the text is shorter), of the first `head` characters or the whole text."""
     c = F.coalesce(c, F.lit(""))
     c = F.left(c, F.lit(head)) if head else c
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(chars, i, n), ""))
-    return F.when(F.size(chars) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(x: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(x) - (n - 1), F.lit(1)))
+        made = F.transform(at, lambda i: F.array_join(F.slice(x, i, n), ""))
+        return F.when(F.size(x) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    # a transform over one entry binds the characters, so that they are split once
+    return F.transform(F.array(F.filter(F.split(c, ""), lambda x: x != "")), grams)[0]
 
 
 def truncate_at_boundary(c: Column, most: Column | int, marks: tuple[str, ...] = ("\n", "。", "；", "！", "？")) -> Column:
