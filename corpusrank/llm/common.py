@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize, scratch_path, shared_dir
+
 #: Words, as every operator here counts them.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,29 +15,6 @@ HOT_KEYS = 256
 HOT_LEAST = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local session that names none gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corpusrank.scratch", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="corpusrank-")
-    spark.conf.set("corpusrank.scratch", own)
-    return own
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_of(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -91,5 +67,8 @@ def slices(batch, col: str, most: int):
         yield batch.slice(start)
 
 
+__all__ = ["ascii_lower", "drop_columns", "hot_keys", "join_hot", "materialize", "scratch_path", "shared_dir", "slices", "table", "text_of"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -350,7 +350,7 @@ def active_sets(df: DataFrame, ids: DataFrame, text_col: str, id_col: str) -> Da
             yield pa.RecordBatch.from_arrays(cols, ["id", "n", "shingles", "sketch"])
 
     out = rows.mapInArrow(run, "id long, n long, shingles array<long>, sketch binary")
-    return materialize(out.dropDuplicates(["id", "n", "shingles"]), "jaccard-sets")
+    return materialize(out, "jaccard-sets")  # rows that repeat an id give a pair several times; pairs are made distinct
 
 
 def _may_link(na: Column, nb: Column) -> Column:
@@ -379,6 +379,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     at most HOT_KEYS sets.
     """
     pairs = materialize(_sketched(pairs, sets), "jaccard-maybe")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = sets.join(_sized(materialize(ids, "jaccard-needed")), "id", "left_semi")
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("shingles").alias("_sa"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("shingles").alias("_sb"))
     both = join_hot(pairs, two, "b").join(one, "a")
