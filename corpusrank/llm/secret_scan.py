@@ -79,11 +79,20 @@ def _keep(value: Column, rule: str) -> Column:
     return F.lit(True)
 
 
+def _bind(f, **values: Column) -> Column:
+    """f of a struct of the values, each computed once (a column used twice in an expression is computed twice)."""
+    return F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), f)[0]
+
+
 def _tail(z: Column) -> Column:
     """Upper tail of the standard normal distribution (rational approximation, error under 1e-7), z >= 0."""
-    t = 1 / (1 + 0.2316419 * z)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.least(F.lit(1.0), F.greatest(F.lit(1e-300), poly * F.exp(-z * z / 2) / 2.5066282746310002))
+
+    def of(v: Column) -> Column:
+        t = v["t"]
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.least(F.lit(1.0), F.greatest(F.lit(1e-300), poly * F.exp(-v["z"] * v["z"] / 2) / 2.5066282746310002))
+
+    return F.transform(F.transform(F.array(z), lambda x: F.struct(x.alias("z"), (1 / (1 + 0.2316419 * x)).alias("t"))), of)[0]
 
 
 def _alphabet(token: Column) -> Column:
@@ -111,31 +120,39 @@ def _tested(span: Column) -> Column:
         F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double") - 1).alias("x"),
     )
 
-    def measured(s: Column) -> Column:
-        x, k = s["x"], s["k"]
-        n = F.size(x).cast("double")
-        squares = F.aggregate(
-            F.array_distinct(x), F.lit(0.0), lambda a, d: a + F.pow(F.size(F.filter(x, lambda y: y == d)).cast("double"), F.lit(2.0))
-        )
-        chi, df = squares * k / n - n, k - 1
+    def p_value(z: Column) -> Column:
+        p_chi = F.when(z["chi"] > 0, _tail(z["chi"])).otherwise(0.5)
+        return F.least(F.lit(1.0), 3 * F.least(p_chi, 2 * _tail(z["runs"]), 2 * _tail(z["serial"])))
+
+    def scores(c: Column) -> Column:
+        n, k, high = c["n"], c["k"], c["high"]
+        chi, df, both = c["squares"] * k / n - n, k - 1, 2 * high * (n - high)
         z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        high = F.size(F.filter(x, lambda y: y >= k / 2)).cast("double")
-        nexts = F.slice(x, 2, F.size(x))
-        pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), nexts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        turns = F.size(F.filter(pairs, lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))) + 1.0
-        both = 2 * high * (n - high)
         z_runs = F.when(both <= n, 9.0).otherwise(
-            F.abs(turns - (both / n + 1)) / F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
+            F.abs(c["turns"] - (both / n + 1)) / F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
         )
+        z_serial = F.abs(c["cross"] / F.sqrt(n - 1) / ((k * k - 1) / 12))
+        return _bind(p_value, chi=z_chi, runs=z_runs, serial=z_serial)
+
+    def counted(v: Column) -> Column:
+        x, k, pairs = v["x"], v["k"], v["pairs"]
         mid = (k - 1) / 2
-        cross = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mid) * (p["b"] - mid))
-        z_serial = F.abs(cross / F.sqrt(n - 1) / ((k * k - 1) / 12))
-        p_chi = F.when(z_chi > 0, _tail(z_chi)).otherwise(0.5)
-        least = F.least(p_chi, 2 * _tail(z_runs), 2 * _tail(z_serial))
-        p = F.least(F.lit(1.0), 3 * least)
+        squares = F.aggregate(
+            F.array_distinct(x), F.lit(0.0), lambda a, d: a + F.pow(F.size(F.filter(x, lambda y: y == d)).cast("double"), F.lit(2.0))
+        )
+        return _bind(
+            scores, n=F.size(x).cast("double"), k=k, squares=squares, high=F.size(F.filter(x, lambda y: y >= k / 2)).cast("double"),
+            turns=F.size(F.filter(pairs, lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))) + 1.0,
+            cross=F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mid) * (p["b"] - mid)),
+        )
+
+    def measured(s: Column) -> Column:
+        x = s["x"]
+        pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        p = _bind(counted, x=x, k=s["k"], pairs=pairs)
         return F.struct(
             s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
-            F.floor(F.log2(n)).cast("int").alias("band"),
+            F.floor(F.log2(F.size(x).cast("double"))).cast("int").alias("band"),
             F.least(F.floor(-F.log10(p) * BINS_PER_DECADE), F.lit(MAX_BIN)).cast("int").alias("bin"),
         )
 
@@ -182,15 +199,17 @@ def find_secrets(df: DataFrame, text_col: str = "text", rate: float = FALSE_DISC
         clash = F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
         return (r["bin"] < limit[r["band"]]) & ~clash
 
-    out = plain.withColumn("_base", base)
     if limit is None:
-        return out.withColumn("secrets", F.col("_base")).drop("_base")
-    out = out.withColumn("_random", _candidates(text))
-    more = F.transform(
-        F.filter("_random", lambda r: stays(r, F.col("_base"))),
-        lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), r["value"].alias("value")),
-    )
-    return out.withColumn("secrets", F.sort_array(F.concat("_base", more))).drop("_base", "_random")
+        return plain.withColumn("secrets", base)
+
+    def both(v: Column) -> Column:
+        more = F.transform(
+            F.filter(v["random"], lambda r: stays(r, v["base"])),
+            lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), r["value"].alias("value")),
+        )
+        return F.sort_array(F.concat(v["base"], more))
+
+    return plain.withColumn("secrets", _bind(both, base=base, random=_candidates(text)))
 
 
 def span_list(spans: Column) -> Column:
