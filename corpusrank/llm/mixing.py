@@ -33,6 +33,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 BLOCK_WORDS = 65_536
 MAX_BLOCKS, MAX_SOURCES = 1_000_000, 1_000_000
+SHARD_WORDS, MAX_SHARDS = 2_000_000, 4096
 BROADCAST_ROWS = 500_000
 SEED = 20_240_601
 
@@ -86,8 +87,8 @@ def _sized(x: DataFrame) -> DataFrame:
 class Mix:
     """What a mix takes: tables for documents, blocks and sources, made once for a table of documents."""
 
-    def __init__(self, df: DataFrame, text_col="text", id_col="doc_id", source_col="source", shards=16, weights=WEIGHTS, share=SHARE, cap=CAP):
-        self.cols, self.shards = (text_col, id_col, source_col), shards
+    def __init__(self, df: DataFrame, text_col="text", id_col="doc_id", source_col="source", shards: int | None = None, weights=WEIGHTS, share=SHARE, cap=CAP):
+        self.cols = (text_col, id_col, source_col)
         spark = df.sparkSession
         self.docs = materialize(
             df.select(
@@ -101,6 +102,9 @@ class Mix:
         if len(rows) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
         words = [r["w"] for r in rows]
+        # shards of about SHARD_WORDS, as far as a table of sources and shards stays small
+        most = min(MAX_SHARDS, max(1, 100_000_000 // max(1, len(rows))))
+        self.shards = shards or min(most, max(16, math.ceil(share * sum(words) / SHARD_WORDS)))
         goal = targets(words, [weights[i % len(weights)] for i in range(len(rows))], share, cap)
         unit = max(BLOCK_WORDS, math.ceil(sum(words) / MAX_BLOCKS))
         made = []
