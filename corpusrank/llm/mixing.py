@@ -137,6 +137,9 @@ class Mix:
             now = may & (F.col("_sum") <= F.col("_fit"))
             rows = rows.withColumn("_now", now).withColumn("_in", F.col("_in") | F.col("_now"))
             rows = rows.withColumn("_fit", F.col("_fit") - F.sum(F.when(F.col("_now"), F.col("_n")).otherwise(0)).over(each))
+        # one more, if going over by it is nearer than what is left
+        near = each.orderBy(F.col("_in"), F.abs(F.col("_n") - F.col("_fit")), "_key")
+        rows = rows.withColumn("_in", F.col("_in") | ((F.row_number().over(near) == 1) & (F.col("_n") < 2 * F.col("_fit"))))
         return rows.where("_in").select("_source", "_key", F.lit(True).alias("_in"))
 
     def _dealt(self, blocks: DataFrame, sources: int) -> DataFrame:

@@ -127,7 +127,7 @@ def test_random_runs_are_told_from_ordinary_ones(spark):
 
 
 def test_exact_report(spark, docs, odd):
-    df = docs.unionByName(odd)
+    df = docs.unionByName(odd.withColumn("doc_id", odd.doc_id + 100_000))
     rows = df.select("doc_id", "text").collect()
     groups = defaultdict(list)
     for r in rows:
@@ -167,7 +167,7 @@ def test_targets():
 
 
 def test_mix(spark, docs, odd):
-    df = docs.unionByName(odd)
+    df = docs.unionByName(odd.withColumn("doc_id", odd.doc_id + 100_000))
     mix = mixing.Mix(df, shards=5)
     got = mix.taken().collect()
     rows = df.select("doc_id", "text", "source").collect()
@@ -184,8 +184,9 @@ def test_mix(spark, docs, odd):
         s = src.get(r.doc_id, "c")
         assert r.source_size == size[s] and r.target == pytest.approx(goal[s])
         taken[s] += r.taken
-    for s in size:
-        assert abs(taken[s] - goal[s]) <= max(0.05 * goal[s], 20), s
+    largest = {s: max(words(r.text) for r in rows if r.source == s) for s in size}
+    for s in size:  # documents are taken whole, so a source of a few documents can miss by half of one
+        assert abs(taken[s] - goal[s]) <= max(0.05 * goal[s], 20, largest[s] / 2), s
     again = sorted((str(r.doc_id), r.taken) for r in mixing.Mix(df.repartition(3), shards=5).taken().collect())
     assert again == sorted((str(r.doc_id), r.taken) for r in got)
     out = mix.rows(df).toPandas()
