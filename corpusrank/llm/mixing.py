@@ -2,7 +2,9 @@
 
 A source's documents are dealt by hash into blocks of about BLOCK_WORDS words, which are so a random
 permutation of the source. Its target says how many whole passes over its blocks the mix takes and how many
-words of one more pass: whole blocks in order, then of the one block on the edge those documents that fit.
+words of one more pass: a walk over the whole source, by block and hash, picks each document that fits in what
+is left. If more than half of the pass is wanted, the walk picks what it leaves out. At the end one more document
+is picked if that is nearer. So a long document is stepped over and the documents of later blocks fill its room.
 The exact block counts of all sources are then split among output shards by a binary tree: a node gives its
 left half a multivariate-hypergeometric draw of its blocks. Each shard so gets disjoint blocks in the mix's
 proportions, and its rows are shuffled within the shard.
@@ -110,37 +112,55 @@ class Mix:
         made = []
         for r, t in zip(rows, goal, strict=True):
             passes = int(t // r["w"]) if r["w"] else 0
-            made.append((r["_source"], r["w"], float(t), max(1, round(r["w"] / unit)), passes, float(t - passes * r["w"])))
-        schema = "_source string, _words long, _target double, _blocks long, _passes int, _rest double"
+            rest = float(t - passes * r["w"])
+            out = rest > r["w"] / 2
+            made.append((r["_source"], r["w"], float(t), max(1, round(r["w"] / unit)), passes, r["w"] - rest if out else rest, out))
+        # _left: words to pick of one more pass; _out: the pass takes what is not picked
+        schema = "_source string, _words long, _target double, _blocks long, _passes int, _left double, _out boolean"
         self.sources = spark.createDataFrame(made, schema)
         self.in_blocks = self.docs.join(_sized(self.sources), "_source").withColumn("_block", F.pmod("_key", "_blocks"))
-        blocks = self.in_blocks.groupBy("_source", "_block").agg(
-            F.sum("_size").alias("_n"), F.first("_passes").alias("_passes"), F.first("_rest").alias("_rest"), F.first("_blocks").alias("_blocks")
-        )
-        before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_block")) - F.col("_n")
-        left = F.col("_rest") - before
-        edge = F.when(left >= F.col("_n"), "whole").when(left > 0, "part").otherwise("none")
-        blocks = materialize(blocks.withColumn("_left", left).withColumn("_edge", edge), "mix-blocks")
+        picked = self._picked()
+        blocks = self.in_blocks.groupBy("_source", "_block", "_passes", "_out").agg(F.sum("_size").alias("_n"))
+        blocks = blocks.join(picked.groupBy("_source", "_block").agg(F.sum("_n").alias("_p")), ["_source", "_block"], "left").na.fill(0, ["_p"])
+        edge = F.when(F.col("_p") == 0, F.when(F.col("_out"), "whole").otherwise("none"))
+        edge = edge.when(F.col("_p") == F.col("_n"), F.when(F.col("_out"), "none").otherwise("whole")).otherwise("part")
+        blocks = materialize(blocks.withColumn("_edge", edge), "mix-blocks")
         self.blocks = self._dealt(blocks, len(made))
-        self.edge = materialize(self._edge_documents(blocks), "mix-edge")
-
-    def _edge_documents(self, blocks: DataFrame) -> DataFrame:
-        """Documents of the blocks on the edge that fit: three passes in the order of their hash."""
-        part = blocks.where("_edge = 'part'").select("_source", "_block", "_left")
-        rows = self.in_blocks.join(_sized(part), ["_source", "_block"]).groupBy("_source", "_key", "_left").agg(F.sum("_size").alias("_n"))
-        rows = rows.where("_n > 0").withColumn("_in", F.lit(False)).withColumn("_fit", F.col("_left"))
-        each = Window.partitionBy("_source")
-        order = each.orderBy(F.xxhash64("_key", F.lit(1)), "_key").rowsBetween(Window.unboundedPreceding, 0)
-        for _ in range(3):
-            may = ~F.col("_in") & (F.col("_n") <= F.col("_fit"))
-            rows = rows.withColumn("_sum", F.sum(F.when(may, F.col("_n")).otherwise(0)).over(order))
-            now = may & (F.col("_sum") <= F.col("_fit"))
-            rows = rows.withColumn("_now", now).withColumn("_in", F.col("_in") | F.col("_now"))
-            rows = rows.withColumn("_fit", F.col("_fit") - F.sum(F.when(F.col("_now"), F.col("_n")).otherwise(0)).over(each))
+        part = blocks.where("_edge = 'part'").select("_source", "_block")
+        self.edge = materialize(picked.join(_sized(part), ["_source", "_block"]).select("_source", "_key", F.lit(True).alias("_in")), "mix-edge")
+
+    def _picked(self) -> DataFrame:
+        """(_source, _block, _key, _n) of the documents picked in one more pass.
+
+        A round picks, in the order of the walk, the documents that fit up to the first one that does not; the next
+        round goes on with those that fit in what is left. Only blocks and one block of each source are ordered.
+        """
+        rows = self.in_blocks.where("_left > 0").groupBy("_source", "_block", "_key", "_left").agg(F.sum("_size").alias("_n"))
+        every = materialize(rows.where("_n > 0"), "mix-keys")
+        rows, rounds = every.where("_n <= _left"), []
+        left = self.sources.select("_source", "_left").where("_left > 0")
+        while not rows.isEmpty():
+            blocks = rows.groupBy("_source", "_block", "_left").agg(F.sum("_n").alias("_sum"))
+            before = F.sum("_sum").over(Window.partitionBy("_source").orderBy("_block")) - F.col("_sum")
+            blocks = blocks.withColumn("_room", F.col("_left") - before).where("_room > 0")
+            blocks = materialize(blocks.select("_source", "_block", "_room", (F.col("_sum") <= F.col("_room")).alias("_all")), "mix-round")
+            rows = rows.join(_sized(blocks), ["_source", "_block"], "left")
+            order = Window.partitionBy("_source", "_block").orderBy(F.xxhash64("_key", F.lit(1)), "_key").rowsBetween(Window.unboundedPreceding, 0)
+            edge = rows.where("not _all").withColumn("_now", F.sum("_n").over(order) <= F.col("_room"))
+            rows = rows.where("_all is null or _all").withColumn("_now", F.coalesce("_all", F.lit(False))).unionByName(edge)
+            rows = materialize(rows.select("_source", "_block", "_key", "_n", "_now"), "mix-walk")
+            rounds.append(rows.where("_now").drop("_now"))
+            used = rounds[-1].groupBy("_source").agg(F.sum("_n").alias("_used"))
+            left = left.join(used, "_source", "left").select("_source", (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_left"))
+            left = materialize(left.where("_left > 0"), "mix-left")
+            rows = rows.where("not _now").drop("_now").join(_sized(left), "_source").where("_n <= _left")
+        picked = every.drop("_left").limit(0)
+        for r in rounds:
+            picked = picked.unionByName(r)
         # one more, if going over by it is nearer than what is left
-        near = each.orderBy(F.col("_in"), F.abs(F.col("_n") - F.col("_fit")), "_key")
-        rows = rows.withColumn("_in", F.col("_in") | ((F.row_number().over(near) == 1) & (F.col("_n") < 2 * F.col("_fit"))))
-        return rows.where("_in").select("_source", "_key", F.lit(True).alias("_in"))
+        near = every.drop("_left").join(_sized(left), "_source").where("_n < 2 * _left").join(picked, ["_source", "_block", "_key"], "left_anti")
+        near = near.groupBy("_source").agg(F.min(F.struct("_n", "_key", "_block")).alias("_m"))
+        return picked.unionByName(near.select("_source", "_m._block", "_m._key", "_m._n"))
 
     def _dealt(self, blocks: DataFrame, sources: int) -> DataFrame:
         """blocks with _shard: array<int>, the shard of each draw of the block (the last may be a part)."""
@@ -167,10 +187,10 @@ class Mix:
 
     def _decided(self, rows: DataFrame) -> DataFrame:
         """rows (_source, _key, ...) with source columns, _draws (how often the mix takes a row) and _shards."""
-        rows = rows.join(_sized(self.sources.drop("_passes")), "_source").withColumn("_block", F.pmod("_key", "_blocks"))
+        rows = rows.join(_sized(self.sources.drop("_passes", "_left")), "_source").withColumn("_block", F.pmod("_key", "_blocks"))
         rows = rows.join(_sized(self.blocks), ["_source", "_block"], "left")
         rows = rows.join(_sized(self.edge), ["_source", "_key"], "left")
-        more = (F.col("_edge") == "whole") | ((F.col("_edge") == "part") & F.coalesce("_in", F.lit(False)))
+        more = (F.col("_edge") == "whole") | ((F.col("_edge") == "part") & (F.coalesce("_in", F.lit(False)) != F.col("_out")))
         return rows.withColumn("_draws", F.coalesce("_passes", F.lit(0)) + F.when(more, 1).otherwise(0))
 
     def taken(self) -> DataFrame:

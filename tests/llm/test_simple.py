@@ -196,6 +196,18 @@ def test_mix(spark, docs, odd):
     assert mixing.Mix(df.limit(0)).taken().count() == 0
 
 
+@pytest.mark.parametrize("share", [0.5, 0.8])
+def test_mix_fills_the_room_of_a_long_document(spark, share):
+    rows = [(1000 * k + i, "w " * (100_000 if i == 0 else 500), f"s{k}") for k in range(8) for i in range(201)]
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), share=share)
+    taken = defaultdict(int)
+    for r in mix.taken().collect():
+        taken[r.doc_id // 1000] += r.taken
+        assert r.target == pytest.approx(200_000 * share)
+    for k in range(8):
+        assert abs(taken[k] - 200_000 * share) <= 0.05 * 200_000 * share, k
+
+
 def test_split_counts():
     import numpy as np
 
