@@ -4,7 +4,10 @@ Patterns (kinds assign, access, hex) are matched leftmost and non-overlapping; m
 dropped after matching, so they still consume their characters.
 
 Kind random: runs of 20 or more encoding characters for which an encoding can be inferred (hex, base32,
-base36, base62, base64) are tested against the hypothesis of independent uniform draws from that alphabet:
+base36, base62, base64, and with - or _ also hex in groups, base38 of one case, url-safe base64) are tested; = only
+ends a run, so NAME=value is two. Of a run with separators also the parts of 20 or more between them are tested
+(between - and _, between + and /, between all four); of spans that overlap the longest that stays is reported.
+A test is against the hypothesis of independent uniform draws from the alphabet:
 chi-squared uniformity of the letters, the number of runs above and below the middle, and serial
 correlation. The least of the three p-values, times three, is a run's p-value. Benjamini-Hochberg control
 within each band of lengths (powers of two), over the runs of all rows, decides which runs are rejected as
@@ -29,7 +32,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_LEAST = 8
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+_PAD = r"(?:=+(?![A-Za-z0-9+/_=-]))?"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}" + _PAD
+PARTS = tuple(rf"[A-Za-z0-9{x}]{{20,}}{_PAD}" for x in ("+/", "_-", ""))
 FALSE_DISCOVERY_RATE = 0.05
 BINS_PER_DECADE, MAX_BIN = 20, 2000
 _OPEN, _CLOSE, _MID = "\x01", "\x02", "\x03"
@@ -107,12 +112,16 @@ def _alphabet(token: Column) -> Column:
         .when(token.rlike("^[0-9A-Za-z]+$") & digit & low & up, _UPPER + _LOWER + _DIGITS)
         .when(token.rlike("^[0-9A-Za-z+/]+$") & digit & low & up, _UPPER + _LOWER + _DIGITS + "+/")
         .when(token.rlike("^[0-9A-Za-z_-]+$") & digit & low & up, _UPPER + _LOWER + _DIGITS + "-_")
+        .when(token.rlike("^[0-9a-z_-]+$") & digit & low, _DIGITS + _LOWER + "-_")
+        .when(token.rlike("^[0-9A-Z_-]+$") & digit & up, _DIGITS + _UPPER + "-_")
     )
 
 
 def _tested(span: Column) -> Column:
     """A candidate span with band and bin of its p-value; both null without an encoding."""
-    token = F.regexp_replace(span["value"], "=+$", "")
+    plain = F.regexp_replace(span["value"], "=+$", "")
+    bare = F.translate(plain, "-_", "")  # groups of hex, as in UUIDs
+    token = F.when(bare.rlike("^([0-9a-f]{20,}|[0-9A-F]{20,})$"), bare).otherwise(plain)
     alphabet = _alphabet(token)
     start = F.struct(
         span["start"].alias("start"), span["kind"].alias("kind"), span["end"].alias("end"), span["value"].alias("value"),
@@ -163,8 +172,34 @@ def _clean(text_col: str) -> Column:
     return F.translate(text_of(text_col), _OPEN + _CLOSE + _MID, "�" * 3)
 
 
+def _with_parts(span: Column) -> Column:
+    """A run and its parts between separators."""
+
+    def moved(part: Column) -> Column:
+        return F.struct(
+            (part["start"] + span["start"]).alias("start"), part["kind"].alias("kind"),
+            (part["end"] + span["start"]).alias("end"), part["value"].alias("value"),
+        )
+
+    parts = [F.transform(_spans(span["value"], p, "$0", 3, ""), moved) for p in PARTS]
+    one = F.array(span)
+    return F.when(span["value"].rlike("[+/_-]"), F.array_distinct(F.concat(one, *parts))).otherwise(one)
+
+
 def _candidates(text: Column) -> Column:
-    return F.flatten(F.transform(_spans(text, CANDIDATE, "$0", 3, ""), _tested))
+    runs = F.flatten(F.transform(_spans(text, CANDIDATE, "$0", 3, ""), _with_parts))
+    return F.flatten(F.transform(runs, _tested))
+
+
+def _longest(spans: Column) -> Column:
+    """Spans of which none overlap: the longest first, then the first."""
+    kind = "array<struct<n:int,start:int,kind:int,end:int,value:string>>"
+    keyed = F.sort_array(F.transform(spans, lambda r: F.struct(
+        (r["start"] - r["end"]).alias("n"), r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), r["value"].alias("value")
+    )))
+    chosen = F.aggregate(keyed.cast(kind), F.array().cast(kind), lambda acc, r: F.when(
+        F.exists(acc, lambda o: (o["start"] < r["end"]) & (r["start"] < o["end"])), acc).otherwise(F.concat(acc, F.array(r))))
+    return F.transform(chosen, lambda r: F.struct(r["start"], r["kind"], r["end"], r["value"]))
 
 
 def rejection_bins(df: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERY_RATE) -> dict[int, int]:
@@ -203,11 +238,7 @@ def find_secrets(df: DataFrame, text_col: str = "text", rate: float = FALSE_DISC
         return plain.withColumn("secrets", base)
 
     def both(v: Column) -> Column:
-        more = F.transform(
-            F.filter(v["random"], lambda r: stays(r, v["base"])),
-            lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), r["value"].alias("value")),
-        )
-        return F.sort_array(F.concat(v["base"], more))
+        return F.sort_array(F.concat(v["base"], _longest(F.filter(v["random"], lambda r: stays(r, v["base"])))))
 
     return plain.withColumn("secrets", _bind(both, base=base, random=_candidates(text)))
 

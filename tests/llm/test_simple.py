@@ -126,6 +126,29 @@ def test_random_runs_are_told_from_ordinary_ones(spark):
     assert not any(found[1000 + i] for i in range(300))
 
 
+def test_random_runs_in_names_values_and_groups(spark):
+    rng, rows = random.Random(6), []
+    low, hexa = "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    forms = {
+        "name=value": lambda: ("AWS_KEY=", draw(b64, 40), ""), "long_name=value": lambda: ("AWS_DEFAULT_REGION_SIGNATURE=", draw(b64, 42), "=="),
+        "uuid": lambda: ("", "-".join(draw(hexa, n) for n in (8, 4, 4, 4, 12)), ""), "prefix_key": lambda: ("ghp_", draw(low, 36), ""),
+        "name-base64": lambda: ("data-key-", draw(b64, 44), ""), "groups": lambda: ("xoxb-111111111111-222222222222-", draw(low, 40), ""),
+    }
+    for f, make in forms.items():
+        rows += [(f"{f} {i}", *make()) for i in range(50)]
+        rows += [(f"plain {f} {i}", "see-", "aa1-" * (8 + i % 5), "") for i in range(5)]
+    df = spark.createDataFrame([(k, f"see {a}{b}{c} end", 4 + len(a), 4 + len(a + b)) for k, a, b, c in rows], "k string, text string, a int, b int")
+    got = secret_scan.find_secrets(df).collect()
+    for f in forms:
+        whole = [any(s.start <= r.a and r.b <= s.end for s in r.secrets) for r in got if r.k.startswith(f + " ")]
+        assert len(whole) == 50 and sum(whole) >= 40, (f, sum(whole))
+    assert not any(r.secrets for r in got if r.k.startswith("plain"))
+    assert all(x.end <= y.start for r in got for x, y in zip(r.secrets, r.secrets[1:]))
+    assert all(s.value == r.text[s.start : s.end] for r in got for s in r.secrets)
+
+
 def test_exact_report(spark, docs, odd):
     df = docs.unionByName(odd.withColumn("doc_id", odd.doc_id + 100_000))
     rows = df.select("doc_id", "text").collect()
