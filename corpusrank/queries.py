@@ -516,28 +516,28 @@ def rnk_qa(spark, d):
     return qa.search(pairs, queries, lexical.tokenizer(P, 2), engine.default_embed(P)).withColumn("score", F.round("score", 6))
 
 
-def _search(spark, d):
+def _base(spark, d):
     docs = _docs(spark, d)
     queries = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    return engine.search(engine.build(docs, P), queries), queries
+    return engine.build(docs, P, pairs=materialize(_pairs(spark, d), "pairs")), queries
 
 
 @_query()
 def rnk_hybrid(spark, d):
     """Build a knowledge base of all documents and search it with every benchmark item."""
-    found, _ = _search(spark, d)
+    found = engine.search(*_base(spark, d))
     return found.select("query_id", "rank", "chunk_id", "source_doc", "chapter", "merged_count", "match_type", F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"))
 
 
 @_query()
 def fmt_context(spark, d):
-    found, queries = _search(spark, d)
-    return formatting.contexts(found, queries)
+    return engine.answer(*_base(spark, d))
 
 
 @_query()
 def jdg_evaluate(spark, d):
-    found, queries = _search(spark, d)
+    kb, queries = _base(spark, d)
+    found = engine.search(kb, queries)
     queries = queries.withColumn("query_type", F.coalesce(query.query_type(F.col("query"), P), F.lit("framework"))).withColumn("difficulty", F.lit("easy"))
     return engine.evaluate(found, queries, P).select("query_id", "query_type", "context_relevance_score", "is_sufficient", F.size("chunks").alias("n_chunks"))
 
