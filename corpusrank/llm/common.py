@@ -50,6 +50,18 @@ def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """For each name one that no column of df has, for columns that an operator needs for itself."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in taken:
+            own += "_"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def slices(batch, col: str, most: int):
     """Slices of an Arrow batch of at most about `most` characters (or list entries) of a column, so that memory stays bounded."""
     import pyarrow as pa
@@ -67,7 +79,7 @@ def slices(batch, col: str, most: int):
         yield batch.slice(start)
 
 
-__all__ = ["ascii_lower", "drop_columns", "hot_keys", "join_hot", "materialize", "scratch_path", "shared_dir", "slices", "table", "text_of"]
+__all__ = ["ascii_lower", "drop_columns", "hot_keys", "join_hot", "materialize", "scratch_path", "shared_dir", "slices", "table", "text_of", "unused_names"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

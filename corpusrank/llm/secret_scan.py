@@ -3,21 +3,25 @@
 Patterns (kinds assign, access, hex) are matched leftmost and non-overlapping; matches that are too short are
 dropped after matching, so they still consume their characters.
 
-Kind random: runs of 20 or more encoding characters for which an encoding can be inferred (hex, base32,
-base36, base62, base64, and with - or _ also hex in groups, base38 of one case, url-safe base64) are tested; = only
-ends a run, so NAME=value is two. Of a run with separators also the parts of 20 or more between them are tested
-(between - and _, between + and /, between all four); of spans that overlap the longest that stays is reported.
-A test is against the hypothesis of independent uniform draws from the alphabet:
-chi-squared uniformity of the letters, the number of runs above and below the middle, and serial
-correlation. The least of the three p-values, times three, is a run's p-value. Benjamini-Hochberg control
-within each band of lengths (powers of two), over the runs of all rows, decides which runs are rejected as
-not random; those that remain are reported. Its p-values are counted in bins, so the control needs one
-small aggregate whatever the number of runs, and rejects with the bin's upper edge (never more than exactly).
-
-There is no shuffle of texts: the table is read once for the aggregate and once for the result.
-
-Defined cases: a null text counts as empty and has no spans; spans are code points, end exclusive; a random
-span that overlaps a pattern's span is left out; U+0001 to U+0003 count as characters of no pattern.
+Kind random is sought outside what the patterns took (assign, then access, then hex in what is left): runs of
+20 or more encoding characters, where = only ends a run, so NAME=value is two. A run is tested whole and, if it
+holds separators, in three cuts: the parts of 20 or more characters between - and _, between + and /, and between
+all four. Each span for which an encoding can be inferred (hex, base32, base36, base62, base64, and with - or _
+also hex in groups, base38 of one case, url-safe base64) is tested against the hypothesis of independent uniform
+draws from its alphabet: chi-squared uniformity of the letters, the number of runs above and below the middle,
+and serial correlation. The least of the three p-values, times three, is the span's p-value. Benjamini-Hochberg
+control within each band of lengths (powers of two), over the spans of all rows, decides which are rejected as
+not random. Of a run that cut is reported whose remaining spans hold most characters (the first of equals).
+The control's p-values are counted in bins, so it needs one small aggregate whatever the number of spans, and
+rejects with the bin's upper edge (never more than exactly). It bounds the share of true random spans among the
+rejected ones, so it bounds what is lost; what is falsely reported is measured in the README.
+
+There is no shuffle of texts: the table is read once for the aggregate and once for the result. Work grows with
+a run's length: letters are counted by string functions, and only the serial test visits letters, in pieces.
+
+Defined cases: a null text counts as empty and has no spans; spans are code points, end exclusive; equal texts
+have equal spans; all other columns stay, but for one named secrets, which is replaced; U+0001 to U+0003 count as
+characters of no pattern.
 """
 
 from __future__ import annotations
@@ -25,44 +29,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_columns, text_of
+from .common import drop_columns, unused_names, text_of
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 8
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-_PAD = r"(?:=+(?![A-Za-z0-9+/_=-]))?"
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}" + _PAD
-PARTS = tuple(rf"[A-Za-z0-9{x}]{{20,}}{_PAD}" for x in ("+/", "_-", ""))
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}(?:=++(?![A-Za-z0-9+/_-]))?"
+#: A run's cuts: none, and at these separators.
+SEPARATORS = ("[_-]", "[+/]", "[+/_-]")
 FALSE_DISCOVERY_RATE = 0.05
 BINS_PER_DECADE, MAX_BIN = 20, 2000
+SERIAL_PIECE = 4096
 _OPEN, _CLOSE, _MID = "\x01", "\x02", "\x03"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _spans(text: Column, pattern: str, replacement: str, kind: int, keep: str) -> Column:
-    """array<struct<start, kind, end, value>> of the matches for which `keep` (SQL over the match v) holds."""
-    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}{replacement}{_CLOSE}"))
-    parts = F.split(marked, f"[{_OPEN}{_CLOSE}]")
-    bound = F.transform(
-        F.array(F.struct(parts.alias("p"))),
-        lambda s: F.struct(s["p"].alias("p"), F.transform(s["p"], lambda x: F.length(F.replace(x, F.lit(_MID)))).alias("n")),
-    )
-
-    def of(s: Column) -> Column:
-        sums = F.transform(F.array(s["n"]), lambda n: _sums_of(n))[0]
-        full = F.zip_with(s["p"], sums, lambda v, at: F.struct(v.alias("v"), at.alias("at")))
-        odd = F.filter(full, lambda x, i: (i % 2 == 1) & _keep(x["v"], keep))
-        return F.transform(
-            odd,
-            lambda x: F.struct(
-                x["at"].alias("start"), F.lit(kind).alias("kind"),
-                (x["at"] + F.length(F.replace(x["v"], F.lit(_MID)))).alias("end"), F.replace(x["v"], F.lit(_MID)).alias("value"),
-            ),
-        )
-
-    return F.flatten(F.transform(bound, of))
+def _bind(f, **values: Column) -> Column:
+    """f of a struct of the values, each computed once (a column used twice in an expression is computed twice)."""
+    return F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), f)[0]
 
 
 def _sums_of(lengths: Column) -> Column:
@@ -72,21 +59,44 @@ def _sums_of(lengths: Column) -> Column:
         run = F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
         return F.slice(run, 1, F.size(xs))
 
+    def of(v: Column) -> Column:
+        totals = F.transform(v["groups"], lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(v["groups"], fold(totals, F.lit(0)), fold))
+
     count = F.floor((F.size(lengths) - 1) / 256).cast("int")
     groups = F.transform(F.sequence(F.lit(0), count), lambda k: F.slice(lengths, k * 256 + 1, 256))
-    totals = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + x))
-    return F.flatten(F.zip_with(groups, fold(totals, F.lit(0)), fold))
+    return F.when(F.size(lengths) <= 256, fold(lengths, F.lit(0))).otherwise(_bind(of, groups=groups))
 
 
-def _keep(value: Column, rule: str) -> Column:
-    if rule == "assign":
-        return F.length(value) - F.locate(_MID, value) >= ASSIGN_LEAST
-    return F.lit(True)
+def _marked(text: Column, pattern: str, replacement: str = "$0") -> Column:
+    """The text cut at the matches: entries of odd places are matches."""
+    return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}{replacement}{_CLOSE}")), f"[{_OPEN}{_CLOSE}]")
 
 
-def _bind(f, **values: Column) -> Column:
-    """f of a struct of the values, each computed once (a column used twice in an expression is computed twice)."""
-    return F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), f)[0]
+def _keep(value: Column, kind: int) -> Column:
+    return F.length(value) - F.locate(_MID, value) >= ASSIGN_LEAST if kind == 0 else F.lit(True)
+
+
+def _spans(parts: Column, kind: int) -> Column:
+    """array<struct<start, kind, end, value>> of the matches in a cut text."""
+
+    def of(s: Column) -> Column:
+        full = F.zip_with(s["parts"], _sums_of(s["n"]), lambda v, at: F.struct(v.alias("v"), at.alias("at")))
+        odd = F.filter(full, lambda x, i: (i % 2 == 1) & _keep(x["v"], kind))
+        return F.transform(odd, lambda x: F.struct(
+            x["at"].alias("start"), F.lit(kind).alias("kind"),
+            (x["at"] + F.length(F.replace(x["v"], F.lit(_MID)))).alias("end"), F.replace(x["v"], F.lit(_MID)).alias("value"),
+        ))
+
+    n = F.transform(parts, lambda x: F.length(F.replace(x, F.lit(_MID))))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    return F.when(F.size(parts) > 1, _bind(of, parts=parts, n=n)).otherwise(none)
+
+
+def _covered(parts: Column, kind: int) -> Column:
+    """The text again, with a blank for every character of a match that counts."""
+    return F.array_join(F.transform(parts, lambda v, i: F.when((i % 2 == 1) & _keep(v, kind), F.call_function("repeat", F.lit(" "), F.length(F.replace(v, F.lit(_MID)))))
+        .otherwise(F.replace(v, F.lit(_MID)))), "")
 
 
 def _tail(z: Column) -> Column:
@@ -101,7 +111,7 @@ def _tail(z: Column) -> Column:
 
 
 def _alphabet(token: Column) -> Column:
-    """The alphabet of the inferred encoding, or null."""
+    """The alphabet of the inferred encoding, or null. All have an even number of letters."""
     digit, low, up = token.rlike("[0-9]"), token.rlike("[a-z]"), token.rlike("[A-Z]")
     return (
         F.when(token.rlike("^[0-9a-f]+$") & digit & low, _DIGITS + "abcdef")
@@ -117,96 +127,120 @@ def _alphabet(token: Column) -> Column:
     )
 
 
-def _tested(span: Column) -> Column:
-    """A candidate span with band and bin of its p-value; both null without an encoding."""
-    plain = F.regexp_replace(span["value"], "=+$", "")
-    bare = F.translate(plain, "-_", "")  # groups of hex, as in UUIDs
-    token = F.when(bare.rlike("^([0-9a-f]{20,}|[0-9A-F]{20,})$"), bare).otherwise(plain)
-    alphabet = _alphabet(token)
-    start = F.struct(
-        span["start"].alias("start"), span["kind"].alias("kind"), span["end"].alias("end"), span["value"].alias("value"),
-        F.length(alphabet).cast("double").alias("k"),
-        F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double") - 1).alias("x"),
-    )
+def _p_value(token: Column, alphabet: Column) -> Column:
+    """The battery's p-value of a token whose letters are all in the alphabet."""
+    string = lambda name, *args: F.call_function(name, *args)
+
+    def halves(v: Column) -> Column:
+        """The token with L and H for letters of the lower and the upper half of the alphabet."""
+        half = (F.length(v["alphabet"]) / 2).cast("int")
+        return string("translate", v["token"], v["alphabet"], F.concat(string("repeat", F.lit("L"), half), string("repeat", F.lit("H"), half)))
+
+    def times(text: Column, what: Column, size: int) -> Column:
+        return (F.length(text) - F.length(F.replace(text, what, F.lit("")))).cast("double") / size
+
+    def squares(v: Column) -> Column:
+        counts = F.transform(F.split(v["alphabet"], ""), lambda c: times(v["token"], c, 1))
+        return F.aggregate(counts, F.lit(0.0), lambda a, n: a + n * n)
+
+    def cross(v: Column) -> Column:
+        """The sum of products of neighbours' distances from the middle."""
+        mid = (F.length(v["alphabet"]).cast("double") - 1) / 2
+        first = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("last"))
+        pieces = F.regexp_extract_all(v["token"], F.lit(f".{{1,{SERIAL_PIECE}}}"), F.lit(0))
 
-    def p_value(z: Column) -> Column:
-        p_chi = F.when(z["chi"] > 0, _tail(z["chi"])).otherwise(0.5)
-        return F.least(F.lit(1.0), 3 * F.least(p_chi, 2 * _tail(z["runs"]), 2 * _tail(z["serial"])))
+        def add(acc: Column, piece: Column) -> Column:
+            x = F.transform(F.split(piece, ""), lambda c: F.instr(v["alphabet"], c).cast("double") - 1 - mid)
+            return F.aggregate(x, acc, lambda a, d: F.struct((a["sum"] + a["last"] * d).alias("sum"), d.alias("last")))
 
-    def scores(c: Column) -> Column:
-        n, k, high = c["n"], c["k"], c["high"]
-        chi, df, both = c["squares"] * k / n - n, k - 1, 2 * high * (n - high)
+        return F.aggregate(pieces, first, add)["sum"]
+
+    def scores(v: Column) -> Column:
+        n, k, high = v["n"], v["k"], times(v["halves"], F.lit("H"), 1)
+        chi, df = v["squares"] * k / n - n, k - 1
         z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        z_runs = F.when(both <= n, 9.0).otherwise(
-            F.abs(c["turns"] - (both / n + 1)) / F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
-        )
-        z_serial = F.abs(c["cross"] / F.sqrt(n - 1) / ((k * k - 1) / 12))
-        return _bind(p_value, chi=z_chi, runs=z_runs, serial=z_serial)
-
-    def counted(v: Column) -> Column:
-        x, k, pairs = v["x"], v["k"], v["pairs"]
-        mid = (k - 1) / 2
-        squares = F.aggregate(
-            F.array_distinct(x), F.lit(0.0), lambda a, d: a + F.pow(F.size(F.filter(x, lambda y: y == d)).cast("double"), F.lit(2.0))
-        )
-        return _bind(
-            scores, n=F.size(x).cast("double"), k=k, squares=squares, high=F.size(F.filter(x, lambda y: y >= k / 2)).cast("double"),
-            turns=F.size(F.filter(pairs, lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))) + 1.0,
-            cross=F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mid) * (p["b"] - mid)),
-        )
+        turns = times(v["halves"], F.lit("LH"), 2) + times(v["halves"], F.lit("HL"), 2) + 1
+        z_serial = F.abs(v["cross"] / F.sqrt(n - 1) / ((k * k - 1) / 12))
+        return _bind(last, n=n, chi=z_chi, both=2 * high * (n - high), turns=turns, serial=z_serial)
 
-    def measured(s: Column) -> Column:
-        x = s["x"]
-        pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        p = _bind(counted, x=x, k=s["k"], pairs=pairs)
-        return F.struct(
-            s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
-            F.floor(F.log2(F.size(x).cast("double"))).cast("int").alias("band"),
-            F.least(F.floor(-F.log10(p) * BINS_PER_DECADE), F.lit(MAX_BIN)).cast("int").alias("bin"),
-        )
+    def last(v: Column) -> Column:
+        n, both = v["n"], v["both"]
+        spread = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
+        z_runs = F.when(both <= n, 9.0).otherwise(F.abs(v["turns"] - (both / n + 1)) / spread)
+        p_chi = F.when(v["chi"] > 0, _tail(v["chi"])).otherwise(0.5)
+        return F.least(F.lit(1.0), 3 * F.least(p_chi, 2 * _tail(z_runs), 2 * _tail(v["serial"])))
 
-    return F.transform(F.filter(F.array(start), lambda s: s["k"].isNotNull()), measured)
+    def start(v: Column) -> Column:
+        length = lambda c: F.length(c).cast("double")
+        return _bind(scores, n=length(v["token"]), k=length(v["alphabet"]), halves=halves(v), squares=squares(v), cross=cross(v))
 
+    return _bind(start, token=token, alphabet=alphabet)
 
-def _clean(text_col: str) -> Column:
-    return F.translate(text_of(text_col), _OPEN + _CLOSE + _MID, "�" * 3)
 
+def _tested(span: Column) -> Column:
+    """An array of the span with band and bin of its p-value, or an empty one without an encoding."""
 
-def _with_parts(span: Column) -> Column:
-    """A run and its parts between separators."""
+    def token(v: Column) -> Column:
+        return F.when(v["bare"].rlike("^([0-9a-f]{20,}|[0-9A-F]{20,})$"), v["bare"]).otherwise(v["plain"])
 
-    def moved(part: Column) -> Column:
+    def of(v: Column) -> Column:
+        p = _bind(lambda q: F.least(F.floor(-F.log10(q["p"]) * BINS_PER_DECADE), F.lit(MAX_BIN)).cast("int"), p=_p_value(v["token"], v["alphabet"]))
         return F.struct(
-            (part["start"] + span["start"]).alias("start"), part["kind"].alias("kind"),
-            (part["end"] + span["start"]).alias("end"), part["value"].alias("value"),
+            span["start"].alias("start"), F.lit(3).alias("kind"), span["end"].alias("end"), span["value"].alias("value"),
+            F.floor(F.log2(F.length(v["token"]).cast("double"))).cast("int").alias("band"), p.alias("bin"),
         )
 
-    parts = [F.transform(_spans(span["value"], p, "$0", 3, ""), moved) for p in PARTS]
-    one = F.array(span)
-    return F.when(span["value"].rlike("[+/_-]"), F.array_distinct(F.concat(one, *parts))).otherwise(one)
+    plain = F.regexp_replace(span["value"], "=+$", "")
+    bare = F.translate(plain, "-_", "")  # groups of hex, as in UUIDs
+    named = F.transform(F.transform(F.array(F.struct(plain.alias("plain"), bare.alias("bare"))), token), lambda t: F.struct(t.alias("token"), _alphabet(t).alias("alphabet")))
+    return F.transform(F.filter(named, lambda v: v["alphabet"].isNotNull()), of)
+
+
+def _pieces(run: Column, separators: str) -> Column:
+    """The parts of a run between separators that are long enough."""
+
+    def of(v: Column) -> Column:
+        at = _sums_of(F.transform(v["parts"], lambda x: F.length(x) + 1))
+        full = F.zip_with(v["parts"], at, lambda x, a: F.struct((a + run["start"]).alias("start"), F.lit(3).alias("kind"), (a + run["start"] + F.length(x)).alias("end"), x.alias("value")))
+        return F.filter(full, lambda x: F.length(F.regexp_replace(x["value"], "=+$", "")) >= LEAST)
 
+    return _bind(of, parts=F.split(run["value"], separators))
 
-def _candidates(text: Column) -> Column:
-    runs = F.flatten(F.transform(_spans(text, CANDIDATE, "$0", 3, ""), _with_parts))
-    return F.flatten(F.transform(runs, _tested))
 
+def _cuts(run: Column) -> Column:
+    """array of a run's cuts: each an array of tested spans."""
+    test = lambda spans: F.flatten(F.transform(spans, _tested))
+    cuts = F.flatten(F.array(F.array(F.array(run)), F.when(run["value"].rlike("[+/_-]"), F.array(*[_pieces(run, s) for s in SEPARATORS])).otherwise(F.array())))
+    return F.transform(cuts, test)
 
-def _longest(spans: Column) -> Column:
-    """Spans of which none overlap: the longest first, then the first."""
-    kind = "array<struct<n:int,start:int,kind:int,end:int,value:string>>"
-    keyed = F.sort_array(F.transform(spans, lambda r: F.struct(
-        (r["start"] - r["end"]).alias("n"), r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), r["value"].alias("value")
-    )))
-    chosen = F.aggregate(keyed.cast(kind), F.array().cast(kind), lambda acc, r: F.when(
-        F.exists(acc, lambda o: (o["start"] < r["end"]) & (r["start"] < o["end"])), acc).otherwise(F.concat(acc, F.array(r))))
-    return F.transform(chosen, lambda r: F.struct(r["start"], r["kind"], r["end"], r["value"]))
+
+def _found(df: DataFrame, text_col: str, base: str, runs: str) -> DataFrame:
+    """df with the base spans and, for each run outside them, its cuts. Each step is a column of its own, so it is computed once."""
+    text, a, b, c, left = unused_names(df, "text", "assign", "access", "hex", "left")
+    df = df.withColumn(text, F.translate(text_of(text_col), _OPEN + _CLOSE + _MID, "�" * 3))
+    df = df.withColumns({a: _marked(F.col(text), ASSIGN, f"$1{_MID}$2"), b: _marked(F.col(text), ACCESS), c: _marked(F.col(text), HEX)})
+    took = (F.size(a) > 1) | (F.size(b) > 1) | (F.size(c) > 1)
+    less = _covered(F.col(a), 0)
+    for kind, pattern in ((1, ACCESS), (2, HEX)):
+        less = _covered(_marked(less, pattern), kind)
+    df = df.withColumn(left, _marked(F.when(took, less).otherwise(F.col(text)), CANDIDATE))
+    df = df.withColumn(base, F.sort_array(F.concat(_spans(F.col(a), 0), _spans(F.col(b), 1), _spans(F.col(c), 2))))
+    none = F.array().cast("array<array<array<struct<start:int,kind:int,end:int,value:string,band:int,bin:int>>>>")
+    df = df.withColumn(runs, F.when(F.size(left) > 1, F.transform(_spans(F.col(left), 3), _cuts)).otherwise(none))
+    return df.drop(text, a, b, c, left)
+
+
+def _distinct(spans: Column) -> Column:
+    """Each span once, by sorting (array_distinct compares all pairs)."""
+    return _bind(lambda v: F.filter(v["s"], lambda x, i: (i == 0) | (x != F.get(v["s"], i - 1))), s=F.sort_array(spans))
 
 
 def rejection_bins(df: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERY_RATE) -> dict[int, int]:
-    """For each band of lengths the least bin from which runs are rejected as not random."""
-    runs = df.select(F.explode(_candidates(_clean(text_col))).alias("r")).select("r.band", "r.bin")
+    """For each band of lengths the least bin from which spans are rejected as not random."""
+    found = _found(df.select(F.col(text_col).alias("t")), "t", "base", "runs")
+    spans = found.select(F.explode(_distinct(F.flatten(F.flatten("runs")))).alias("r")).select("r.band", "r.bin")
     counts: dict[int, dict[int, int]] = {}
-    for band, bin_, n in runs.groupBy("band", "bin").count().collect():  # at most 31 x (MAX_BIN + 1) rows
+    for band, bin_, n in spans.groupBy("band", "bin").count().collect():  # at most 31 x (MAX_BIN + 1) rows
         counts.setdefault(band, {})[bin_] = n
     out = {}
     for band, by_bin in counts.items():
@@ -218,29 +252,28 @@ def rejection_bins(df: DataFrame, text_col: str = "text", rate: float = FALSE_DI
     return out
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
-    """df with secrets: array<struct<start int, kind int, end int, value string>>, sorted; kind counts in KINDS."""
-    limits = rejection_bins(df, text_col, rate)
-    plain = drop_columns(df, "secrets")
-    text = _clean(text_col)
-    base = F.sort_array(
-        F.concat(
-            _spans(text, ASSIGN, f"$1{_MID}$2", 0, "assign"), _spans(text, ACCESS, "$0", 1, ""), _spans(text, HEX, "$0", 2, "")
-        )
-    )
-    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else None
+def _best(cuts: Column, limit: Column) -> Column:
+    """The cut whose spans that are not rejected hold most characters, and these spans."""
 
-    def stays(r: Column, base: Column) -> Column:
-        clash = F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-        return (r["bin"] < limit[r["band"]]) & ~clash
+    def rated(stay: Column, place: Column) -> Column:
+        held = F.aggregate(stay, F.lit(0), lambda a, s: a + s["end"] - s["start"])
+        return F.struct(held.alias("held"), (-place).alias("place"), F.transform(stay, lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"])).alias("spans"))
 
-    if limit is None:
-        return plain.withColumn("secrets", base)
+    stays = F.transform(cuts, lambda cut: F.filter(cut, lambda s: s["bin"] < limit[s["band"]]))
+    return F.array_max(F.transform(stays, rated))["spans"]
 
-    def both(v: Column) -> Column:
-        return F.sort_array(F.concat(v["base"], _longest(F.filter(v["random"], lambda r: stays(r, v["base"])))))
 
-    return plain.withColumn("secrets", _bind(both, base=base, random=_candidates(text)))
+def find_secrets(df: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
+    """df with secrets: array<struct<start int, kind int, end int, value string>>, sorted; kind counts in KINDS."""
+    limits = rejection_bins(df, text_col, rate)
+    plain = drop_columns(df, "secrets")
+    if text_col.lower() == "secrets":
+        raise ValueError("the text column cannot be named secrets")
+    base, runs = unused_names(plain, "base", "runs")
+    found = _found(plain, text_col, base, runs)
+    limit = F.create_map(*[F.lit(x) for kv in (limits or {-1: 0}).items() for x in kv])
+    added = F.flatten(F.transform(runs, lambda cuts: _best(cuts, limit)))
+    return found.withColumn("secrets", F.when(F.size(runs) > 0, F.sort_array(F.concat(base, added))).otherwise(F.col(base))).drop(base, runs)
 
 
 def span_list(spans: Column) -> Column:

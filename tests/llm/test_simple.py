@@ -1,6 +1,7 @@
 """op3, op4, op6, op7 and op8 against brute force on the smallest tables and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -103,7 +104,7 @@ def base_spans(text):
 def test_secrets_base(spark, docs, odd):
     rng = random.Random(3)
     parts = ["token", "=", ":", " ", "'", "AKIA", "ABCD1234", "0123456789abcdef" * 2, "é😀", "secret", "pAssword", "xyz", ".", "\n", "api_key"]
-    made = [(i, "".join(rng.choices(parts, k=rng.randint(0, 40)))) for i in range(400)] + [(1000, "token=abcdefgh1 " * 2000)]
+    made = [(i, "".join(rng.choices(parts, k=rng.randint(0, 40)))) for i in range(700)] + [(1000, "token=abcdefgh1 " * 2000)]
     df = spark.createDataFrame(made, "doc_id long, text string").unionByName(docs.unionByName(odd).select("doc_id", "text"))
     n = 0
     for r in secret_scan.find_secrets(df).collect():
@@ -149,6 +150,103 @@ def test_random_runs_in_names_values_and_groups(spark):
     assert all(s.value == r.text[s.start : s.end] for r in got for s in r.secrets)
 
 
+def random_spans(text, base):
+    """Runs outside the base spans, each as a list of cuts of (start, end, token, alphabet)."""
+    took = list(text)
+    for kind, pattern in enumerate((_ASSIGN, re.compile("AKIA[A-Z0-9]{12,}"), re.compile("[0-9a-f]{32,}"))):
+        for m in pattern.finditer("".join(took)):
+            if kind or len(m[1]) >= 8:
+                took[m.start() : m.end()] = "\x02" * (m.end() - m.start())
+    digits, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    encodings = [
+        (digits + "abcdef", "dl"), (digits + "ABCDEF", "du"), (up + "234567", "du"), (digits + low, "dl"), (digits + up, "du"), (up + low + digits, "dlu"),
+        (up + low + digits + "+/", "dlu"), (up + low + digits + "-_", "dlu"), (digits + low + "-_", "dl"), (digits + up + "-_", "du"),
+    ]
+
+    def tested(start, value):
+        token = value.rstrip("=")
+        bare = token.replace("-", "").replace("_", "")
+        if re.fullmatch("[0-9a-f]{20,}|[0-9A-F]{20,}", bare):
+            token = bare
+        has = {k for k, letters in (("d", digits), ("l", low), ("u", up)) if set(token) & set(letters)}
+        fit = next((a for a, need in encodings if set(token) <= set(a) and set(need) <= has), None)
+        return [(start, start + len(value), token, fit)] if fit else []
+
+    for m in re.finditer("[A-Za-z0-9+/_-]{20,}", "".join(took)):
+        pad = re.match("=+(?![A-Za-z0-9+/_=-])", "".join(took)[m.end() :])
+        run = m[0] + (pad[0] if pad else "")
+        cuts = [tested(m.start(), run)]
+        if re.search("[+/_-]", run):
+            for sep in ("[_-]", "[+/]", "[+/_-]"):
+                parts, at = [], m.start()
+                for x in re.split(sep, run):
+                    parts += tested(at, x) if len(x.rstrip("=")) >= 20 else []
+                    at += len(x) + 1
+                cuts.append(parts)
+        yield cuts
+
+
+def p_value(token, alphabet):
+    """Chi-squared, runs and serial correlation, written out plainly."""
+    n, k = len(token), len(alphabet)
+    x = [alphabet.index(c) for c in token]
+    chi = sum((token.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    z_chi = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    high = [v >= k / 2 for v in x]
+    a, b, turns = sum(high), n - sum(high), 1 + sum(p != q for p, q in zip(high, high[1:]))
+    z_runs = 9.0 if 2 * a * b <= n else abs(turns - (2 * a * b / n + 1)) / math.sqrt(2 * a * b * (2 * a * b - n) / (n * n * (n - 1)))
+    mid = (k - 1) / 2
+    z_serial = abs(sum((p - mid) * (q - mid) for p, q in zip(x, x[1:])) / math.sqrt(n - 1) / ((k * k - 1) / 12))
+    tail = lambda z: max(math.erfc(z / math.sqrt(2)) / 2, 1e-300)
+    return min(1.0, 3 * min(tail(z_chi) if z_chi > 0 else 0.5, 2 * tail(z_runs), 2 * tail(z_serial)))
+
+
+def test_random_spans_equal_brute_force(spark, docs):
+    rng, letters = random.Random(8), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda a, n: "".join(rng.choices(a, k=n))
+    bits = [
+        lambda: draw(letters, rng.randint(15, 90)), lambda: draw("0123456789abcdef", rng.randint(10, 50)), lambda: draw("ab1", rng.randint(18, 60)),
+        lambda: draw(letters + "+/", 44) + "=" * rng.randint(0, 2), lambda: draw(letters, 22) + "-" + draw("AAAb1", 30), lambda: "token=" + draw(letters, rng.randint(5, 30)),
+        lambda: "AKIA" + draw("ABCDEFGHIJ0123456789", rng.randint(8, 24)), lambda: draw(["a/b/", "some-path/", "x_1", draw(letters, 25)], 6), lambda: "words é😀",
+    ]
+    made = [(i, "".join(rng.choice(bits)() + rng.choice([" ", "", "=", "_", "\n", '"']) for _ in range(rng.randint(0, 6)))) for i in range(1500)]
+    made += [(5000, draw(letters, 9000)), (5001, draw("abcde12345", 9000)), (5002, "-".join(draw(letters, 24) for _ in range(400))), (5003, None), (5004, made[3][1])]
+    df = spark.createDataFrame(made, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    rows = [(r.doc_id, r.text or "") for r in df.collect()]
+    runs = [list(random_spans(t, base_spans(t))) for _, t in rows]
+    bins, levels = defaultdict(list), {}
+    level = lambda s: (math.floor(math.log2(len(s[2]))), min(math.floor(-math.log10(p_value(*s[2:])) * 20), 2000))
+    for cuts in runs:
+        for s in {s for cut in (c for r in cuts for c in r) for s in cut}:
+            levels[s] = level(s)
+            bins[levels[s][0]].append(levels[s][1])
+    limit = {}
+    for band, bs in bins.items():
+        ok = [b for b in set(bs) if 10 ** (-b / 20) <= 0.05 * sum(x >= b for x in bs) / len(bs)]
+        limit[band] = min(ok, default=2001)
+    assert secret_scan.rejection_bins(df) == limit
+    want = {}
+    for (i, t), cuts in zip(rows, runs, strict=True):
+        out = []
+        for r in cuts:
+            stay = [[s for s in cut if levels[s][1] < limit[levels[s][0]]] for cut in r]
+            out += max(stay, key=lambda ss: sum(e - b for b, e, _, _ in ss))
+        want.setdefault((i, t), sorted([(a, k, e) for a, k, e in base_spans(t)] + [(b, 3, e) for b, e, _, _ in out]))
+    got = secret_scan.find_secrets(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [(s.start, s.kind, s.end) for s in r.secrets] == want[r.doc_id, r.text or ""], r.text
+    assert 100 < sum(s.kind == 3 for r in got for s in r.secrets) and max(limit.values()) < 2001
+
+
+def test_very_long_runs_end(spark):
+    rng, letters = random.Random(9), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(1, "x" * 1_000_000), (2, "".join(rng.choices(letters, k=1_000_000))), (3, "-".join("".join(rng.choices(letters, k=30)) for _ in range(20_000))), (4, "token=abcdefgh1 " * 20_000)]
+    got = {r.doc_id: r.secrets for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [] and [(s.start, s.end) for s in got[2]] == [(0, 1_000_000)] and len(got[4]) == 20_000
+    assert sum(s.end - s.start for s in got[3]) > 500_000
+
+
 def test_exact_report(spark, docs, odd):
     df = docs.unionByName(odd.withColumn("doc_id", odd.doc_id + 100_000))
     rows = df.select("doc_id", "text").collect()
