@@ -62,13 +62,26 @@ def unused_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def packed(df: DataFrame, **own: Column) -> DataFrame:
+    """The row of df as one column `_row` (null-safe for any column names) beside an operator's own columns; undone by unpacked."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(row.alias("_row"), *[c.alias(n) for n, c in own.items()])
+
+
+def unpacked(df: DataFrame, **more: Column) -> DataFrame:
+    return df.select("_row.*", *[c.alias(n) for n, c in more.items()])
+
+
 def slices(batch, col: str, most: int):
-    """Slices of an Arrow batch of at most about `most` characters (or list entries) of a column, so that memory stays bounded."""
+    """Slices of an Arrow batch of at most about `most` bytes (or list entries, or the sum of a column of integers), so that memory stays bounded."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     values = batch.column(col)
-    lengths = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    if pa.types.is_integer(values.type):
+        lengths = values
+    else:
+        lengths = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
     start = total = 0
     for i, n in enumerate(pc.fill_null(lengths, 0).to_pylist()):
         if total and total + n > most:
@@ -79,7 +92,7 @@ def slices(batch, col: str, most: int):
         yield batch.slice(start)
 
 
-__all__ = ["ascii_lower", "drop_columns", "hot_keys", "join_hot", "materialize", "scratch_path", "shared_dir", "slices", "table", "text_of", "unused_names"]
+__all__ = ["ascii_lower", "drop_columns", "hot_keys", "join_hot", "materialize", "packed", "scratch_path", "shared_dir", "slices", "table", "text_of", "unpacked", "unused_names"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

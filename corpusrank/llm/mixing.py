@@ -5,9 +5,10 @@ permutation of the source. Its target says how many whole passes over its blocks
 words of one more pass: a walk over the whole source, by block and hash, picks each document that fits in what
 is left. If more than half of the pass is wanted, the walk picks what it leaves out. At the end one more document
 is picked if that is nearer. So a long document is stepped over and the documents of later blocks fill its room.
-The exact block counts of all sources are then split among output shards by a binary tree: a node gives its
-left half a multivariate-hypergeometric draw of its blocks. Each shard so gets disjoint blocks in the mix's
-proportions, and its rows are shuffled within the shard.
+Each pass over a block is a draw. The exact draw counts of all sources are then split among output shards by a
+binary tree: a node gives its left half a multivariate-hypergeometric draw of its blocks. Each shard so gets
+disjoint draws in the mix's proportions, and its rows are shuffled within the shard. A document is taken as often
+as draws of its block were dealt to shards (once less if the last draw of the block is a part without it).
 
 Targets: sources in code-point order, null last, weigh 3, 1, 2, repeating, and share SHARE of all words; no
 target exceeds CAP times its source's words, and what is cut is shared among the others by weight.
@@ -17,7 +18,9 @@ MAX_BLOCKS plus one for each source, so windows over blocks stay small; the driv
 source (at most MAX_SOURCES). A hot source is spread over its blocks and is never in one task.
 
 Defined cases: a null text has size 0; documents of size 0 follow their block and take 0 words; rows that
-repeat an id and a text are drawn together; an empty table gives an empty mix; sources of size 0 have target 0.
+repeat an id and a text are drawn together; ties of the walk go by hash, then key; an empty table gives an empty
+mix; sources of size 0 have target 0; all columns of the table stay as they are, whatever their names (but for one
+named as shard_col, which is replaced). A text of any length is one row and is never split.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, drop_columns, materialize, text_of
+from .common import WORD, drop_columns, materialize, packed, text_of, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -186,27 +189,30 @@ class Mix:
         )
 
     def _decided(self, rows: DataFrame) -> DataFrame:
-        """rows (_source, _key, ...) with source columns, _draws (how often the mix takes a row) and _shards."""
+        """rows (_source, _key, ...) with source columns and _taken: array<int>, the shards that a row was dealt to, one for each draw."""
         rows = rows.join(_sized(self.sources.drop("_passes", "_left")), "_source").withColumn("_block", F.pmod("_key", "_blocks"))
-        rows = rows.join(_sized(self.blocks), ["_source", "_block"], "left")
+        rows = rows.join(_sized(self.blocks.select("_source", "_block", "_edge", "_shards")), ["_source", "_block"], "left")
         rows = rows.join(_sized(self.edge), ["_source", "_key"], "left")
-        more = (F.col("_edge") == "whole") | ((F.col("_edge") == "part") & (F.coalesce("_in", F.lit(False)) != F.col("_out")))
-        return rows.withColumn("_draws", F.coalesce("_passes", F.lit(0)) + F.when(more, 1).otherwise(0))
+        without = (F.col("_edge") == "part") & (F.coalesce("_in", F.lit(False)) == F.col("_out"))
+        draws = F.size("_shards") - F.when(without, 1).otherwise(0)
+        none = F.array().cast("array<int>")
+        return rows.withColumn("_taken", F.when(F.col("_shards").isNull(), none).otherwise(F.slice("_shards", F.lit(1), draws)))
 
     def taken(self) -> DataFrame:
-        """One row for each document: the id, size, source_size, target (its source's) and taken."""
+        """One row for each document: the id, size, source_size, target (its source's), taken, and shards (one for each time it is taken)."""
         out = self._decided(self.docs)
         return out.select(
             F.col("_id").alias(self.cols[1]), F.col("_size").alias("size"), F.col("_words").alias("source_size"),
-            F.col("_target").alias("target"), (F.col("_size") * F.col("_draws")).alias("taken"),
+            F.col("_target").alias("target"), (F.col("_size") * F.size("_taken")).alias("taken"), F.array_join(F.col("_taken").cast("array<string>"), ",").alias("shards"),
         )
 
     def rows(self, df: DataFrame, shard_col: str | None = "shard") -> DataFrame:
         """The mix itself: rows of df as often as they are taken, dealt to shards and shuffled within them."""
         text_col, id_col, source_col = self.cols
         plain = drop_columns(df, shard_col) if shard_col else df
-        rows = plain.withColumns({"_source": _source_key(source_col), "_key": _row_key(id_col, text_col)})
-        rows = self._decided(rows).where("_draws > 0")
-        rows = rows.withColumn("_shard", F.explode(F.slice("_shards", F.lit(1), F.col("_draws"))))
+        if shard_col and shard_col.lower() in {c.lower() for c in self.cols}:
+            raise ValueError(f"the shard column cannot be named {shard_col}")
+        rows = packed(plain, _source=_source_key(source_col), _key=_row_key(id_col, text_col))
+        rows = self._decided(rows).select("_row", "_key", F.explode("_taken").alias("_shard"))
         rows = rows.repartition(self.shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("_key", "_shard", F.lit(SEED)))
-        return rows.select(*plain.columns, *([F.col("_shard").alias(shard_col)] if shard_col else []))
+        return unpacked(rows, **({shard_col: F.col("_shard")} if shard_col else {}))
