@@ -44,6 +44,20 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", le
     return some.unionByName(rest)
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str, hot: list, salts: int = 32) -> DataFrame:
+    """left join right on key, where right has few rows a key and may be wide, and left may hold the keys `hot` in a third of its rows.
+
+    Rows of hot keys are spread over `salts` tasks, each with its own copy of the right rows; nothing is broadcast.
+    """
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    spread = F.when(is_hot, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c != key][:1]), F.lit(salts))).otherwise(0).cast("int")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    one, two = left.withColumn("_salt", spread), right.withColumn("_salt", F.explode(copies))
+    return one.join(two, [key, "_salt"]).drop("_salt")
+
+
 def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add (its output replaces them)."""
     low = {n.lower() for n in names}
@@ -72,6 +86,29 @@ def unpacked(df: DataFrame, **more: Column) -> DataFrame:
     return df.select("_row.*", *[c.alias(n) for n, c in more.items()])
 
 
+def release() -> None:
+    """Give freed memory back to the machine."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def releasing(run):
+    """run (of mapInArrow), after which its Python worker, which lives on and serves later stages, holds no freed memory."""
+
+    def task(batches):
+        yield from run(batches)
+        release()
+
+    return task
+
+
 def slices(batch, col: str, most: int):
     """Slices of an Arrow batch of at most about `most` bytes (or list entries, or the sum of a column of integers), so that memory stays bounded."""
     import pyarrow as pa
@@ -92,7 +129,7 @@ def slices(batch, col: str, most: int):
         yield batch.slice(start)
 
 
-__all__ = ["ascii_lower", "drop_columns", "hot_keys", "join_hot", "materialize", "packed", "scratch_path", "shared_dir", "slices", "table", "text_of", "unpacked", "unused_names"]
+__all__ = ["ascii_lower", "drop_columns", "hot_keys", "join_hot", "join_salted", "materialize", "packed", "release", "releasing", "scratch_path", "shared_dir", "slices", "table", "text_of", "unpacked", "unused_names"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

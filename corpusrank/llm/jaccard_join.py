@@ -14,7 +14,7 @@ Links are needed to find components, so a group of n sets that share a key is ne
 1. Each set of a key is paired with the key's smallest id (tasks combine their own sets first, so a key that
    a third of all sets share is a few rows for each task). Verified pairs give components.
 2. Keys that still join different components are paired across components only, behind exact upper bounds
-   (sizes, shingles that no other set has, and counts by classes of shingles). Verified pairs join those components.
+   (sizes, shingles that no other component has, and counts by classes of shingles). Verified pairs join those components.
 Every pair that shares a key is then verified, or in one component already, so no component is missed.
 
 Verification intersects the whole sets. Shingles stand for their words by 64-bit hashes; two of the
@@ -22,7 +22,9 @@ shingles of a pair collide with a chance under 1e-10 even for texts of 20,000 wo
 
 Defined cases: a text of fewer words than a shingle is one shingle of all its words; null, empty and blank
 texts have an empty set and link with nothing; rows that repeat an id are one document, linked if one of its
-sets is; rows with a null id link with nothing and have a null component.
+sets is; rows with a null id link with nothing and have a null component; equal sets link; a very long text is a slice
+of its own; an empty table gives an empty result; other columns do not matter and stay in keep_one. Ids are whole
+numbers; others are refused.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize, slices
+from .common import hot_keys, join_salted, materialize, releasing, slices, unused_names
 from .components import connected_components
 
 WORDS = 5
@@ -47,7 +49,10 @@ SLICE_BYTES = 8_000_000
 COMMON_SHARE = 500_000
 #: Chance that a shingle of one set is in another set, as the cost model assumes it.
 REPEAT = 0.01
+#: Tables of at most three numbers a row are broadcast up to so many rows (12 MB).
 BROADCAST_ROWS = 500_000
+#: Shingles (or segments) that a task indexes at once.
+INDEX_ROWS = 250_000
 #: Keys of more open sets than this are first relieved of sets that can have no partner there.
 LARGE_KEY = 48
 FAMILY_BLOCK = 1024
@@ -229,7 +234,7 @@ def index_keys(sets: list[np.ndarray], bands: list[Band], common: np.ndarray) ->
     docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
     for b in bands:
         mine = np.flatnonzero((sizes >= b.low) & (sizes <= b.high))
-        step = max(1, 1_000_000 // max(b.segments, b.high))
+        step = max(1, INDEX_ROWS // max(b.segments, b.high))
         for i in range(0, len(mine), step):
             part = mine[i : i + step]
             d, k = _index_keys([sets[j] for j in part], b, common)
@@ -282,7 +287,7 @@ def measure(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
             none = pa.nulls(int(twice.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, _signed(values[twice]), pa.array(counts[twice].astype(np.int64))], ["id", "n", "shingle", "places"])
 
-    return materialize(rows.mapInArrow(run, "id long, n long, shingle long, places long"), "jaccard-measured")
+    return materialize(rows.mapInArrow(releasing(run), "id long, n long, shingle long, places long"), "jaccard-measured")
 
 
 def _local_stars(docs: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -311,7 +316,7 @@ def star_pairs(df: DataFrame, text_col: str, id_col: str, bands: list[Band], com
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["x", "id", "is_key"])
 
     # one table holds both kinds, so that texts are cut once
-    made = rows.mapInArrow(run, "x long, id long, is_key boolean")
+    made = rows.mapInArrow(releasing(run), "x long, id long, is_key boolean")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = made.repartition(n, "is_key", "x").sortWithinPartitions("is_key", "x", "id")
 
@@ -332,7 +337,7 @@ def star_pairs(df: DataFrame, text_col: str, id_col: str, bands: list[Band], com
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(h)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return materialize(dealt.mapInArrow(stars, "a long, b long").distinct(), "jaccard-stars")
+    return materialize(dealt.mapInArrow(releasing(stars), "a long, b long").distinct(), "jaccard-stars")
 
 
 def _sized(x: DataFrame) -> DataFrame:
@@ -349,7 +354,7 @@ def active_sets(df: DataFrame, ids: DataFrame, text_col: str, id_col: str) -> Da
             cols = [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n", "shingles", "sketch"])
 
-    out = rows.mapInArrow(run, "id long, n long, shingles array<long>, sketch binary")
+    out = rows.mapInArrow(releasing(run), "id long, n long, shingles array<long>, sketch binary")
     return materialize(out, "jaccard-sets")  # rows that repeat an id give a pair several times; pairs are made distinct
 
 
@@ -357,11 +362,22 @@ def _may_link(na: Column, nb: Column) -> Column:
     return (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT)
 
 
+def _oriented(pairs: DataFrame) -> tuple[DataFrame, list]:
+    """The pairs, turned so that a hot document (in a third of all pairs, say) is b; and the hot ones. pairs: a table."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    hot = hot_keys(ends, "id")
+    if not hot:
+        return pairs, hot
+    turn = F.col("a").isin(hot) & ~F.col("b").isin(hot)
+    return pairs.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b")), hot
+
+
 def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that sizes and sketches do not rule out."""
+    pairs, hot = _oriented(pairs)
     small = sets.select("id", "n", "sketch")
     one, two = small.toDF("a", "_na", "_ka"), small.toDF("b", "_nb", "_kb")
-    both = join_hot(pairs, two, "b").join(one, "a").where(_may_link(F.col("_na"), F.col("_nb")))
+    both = join_salted(pairs, two, "b", hot).join(one, "a").where(_may_link(F.col("_na"), F.col("_nb")))
 
     def run(batches):
         for p in batches:
@@ -369,30 +385,32 @@ def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             most = shared_at_most(p.column("_ka").to_pylist(), p.column("_kb").to_pylist(), n)
             yield p.filter(pa.array(most * 100 >= (n - most) * PERCENT)).select(["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(releasing(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with intersection * 100 >= union * 80, by intersecting the whole sets.
+    """The pairs (a, b), a > b, with intersection * 100 >= union * 80, by intersecting the whole sets.
 
-    Cheap exact bounds come first. A hot document (the centre of a large star) meets its pairs by broadcast of
-    at most HOT_KEYS sets.
+    Cheap exact bounds come first. The pairs of a hot document (the centre of a large star) are spread over tasks,
+    each with a copy of its set.
     """
     pairs = materialize(_sketched(pairs, sets), "jaccard-maybe")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = sets.join(_sized(materialize(ids, "jaccard-needed")), "id", "left_semi")
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("shingles").alias("_sa"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("shingles").alias("_sb"))
-    both = join_hot(pairs, two, "b").join(one, "a")
+    pairs, hot = _oriented(pairs)
+    both = join_salted(pairs, two, "b", hot).join(one, "a")
     shared = F.size(F.array_intersect("_sa", "_sb"))
     good = shared * 100 >= (F.col("_na") + F.col("_nb") - shared) * PERCENT
-    return both.where(good).select("a", "b").distinct()
+    return both.where(good).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def cross_pairs(sets: DataFrame, labels: DataFrame, bands: list[Band], common: np.ndarray) -> DataFrame:
     """Distinct (a, b), a > b, of documents that share a key, are in different components and may link."""
     shared = sets.sparkSession.sparkContext.broadcast(common)
-    rows = sets.join(labels, sets.id == labels.node, "left").select("id", F.coalesce("component", "id").alias("component"), "shingles")
+    labels = labels.select(F.col("node").alias("id"), "component")
+    rows = sets.join(_sized(labels), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "shingles")
 
     def run(batches):
         for part in _tables(batches, "shingles"):
@@ -401,7 +419,7 @@ def cross_pairs(sets: DataFrame, labels: DataFrame, bands: list[Band], common: n
             cols = [_signed(keys), pa.array(part.column("id").to_numpy()[docs]), pa.array(part.column("component").to_numpy()[docs])]
             yield pa.RecordBatch.from_arrays(cols, ["key", "id", "component"])
 
-    keyed = rows.mapInArrow(run, "key long, id long, component long")
+    keyed = materialize(rows.mapInArrow(releasing(run), "key long, id long, component long"), "jaccard-keyed")
     open_ = materialize(_open_keys(keyed), "jaccard-open")
     if open_.isEmpty():
         return sets.sparkSession.createDataFrame([], "a long, b long")
@@ -409,13 +427,13 @@ def cross_pairs(sets: DataFrame, labels: DataFrame, bands: list[Band], common: n
     pairs = _pairs_of_keys(open_.join(_sized(large), "key", "left_anti"), sets)
     if large.isEmpty():
         return pairs
-    # a shingle that one set alone has among all sets of large keys is shared with no partner there
+    # only shingles that sets of several components have can be shared across components
     crowd = open_.join(_sized(large), "key", "left_semi")
-    ids = materialize(crowd.select("id").distinct(), "jaccard-crowd")
-    each = sets.join(_sized(ids), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
-    lone = each.groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("lone"))
-    facts = sets.select("id", "n", "sketch").join(_sized(ids), "id", "left_semi").join(lone, "id", "left")
-    facts = facts.withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    ids = materialize(crowd.select("id", "component").distinct(), "jaccard-crowd")
+    each = sets.join(_sized(ids), "id").select("id", "component", F.explode("shingles").alias("s"))
+    wide = each.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("s")
+    m = each.join(wide, "s", "left_semi").groupBy("id").agg(F.count("*").alias("m"))
+    facts = sets.select("id", "n", "sketch").join(m, "id")
     facts = materialize(facts.where(F.col("m") * 100 >= F.col("n") * PERCENT), "jaccard-facts")
     crowd = materialize(_open_keys(crowd.join(_sized(facts.select("id")), "id", "left_semi")), "jaccard-crowded")
     return pairs.unionByName(_pairs_of_families(crowd, facts)).distinct()
@@ -471,9 +489,15 @@ def _pairs_of_families(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 class JaccardJoin:
-    """Sizes, verified links and components of a table of documents, made once."""
+    """Sizes, components and spanning links of a table of documents, made once.
+
+    spanning_links: verified links that reach every component from each of its documents; links inside a component
+    that components do not need are not looked for.
+    """
 
     def __init__(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id"):
+        if dict(df.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+            raise TypeError(f"{id_col} is not a column of whole numbers")
         self.id_col = id_col
         measured = measure(df, text_col, id_col)
         self.sizes = measured.where("shingle is null").select("id", "n")
@@ -490,8 +514,8 @@ class JaccardJoin:
         first = connected_components(links)
         more = verified(materialize(cross_pairs(sets, first, bands, common), "jaccard-cross"), sets)
         more = materialize(more, "jaccard-more")
-        self.links = links.unionByName(more)
-        self.components = first if more.isEmpty() else connected_components(self.links)
+        self.spanning_links = links.unionByName(more)
+        self.components = first if more.isEmpty() else connected_components(self.spanning_links)
 
     def classes(self) -> DataFrame:
         """One row for each row of the table: the id, n_shingles and component_id (the smallest id it reaches)."""
@@ -503,5 +527,6 @@ class JaccardJoin:
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """df with one document of each component: that with the smallest id. Rows without an id stay."""
     found = JaccardJoin(df, text_col, id_col).components
-    gone = materialize(found.where("node <> component").select(F.col("node").alias("_gone")), "jaccard-gone")
-    return df.join(_sized(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    (own,) = unused_names(df, "gone")
+    gone = materialize(found.where("node <> component").select(F.col("node").alias(own)), "jaccard-gone")
+    return df.join(_sized(gone), F.col(id_col) == F.col(own), "left_anti")
