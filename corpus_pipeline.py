@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusrank.llm import exact_dedup, jaccard_join, mixing, piece_codec, quality
-from corpusrank.llm.common import materialize, table
+from corpusrank.llm.common import materialize, table, unused_names
 from corpusrank.llm.queries import QUALITY_LEAST, piece_model
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labels of these documents."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, score_col="_quality")
-    return scored.where(F.col("_quality") >= QUALITY_LEAST).drop("_quality")
+    (own,) = unused_names(docs, "quality")
+    return quality.score(docs, model, score_col=own).where(F.col(own) >= QUALITY_LEAST).drop(own)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, their ids, and whether decoding gives the text back."""
-    coded = piece_codec.decode(piece_codec.encode(docs, piece_model()), piece_model())
+    coded = piece_codec.round_trip(docs, piece_model())
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return coded.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": same}).drop("decoded")
 

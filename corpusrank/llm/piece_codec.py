@@ -8,7 +8,9 @@ every word position through two shuffles.
 
 Ids are exactly those of the library for the whole text, with the end id appended and no sampling.
 
-Defined cases: a null text counts as empty; an empty text has the end id alone and decodes to an empty text.
+Defined cases: a null text counts as empty; an empty text has the end id alone and decodes to an empty text; a very
+long text is a slice of its own; repeated rows are coded each; all other columns stay, but for those named as the
+result's, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import drop_columns, slices
+from .common import drop_columns, releasing, slices
 
 #: Text of a slice, in bytes, and distinct words that a task remembers between slices.
 SLICE_CHARS = 2_000_000
@@ -110,17 +112,7 @@ def _lists(column: pa.ListArray) -> list[list[int]]:
 
 def encode(df: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """df with ids_col array<int>: the ids of text_col and the end id. model: a path that every executor can open."""
-    check_model(_processor(model))
-
-    def run(batches):
-        tab = WordTable(_processor(model))
-        for batch in batches:
-            for part in slices(batch, text_col, SLICE_CHARS):
-                texts = [t or "" for t in part.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, tab.encode(texts)], [*part.schema.names, ids_col])
-
-    plain = drop_columns(df, ids_col)
-    return plain.mapInArrow(run, T.StructType([*plain.schema, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return _coded(df, model, text_col, {ids_col: T.ArrayType(T.IntegerType())})
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -130,9 +122,35 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", text_col: str = "dec
         sp = _processor(model)
         for batch in batches:
             for part in slices(batch, ids_col, SLICE_CHARS // 3):
-                ids = _lists(part.column(ids_col))
-                texts = sp.decode(ids, num_threads=1) if ids else []
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(sp, part.column(ids_col))], [*part.schema.names, text_col])
 
     plain = drop_columns(df, text_col)
-    return plain.mapInArrow(run, T.StructType([*plain.schema, T.StructField(text_col, T.StringType())]))
+    return plain.mapInArrow(releasing(run), T.StructType([*plain.schema, T.StructField(text_col, T.StringType())]))
+
+
+def round_trip(df: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """encode and decode in one pass over the texts: df with ids_col and decoded_col."""
+    return _coded(df, model, text_col, {ids_col: T.ArrayType(T.IntegerType()), decoded_col: T.StringType()})
+
+
+def _texts(sp, ids: pa.ListArray) -> pa.Array:
+    lists = _lists(ids)
+    return pa.array(sp.decode(lists, num_threads=1) if lists else [], pa.string())
+
+
+def _coded(df: DataFrame, model: str, text_col: str, added: dict[str, T.DataType]) -> DataFrame:
+    """df with the ids and, if two columns are to be added, the decoded text."""
+    check_model(_processor(model))
+    if text_col.lower() in {c.lower() for c in added}:
+        raise ValueError(f"the result cannot replace the text column {text_col}")
+
+    def run(batches):
+        tab = WordTable(_processor(model))
+        for batch in batches:
+            for part in slices(batch, text_col, SLICE_CHARS):
+                ids = tab.encode([t or "" for t in part.column(text_col).to_pylist()])
+                more = [ids] if len(added) == 1 else [ids, _texts(tab.sp, ids)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *added])
+
+    plain = drop_columns(df, *added)
+    return plain.mapInArrow(releasing(run), T.StructType([*plain.schema, *(T.StructField(n, k) for n, k in added.items())]))
