@@ -3,14 +3,17 @@
 A text is cut into blocks of a fixed number of bytes. Equal blocks get equal integer names by sorting the
 blocks; then adjacent names are paired and the pairs named in the same way, level by level, until one name
 stands for each document. Names come from comparing whole values, never from a digest alone, so two
-documents share an identity only if they are byte for byte the same.
+documents share an identity only if they are byte for byte the same. Rows that share an id (or have none) are told
+apart by the SHA-256 of their text, which then stands beside the id.
 
 How it runs: a level is one shuffle of its blocks (of the text itself only once, on level 0). Blocks go to
 2^24 ranges of their hash and are ranked by value within a range, so ranges stay small at any input size.
 The up to HOT_KEYS commonest blocks, which could otherwise fill one task, are named from a broadcast table.
 
 Defined cases: a null text counts as empty; empty texts equal each other; rows that repeat an id and a text
-are copies of each other and one of them stays; rows with a null id are documents whose id loses to any other.
+are copies of each other and one of them stays; rows with a null id are documents whose id loses to any other;
+a very long text is cut into as many blocks as it needs; an empty table gives an empty result; all other columns
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,15 +21,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_columns, hot_keys, join_hot, materialize, text_of
+from .common import hot_keys, join_hot, materialize, packed, text_of, unpacked
 
 BLOCK_BYTES = 4096
 RANGE_BITS = 24
-#: Dropped rows up to this number are broadcast (about 24 bytes each); more are joined by shuffle.
+#: Dropped rows up to this number are broadcast (about 50 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _KEY = ["_id", "_fp", "_len"]
 
 
+def _print(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
+
+
 def _named(occurrences: DataFrame, value: list[str], name: str) -> DataFrame:
     """Adds `name`: equal for rows with equal `value` columns, different for all others."""
     occurrences = occurrences.withColumn("_h", F.xxhash64(*value))
@@ -68,7 +75,7 @@ def block_identities(
     rows = df.select(
         F.col(id_col).alias("_id"), text_of(text_col).cast("binary").alias("_b"), *[c.alias(n) for n, c in carry.items()]
     )
-    rows = rows.withColumns({"_fp": F.xxhash64("_b"), "_len": F.octet_length("_b")})
+    rows = rows.withColumns({"_fp": _print(F.col("_b")), "_len": F.octet_length("_b")})
     cut = F.expr(
         f"transform(sequence(0, (_len - 1) div {block_bytes}), i -> substring(_b, cast(i as int) * {block_bytes} + 1, {block_bytes}))"
     )
@@ -127,23 +134,19 @@ def duplicate_report(
 
 def drop_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """df without the rows whose text another row with a larger id has; all columns stay as they are."""
-    plain = drop_columns(df, "_k_id", "_k_fp", "_k_len")
-    report = duplicate_report(plain, text_col, id_col)
-    key = [F.col(id_col).alias("_k_id"), F.col("_fp").alias("_k_fp"), F.col("_len").alias("_k_len")]
+    report = duplicate_report(df, text_col, id_col)
+    key = [F.col(id_col).alias("_k_id"), F.col("_fp").alias("_k_fp")]
     gone = report.where(~F.col("kept") & ~(F.col(id_col).eqNullSafe(F.col("keep_id")))).select(*key)
     again = report.where(F.col("kept") & (F.col("_copies") > 1)).select(*key)
     gone, again = materialize(gone, "gone"), materialize(again, "again")
-    body = text_of(text_col).cast("binary")
-    rows = plain.withColumns({"_r_fp": F.xxhash64(body), "_r_len": F.octet_length(body)})
-    same = (
-        F.col(id_col).eqNullSafe(F.col("_k_id")) & (F.col("_r_fp") == F.col("_k_fp")) & (F.col("_r_len") == F.col("_k_len"))
-    )
+    rows = packed(df, _r_id=F.col(f"`{id_col}`"), _r_fp=_print(text_of(text_col).cast("binary")))
+    same = F.col("_r_id").eqNullSafe(F.col("_k_id")) & (F.col("_r_fp") == F.col("_k_fp"))
 
     def sized(x: DataFrame) -> DataFrame:
         return F.broadcast(x) if x.count() <= BROADCAST_ROWS else x
 
     kept = rows.join(sized(gone), same, "left_anti")
     if not again.isEmpty():
-        repeated = kept.join(sized(again), same, "left_semi").dropDuplicates([id_col, "_r_fp", "_r_len"])
+        repeated = kept.join(sized(again), same, "left_semi").dropDuplicates(["_r_id", "_r_fp"])
         kept = kept.join(sized(again), same, "left_anti").unionByName(repeated)
-    return kept.drop("_r_fp", "_r_len")
+    return unpacked(kept)
