@@ -11,13 +11,19 @@ renamed to its number; the rename fails if another writer took the number. A rea
 none of it. Rows for each shard (file, bytes, rows) are kept as a table beside each run, not on the driver;
 the driver sees one entry for each run.
 
-Defined cases: an empty arrival commits a version without a run; rows, nulls, repeated rows and columns are
-kept as they are; arrivals must have the columns and types of the first one.
+Writers do not block each other: a writer whose number was taken reads the manifest again and commits on top of it
+(a merge only if its runs are still listed). Vacuum spares runs younger than a grace period, since a writer may be
+about to commit them.
+
+Defined cases: an empty arrival commits a version without a run; rows are never looked into, so nulls, empty and very
+long texts, ties, repeated rows and columns of any name are kept as they are; arrivals must have the columns and types
+of the first one, others are refused.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +33,9 @@ from pyspark.sql import types as T
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 RATIO = 4.0
+#: A run that no version lists is left alone for so long, and a commit is tried so often against other writers.
+GRACE_SECONDS = 86_400
+TRIES = 50
 
 
 class CommitConflict(RuntimeError):
@@ -99,12 +108,32 @@ class ShardStore:
         rows, count, size = total.agg(F.sum("rows"), F.count("*"), F.sum("bytes")).first()
         return {"name": name, "rows": rows or 0, "shards": count, "bytes": size or 0}
 
+    def _commit_on(self, change) -> int:
+        """Commit change(runs of the latest version, its schema) -> (runs, schema), again on top of other writers' versions; None: give up."""
+        for _ in range(TRIES):
+            last = self.manifest()
+            made = change(last["runs"], last["schema"])
+            if made is None:
+                return last["version"]
+            try:
+                return self._commit({"version": last["version"] + 1, "schema": made[1], "runs": made[0]})
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"no version number was free in {TRIES} tries")
+
     def append(self, df: DataFrame) -> int:
         """Write df as one run of small shards (one for each of its partitions) and commit; returns the version."""
-        last = self.manifest()
+        kinds = lambda schema: [(f.name, f.dataType.simpleString()) for f in schema]
+
+        def add(runs: list[dict], schema: str | None):
+            if schema and kinds(T.StructType.fromJson(json.loads(schema))) != kinds(df.schema):
+                raise ValueError("the arrival's columns are not those of the store")
+            return runs + ([run] if run and run["rows"] else []), schema or df.schema.json()
+
+        run = None
+        add([], self.manifest()["schema"])
         run = self._write_run(df)
-        runs = last["runs"] + ([run] if run["rows"] else [])
-        return self._commit({"version": last["version"] + 1, "schema": last["schema"] or df.schema.json(), "runs": runs})
+        return self._commit_on(add)
 
     def _similar(self, runs: list[dict]) -> list[dict] | None:
         """The first class of at least `fanout` runs that are not full and have similar shard sizes."""
@@ -125,8 +154,13 @@ class ShardStore:
             most = -(-rows * 5 // (files * 4))  # a file over 1.25 times its share is split
             run = self._write_run(merged, maxRecordsPerFile=most)
             gone = {r["name"] for r in like}
-            runs = [r for r in last["runs"] if r["name"] not in gone] + [run]
-            self._commit({"version": last["version"] + 1, "schema": last["schema"], "runs": runs})
+
+            def replace(runs: list[dict], schema: str, gone=gone, run=run):
+                if not gone <= {r["name"] for r in runs}:  # another writer merged some of them: vacuum takes this run
+                    return None
+                return [r for r in runs if r["name"] not in gone] + [run], schema
+
+            self._commit_on(replace)
         return self.manifest()["version"]
 
     def _scan(self, manifest: dict, runs: list[dict]) -> DataFrame:
@@ -151,14 +185,17 @@ class ShardStore:
             out = out.unionByName(one.withColumn("run", F.lit(name)))
         return out
 
-    def vacuum(self, retain: int = 1) -> int:
-        """Delete runs that none of the last `retain` versions lists, and older manifests; returns how many runs went."""
+    def vacuum(self, retain: int = 1, grace_seconds: float = GRACE_SECONDS) -> int:
+        """Delete runs that none of the last `retain` versions lists and that are older than the grace period, and older manifests; returns how many runs went.
+
+        grace_seconds must be longer than any append or merge takes; 0 is only safe for the store's one writer.
+        """
         known = self.versions()
         live = {r["name"] for v in known[-retain:] for r in self.manifest(v)["runs"]}
-        fs, gone = self._fs(), 0
+        fs, gone, newest = self._fs(), 0, (time.time() - grace_seconds) * 1000
         for status in fs.listStatus(self._path("")):
             name = status.getPath().getName()
-            if name.startswith("run-") and name not in live:
+            if name.startswith("run-") and name not in live and status.getModificationTime() <= newest:
                 fs.delete(status.getPath(), True)
                 fs.delete(self._path(f"_shards/{name}"), True)
                 gone += 1
