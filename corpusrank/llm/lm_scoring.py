@@ -1,7 +1,8 @@
 """Language-model scores of whole texts: subword lattice likelihood under unigram piece scores.
 
-The pieces are those of an existing vocabulary; their scores are trained: each distinct word of the training
-texts is segmented once and its pieces count as often as the word. A text's probability sums over all
+The pieces are those of an existing vocabulary; their scores are trained, since the vocabulary at hand holds ranks of
+merges and no probabilities: each distinct word of the training texts is segmented once, greedily, and its pieces
+count as often as the word (one hard step of expectation-maximisation). A text's probability sums over all
 segmentations of all its words into pieces, times one end; a forward recursion in log space gives each
 distinct word's sum. A character that no piece holds is spelled by its byte pieces.
 
@@ -11,7 +12,8 @@ broadcast is bounded) are added up where the text is; the others go through one
 word is common. Nothing of a text but its rare words is moved.
 
 Defined cases: a null text counts as empty, and an empty text is one end; rows with a null id are training
-rows; repeated rows count as often as they appear; an empty table gives an empty result.
+rows; repeated rows count as often as they appear; a very long text is a slice of its own; other columns do not
+matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices
+from .common import materialize, releasing, slices
 
 HOT_SHARE = 400_000
 SLICE_CHARS = 4_000_000
-MAX_PIECE = 16
 _LN10 = math.log(10)
 
 
@@ -62,7 +63,7 @@ def word_counts(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
             cols = [pa.array(list(both), pa.binary()), pa.array([train[w] + test[w] for w in both], pa.int64()), pa.array([train[w] for w in both], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["word", "seen", "trained"])
 
-    parts = rows.mapInArrow(count, "word binary, seen long, trained long")
+    parts = rows.mapInArrow(releasing(count), "word binary, seen long, trained long")
     return materialize(parts.groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("trained").alias("trained")), "lm-words")
 
 
@@ -80,7 +81,7 @@ def piece_scores(words: DataFrame, model: str, ends: int) -> tuple[dict[str, flo
         cols = [pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, ["piece", "n"])
 
-    counts = words.where("trained > 0").select("word", "trained").mapInArrow(count, "piece int, n long")
+    counts = words.where("trained > 0").select("word", "trained").mapInArrow(releasing(count), "piece int, n long")
     got = {r.piece: r.n for r in counts.groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # at most the vocabulary
     sp = _processor(model)
     normal = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i))]
@@ -91,12 +92,13 @@ def piece_scores(words: DataFrame, model: str, ends: int) -> tuple[dict[str, flo
     return pieces, [by_byte[b] for b in range(256)], math.log(ends + 0.5) - total
 
 
-def lattice(word: str, pieces: dict[str, float], spelled: list[float]) -> float:
-    """Natural log of the summed probability of all segmentations of the marked word."""
+def lattice(word: str, pieces: dict[str, float], spelled: list[float], longest: int | None = None) -> float:
+    """Natural log of the summed probability of all segmentations of the marked word. longest: the length of the longest piece."""
+    longest = longest or max(map(len, pieces), default=0)
     s = "▁" + word
     a = [0.0]
     for j in range(1, len(s) + 1):
-        paths = [a[i] + p for i in range(max(0, j - MAX_PIECE), j) if (p := pieces.get(s[i:j])) is not None]
+        paths = [a[i] + p for i in range(max(0, j - longest), j) if (p := pieces.get(s[i:j])) is not None]
         if s[j - 1] not in pieces:
             paths.append(a[j - 1] + sum(spelled[b] for b in s[j - 1].encode()))
         top = max(paths)
@@ -121,12 +123,16 @@ class WordModel:
         self.end_score = end / _LN10
         self.end_base = self._log(self.ends)
 
+        longest = max(map(len, pieces), default=0)
+
         def run(batches):
             for b in batches:
-                got = [lattice(w.decode(), pieces, spelled) / _LN10 for w in b.column("word").to_pylist()]
+                got = [lattice(w.decode(), pieces, spelled, longest) / _LN10 for w in b.column("word").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, "score"])
 
-        scored = words.mapInArrow(run, "word binary, seen long, trained long, score double")
+        # the table of words is small for its work, so its tasks are not those of its files
+        words = words.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        scored = words.mapInArrow(releasing(run), "word binary, seen long, trained long, score double")
         total = self.tokens + 0.5 * (self.distinct + 1)
         base = F.log10((F.col("trained") + 0.5) / F.lit(float(total)))
         self.words = materialize(scored.select("word", "seen", (F.col("trained") > 0).alias("known"), base.alias("base"), "score"), "lm-scores")
@@ -167,7 +173,7 @@ class WordModel:
         schema = T.StructType([*rows.schema][:2]).add("_n", "long").add("_k", "double").add("_b", "double").add("_s", "double")
         schema = schema.add("_rare", T.ArrayType(T.StructType().add("word", T.BinaryType()).add("n", T.LongType())))
         # the table fixes each row's number, so a task that runs again cannot change it
-        rows = materialize(rows.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "lm-rows")
+        rows = materialize(rows.mapInArrow(releasing(run), schema).withColumn("_row", F.monotonically_increasing_id()), "lm-rows")
         rest = self.words.where(F.col("seen") < self.hot_least)
         rare = rows.select("_row", F.explode("_rare").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.n").alias("_times"))
         times = F.col("_times")
