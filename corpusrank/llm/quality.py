@@ -11,7 +11,9 @@ lowest). Scoring reads every whole text once and shuffles nothing.
 
 Defined cases: null and empty texts have all-zero statistics and get a score like any other; without
 labelled rows every score is 0.5; rows with a null label or id are not fitted; of several labels for one id
-their mean counts.
+their mean counts; without labelled rows in the calibration fold the map is fitted on the rows that the weights were
+fitted on (scores are then too sure of themselves); without any in the other folds every score is 0.5; repeated
+rows get one score each; all other columns stay, but for one named as the score's, which is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_columns, materialize
+from .common import drop_columns, materialize, releasing
 
 MAX_FIT = 200_000
 FIT_PARTITIONS = 16
@@ -130,7 +132,7 @@ def labelled_statistics(df: DataFrame, labels: DataFrame, label_col: str, text_c
             stats = pa.array(list(_stats_of(b, "_text")), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([stats, b.column("_y"), b.column("_fold")], ["stats", "y", "fold"])
 
-    return materialize(rows.mapInArrow(run, "stats array<double>, y double, fold int"), "quality-stats")
+    return materialize(rows.mapInArrow(releasing(run), "stats array<double>, y double, fold int"), "quality-stats")
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", max_fit: int = MAX_FIT) -> QualityModel:
@@ -148,7 +150,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", text_col:
                 n, s, q = n + len(x), s + x.sum(0), q + (x * x).sum(0)
         yield pd.DataFrame({"n": [n], "s": [s.tolist()], "q": [q.tolist()]})
 
-    got = train.mapInPandas(moments, "n long, s array<double>, q array<double>").collect()
+    got = train.mapInPandas(releasing(moments), "n long, s array<double>, q array<double>").collect()
     n = sum(r.n for r in got)
     if not n:
         return model
@@ -167,7 +169,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", text_col:
                 gram, right = gram + f.T @ f, right + f.T @ p["y"].to_numpy()
         yield pd.DataFrame({"gram": [gram.tobytes()], "right": [right.tobytes()]})
 
-    parts = train.mapInPandas(normal_equations, "gram binary, right binary").collect()
+    parts = train.mapInPandas(releasing(normal_equations), "gram binary, right binary").collect()
     gram = np.sum([np.frombuffer(r.gram) for r in parts], 0).reshape(FEATURES + 1, -1)
     right = np.sum([np.frombuffer(r.right) for r in parts], 0)
     model.weights = np.linalg.solve(gram + RIDGE * np.eye(FEATURES + 1), right)
@@ -179,7 +181,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", text_col:
 
     held = rows.where("fold = 4")
     held = rows if held.isEmpty() else held
-    bins = held.mapInPandas(raw, "raw double, y double").groupBy(F.floor(F.least(F.greatest("raw", F.lit(-2.0)), F.lit(3.0)) * SCORE_BINS).alias("bin"))
+    bins = held.mapInPandas(releasing(raw), "raw double, y double").groupBy(F.floor(F.least(F.greatest("raw", F.lit(-2.0)), F.lit(3.0)) * SCORE_BINS).alias("bin"))
     table = bins.agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").toPandas()  # at most 5 x SCORE_BINS rows
     model.knots, model.values = isotonic(table.x.to_numpy(), table.y.to_numpy(), table.n.to_numpy())
     return model
@@ -194,4 +196,4 @@ def score(df: DataFrame, model: QualityModel, text_col: str = "text", score_col:
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, score_col])
 
     plain = drop_columns(df, score_col)
-    return plain.mapInArrow(run, T.StructType([*plain.schema, T.StructField(score_col, T.DoubleType())]))
+    return plain.mapInArrow(releasing(run), T.StructType([*plain.schema, T.StructField(score_col, T.DoubleType())]))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_columns
+from .common import ascii_lower, drop_columns, unused_names
 
 MAX_RULES = 1_000_000
 
@@ -94,10 +94,11 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule], url_col: str = "url", defau
         return pd.DataFrame(found, columns=["rule", "verdict"], dtype=object)
 
     url = F.col(f"`{url_col}`")
-    plain = df.withColumns({"_host": url_host(url), "_path": url_path(url)})
-    plain = plain.withColumn("_judged", judged("_host", "_path"))
+    host, path, found = unused_names(df, "host", "path", "judged")
+    plain = df.withColumns({host: url_host(url), path: url_path(url)})
+    plain = plain.withColumn(found, judged(host, path))
     keep = drop_columns(df, "host", "path", "rule", "verdict").columns
     return plain.select(
         *[F.col(f"`{c}`") for c in keep],
-        F.col("_host").alias("host"), F.col("_path").alias("path"), "_judged.rule", "_judged.verdict",
+        F.col(host).alias("host"), F.col(path).alias("path"), F.col(found)["rule"].alias("rule"), F.col(found)["verdict"].alias("verdict"),
     )

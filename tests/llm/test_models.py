@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusrank.llm import components, jaccard_join, lm_scoring, media, quality, queries, sharding
 from corpusrank.llm.common import scratch_path
@@ -51,7 +52,43 @@ def test_store_keeps_all_rows_through_merges(spark, docs, odd):
     assert sorted(map(key, store.read().select(*df.columns).collect())) == want
     assert sorted(map(key, store.read(before).select(*df.columns).collect())) == want  # old versions stay readable
     assert store.shards().selectExpr("sum(rows)").first()[0] == len(want)
-    assert store.vacuum() > 0 and sorted(map(key, store.read().select(*df.columns).collect())) == want
+    assert store.vacuum() == 0  # the runs are young: a writer may be about to commit them
+    assert store.vacuum(grace_seconds=0) > 0 and sorted(map(key, store.read().select(*df.columns).collect())) == want
+
+
+def test_store_merges_in_tiers(spark, docs, odd):
+    df = docs.unionByName(odd).repartition(16).cache()
+    store = sharding.ShardStore(spark, scratch_path(spark, "store"), fanout=4)
+    for i, p in enumerate(df.randomSplit([1.0] * 16, 5)):
+        store.append(p.repartition(2))
+        if i % 4 < 3:
+            assert store.compact() == store.manifest()["version"] and len(store.manifest()["runs"]) == i // 4 + i % 4 + 1
+        else:
+            store.compact()  # four arrivals are one run; four such runs are one again
+            assert len(store.manifest()["runs"]) == (i // 4 + 1 if i < 15 else 1)
+    assert sorted(map(key, store.read().collect())) == sorted(map(key, df.collect()))
+
+
+def test_store_commits_on_top_of_other_writers(spark, odd, monkeypatch):
+    root = scratch_path(spark, "store")
+    one, two = sharding.ShardStore(spark, root, fanout=2), sharding.ShardStore(spark, root, fanout=2)
+    write = sharding.ShardStore._write_run
+    turns = [True, True]
+
+    def slow(self, df, **options):
+        run = write(self, df, **options)
+        if self is one and turns:
+            turns.pop()
+            two.append(odd.limit(2))
+        return run
+
+    monkeypatch.setattr(sharding.ShardStore, "_write_run", slow)
+    one.append(odd)  # the other store commits between this append's run and its manifest
+    assert [r["rows"] for r in one.manifest()["runs"]] == [2, len(ODD)] and one.read().count() == len(ODD) + 2
+    one.compact()  # and between the merge and its manifest
+    assert one.read().count() == len(ODD) + 4
+    with pytest.raises(ValueError):
+        one.append(odd.drop("lang"))
 
 
 def test_store_refuses_a_taken_version_and_takes_empty_arrivals(spark, odd):
@@ -76,6 +113,32 @@ def test_isotonic():
     assert x.tolist() == [0.0, 1.5, 3.5] and y.tolist() == [0.0, 0.5, 1.0]
 
 
+def test_quality_equals_a_direct_solution(spark):
+    """Weights against least squares on all rows at once, the calibration against every monotone fit's optimality."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.fit(docs, labels)
+    rows = docs.join(labels.where("quality is not null"), "doc_id").select("doc_id", "text", "quality").collect()
+    fold = np.array([zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows])
+    x, y = np.array([quality.statistics(r.text) for r in rows]), np.array([float(r.quality) for r in rows])
+    train = (fold > 0) & (fold < 4)
+    assert np.allclose(model.mean, x[train].mean(0)) and np.allclose(model.scale, np.maximum(x[train].std(0), 1e-6), rtol=1e-3, atol=1e-5)
+    f = model.features(x)
+    # ridge is least squares on rows extended by sqrt(RIDGE) times the identity
+    wide = np.vstack([f[train], np.sqrt(quality.RIDGE) * np.eye(f.shape[1])])
+    direct = np.linalg.lstsq(wide, np.concatenate([y[train], np.zeros(f.shape[1])]), rcond=None)[0]
+    assert np.allclose(f @ model.weights, f @ direct, atol=1e-6)
+    # pools of binned scores: increasing, each the mean of its rows
+    raw, yy = (f @ direct)[fold == 4], y[fold == 4]
+    bins = np.floor(np.clip(raw, -2, 3) * quality.SCORE_BINS)
+    keys = np.unique(bins)
+    means = [raw[bins == b].mean() for b in keys], [yy[bins == b].mean() for b in keys], [(bins == b).sum() for b in keys]
+    best = np.array([min(max(np.average(means[1][i : j + 1], weights=means[2][i : j + 1]) for i in range(k + 1)) for j in range(k, len(keys))) for k in range(len(keys))])
+    got = np.interp(means[0], model.knots, model.values)
+    pools = np.interp(model.knots, means[0], best)
+    assert np.all(np.diff(model.values) > 0) and np.allclose(model.values, pools, atol=0.05) and np.abs(got - best).mean() < 0.05
+
+
 def test_quality_on_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
@@ -238,10 +301,40 @@ def test_chunks_join_and_follow_content():
     assert len(set(cut) & set(moved)) >= len(cut) - 3
 
 
+def test_media_digest_is_of_bytes_that_were_stored(spark, docs):
+    store = media.MediaStore.write(docs.select("doc_id", "text"))
+    heads = {r["_row"].doc_id: bytes(r["_m_head"]) for r in store.media.collect()}
+    bodies = {bytes(r.digest): bytes(r.body) for r in store.chunks.collect()}
+    bodies |= {hashlib.sha256(b).digest(): bytes(b) for r in store.media.collect() for b in r["_m_bodies"] if b is not None}
+    for r in store.payloads().collect():
+        head, chunks = heads[r.doc_id], b""
+        for i in range(r.n_chunks):
+            at = 16 + 36 * i
+            chunks += bodies[head[at + 4 : at + 36]]
+        assert bytes(r.media) == head + chunks and chunks == bytes(r.payload)
+    broken = store.media.withColumn("_m_head", F.overlay("_m_head", F.lit(b"\x00" * 8), F.lit(30)))
+    with pytest.raises(Exception, match="differs"):
+        media.MediaStore(broken, store.chunks).payloads().collect()
+
+
+def plain_feature(x, chunks):
+    n = len(x)
+    p = [x.count(b) / n for b in set(x)]
+    mean = sum(x) / n
+    std = math.sqrt(sum((b - mean) ** 2 for b in x) / n)
+    step = sum(abs(a - b) for a, b in zip(x, x[1:])) / (n - 1)
+    return {"chunks": chunks, "mean": mean, "std": std, "entropy": -sum(q * math.log2(q) for q in p), "step": step}
+
+
 def test_media_query(spark, sf_dir, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in queries.op9_media(spark, sf_dir).collect():
         n, payload = media.payload_of(texts[r.doc_id])
+        cut = media.chunks_of(payload)
+        form = media.head_of(cut) + payload
+        assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+        got = {k: float(v) for k, v in (x.split("=") for x in r.feature.split(";"))}
+        assert got == pytest.approx(plain_feature(payload, len(cut)), abs=1e-3)
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (n, len(payload), zlib.crc32(payload[-64:]))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.feature.startswith("chunks=")
 
@@ -291,6 +384,48 @@ def test_lm_counts_and_scores(spark, docs, odd, share, monkeypatch):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_lm_scores_equal_brute_force(spark, docs, odd):
+    """The whole model in plain Python: pieces counted over all training words, all segmentations of each word summed by recursion."""
+    import sentencepiece
+    from functools import cache
+
+    df = docs.limit(40).unionByName(odd.limit(8)).select("doc_id", "text")
+    rows = [(r.doc_id, lm_scoring.words_of(r.text)) for r in df.collect()]
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    is_held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    train = [w.decode() for i, ws in rows if not is_held(i) for w in ws if len(w) < 10_000]
+    train += [w.decode() for i, ws in rows if not is_held(i) for w in ws if len(w) >= 10_000]
+    counts = Counter(p for w in train for p in sp.encode(w))
+    ends = sum(not is_held(i) for i, _ in rows)
+    normal = [i for i in range(sp.get_piece_size()) if not sp.is_control(i) and not sp.is_unknown(i)]
+    total = sum(counts.values()) + ends + 0.5 * (len(normal) + 1)
+    score = {sp.id_to_piece(i): math.log((counts[i] + 0.5) / total) for i in normal}
+    longest = max(map(len, score))
+
+    def word(w):
+        s = "▁" + w
+
+        @cache
+        def rest(i):  # the summed probability of s[i:]
+            if i == len(s):
+                return 1.0
+            out = sum(math.exp(score[s[i:j]]) * rest(j) for j in range(i + 1, min(len(s), i + longest) + 1) if s[i:j] in score and not s[i:j].startswith("<0x"))
+            if s[i] not in score:
+                out += math.exp(sum(score[f"<0x{b:02X}>"] for b in s[i].encode())) * rest(i + 1)
+            return out
+
+        return math.log10(rest(0))
+
+    known = {w: word(w.decode()) for _, ws in rows for w in ws if len(w) < 300}
+    got = lm_scoring.WordModel(df, queries.piece_model()).score(df).collect()
+    want = Counter()
+    for i, ws in rows:
+        if all(w in known for w in ws):
+            want[str(i), round(sum(known[w] for w in ws) + math.log10((ends + 0.5) / total), 6)] += 1
+    have = Counter((str(r.doc_id), round(r.score, 6)) for r in got)
+    assert len(want) > 40 and all(any(k[0] == h[0] and abs(k[1] - h[1]) < 1e-4 for h in have) for k in want)
+
+
 def test_lm_is_better_than_uniform_and_takes_empty_tables(spark, docs):
     df = docs.select("doc_id", "text")
     model = lm_scoring.WordModel(df, queries.piece_model())

@@ -78,6 +78,9 @@ def test_codec_is_the_library(spark, docs, odd):
         assert r.ids == ids
         assert r.decoded == sp.decode(ids)
     assert _codec(odd.limit(0), model) == []
+    both = piece_codec.round_trip(docs.unionByName(odd), model).collect()
+    key = lambda r: (str(r.doc_id), r.text or "", r.ids, r.decoded)
+    assert sorted(map(key, both)) == sorted(map(key, rows))
 
 
 def test_words_join_to_the_text():
@@ -317,6 +320,57 @@ def test_mix(spark, docs, odd):
     assert mixing.Mix(df.limit(0)).taken().count() == 0
 
 
+@pytest.mark.parametrize("shards", [5, 16])
+def test_taken_and_shards_equal_brute_force(spark, docs, odd, shards, monkeypatch):
+    """Walk each source one document after the other; draw shards for all blocks in one go."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 900)
+    df = docs.unionByName(odd.where("doc_id is not null").withColumn("doc_id", F.monotonically_increasing_id() + 100_000))
+    mix = mixing.Mix(df, shards=shards)
+    rows = mix.in_blocks.withColumn("_h", F.xxhash64("_key", F.lit(1))).collect()
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r["_source"]].append(r)
+    want, draws = {}, {}
+    for source, rs in by_source.items():
+        left, out, passes = rs[0]["_left"], rs[0]["_out"], rs[0]["_passes"]
+        size, walk = defaultdict(int), {}
+        for r in rs:
+            size[r["_key"]] += r["_size"]
+            walk[r["_key"]] = (r["_block"], r["_h"], r["_key"])
+        picked = set()
+        for k in sorted((k for k in size if size[k]), key=walk.get):
+            if left > 0 and size[k] <= left:
+                picked.add(k)
+                left -= size[k]
+        rest = [(size[k], k) for k in size if size[k] and k not in picked and size[k] < 2 * left]
+        if left > 0 and rest:
+            picked.add(min(rest)[1])
+        for r in rs:
+            want[r["_id"]] = r["_size"] * (passes + (rs[0]["_left"] > 0 and (r["_key"] in picked) != out))
+        n = defaultdict(int)
+        for b in {walk[k][0] for k in size}:
+            inside = {k for k in size if size[k] and walk[k][0] == b}
+            n[b] = passes + (rs[0]["_left"] > 0 and any((k in picked) != out for k in inside) or bool(not inside and out))
+        draws[source] = sum(n.values())
+    got = mix.taken().collect()
+    assert {r.doc_id: r.taken for r in got} == want and len(got) == len(rows)
+    assert all(r.taken == r["size"] * len(r.shards.split(",") if r.shards else []) for r in got)
+    # every draw of a block went to the shard that the tree gave its source
+    names = sorted(draws)
+    tree = mixing.split_counts(np.array([draws[s] for s in names]), shards)
+    dealt = np.zeros_like(tree)
+    for r in mix.blocks.where("_shards is not null").collect():
+        for shard in r["_shards"]:
+            dealt[shard, names.index(r["_source"])] += 1
+    assert (dealt == tree).all() and (tree > 0).sum() > shards
+    monkeypatch.setattr(mixing, "split_counts", lambda c, n: np.vstack([c, np.zeros((n - 1, len(c)), np.int64)]))
+    other = {r.doc_id: r.shards for r in mixing.Mix(df, shards=shards).taken().collect()}
+    assert other != {r.doc_id: r.shards for r in got} and set("".join(other.values())) <= set("0,")
+
+
 @pytest.mark.parametrize("share", [0.5, 0.8])
 def test_mix_fills_the_room_of_a_long_document(spark, share):
     rows = [(1000 * k + i, "w " * (100_000 if i == 0 else 500), f"s{k}") for k in range(8) for i in range(201)]
