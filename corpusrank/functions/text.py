@@ -16,10 +16,19 @@ def strip(c: Column) -> Column:
 
 
 def to_simplified(c: Column, singles: dict[str, str], phrases: dict[str, str] | None = None) -> Column:
-    """Left-to-right longest match over a table: phrases (longest first, then in their order), then single characters."""
-    for old, new in sorted((phrases or {}).items(), key=lambda kv: -len(kv[0])):
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return F.translate(c, "".join(singles), "".join(singles.values())) if singles else c
+    """Left-to-right longest match over a table of phrases and single characters; what is replaced is not looked at again."""
+    words = singles | (phrases or {})
+    if not words:
+        return c
+    if all(len(w) == 1 and len(v) == 1 for w, v in words.items()):
+        return F.translate(c, "".join(words), "".join(words.values()))
+    quoted = lambda w: "\\Q" + w + "\\E"
+    firsts = "".join(f"\\x{{{ord(w[0]):x}}}" for w in {w[0]: w for w in words}.values())
+    pattern = "|".join([*(quoted(w) for w in sorted(words, key=len, reverse=True)), f"[^{firsts}]+", "(?s:.)"])
+    table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    # a transform over one entry binds the table, so that it is made once
+    cut = F.struct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("p"), table.alias("m"))
+    return F.transform(F.array(cut), lambda s: F.array_join(F.transform(s["p"], lambda w: F.coalesce(F.try_element_at(s["m"], w), w)), ""))[0]
 
 
 def clean_text(c: Column) -> Column:
@@ -72,12 +81,15 @@ def tokens(c: Column, stop_words: tuple[str, ...] = (), least: int = 1) -> Colum
     return F.filter(words, keep)
 
 
-def han_tokens(c: Column, stop_words: tuple[str, ...] = (), least: int = 1) -> Column:
-    """Adjacent pairs of Han characters and lower-case runs of other letters and digits, in order."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
-    pairs = lambda r: F.when(
-        r.rlike(r"^\p{IsHan}{2,}$"), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    ).otherwise(F.array(r))
+def han_tokens(c: Column, stop_words: tuple[str, ...] = (), least: int = 1, dictionary: tuple[str, ...] = ()) -> Column:
+    """Adjacent pairs of Han characters and lower-case runs of other letters and digits, in order. Words of the dictionary are kept whole."""
+    words = [w.lower() for w in sorted(dictionary, key=len, reverse=True)]
+    whole = "|".join(f"\\Q{w}\\E" for w in words)
+    other = r"[\p{L}\p{N}&&[^\p{IsHan}]]"
+    pattern = f"{whole}|(?:(?!{whole})\\p{{IsHan}})+|(?:(?!{whole}){other})+" if words else f"\\p{{IsHan}}+|{other}+"
+    runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern), F.lit(0))
+    paired = lambda r: r.rlike(r"^\p{IsHan}{2,}$") & (~r.isin(*words) if words else F.lit(True))
+    pairs = lambda r: F.when(paired(r), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))).otherwise(F.array(r))
     keep = lambda w: (F.length(w) >= least) & (~w.isin(*stop_words) if stop_words else F.lit(True))
     return F.filter(F.flatten(F.transform(runs, pairs)), keep)
 

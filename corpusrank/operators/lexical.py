@@ -1,4 +1,9 @@
-"""Lexical retrieval: postings, term statistics, Okapi BM25 and its boosts, for a table of queries at once."""
+"""Lexical retrieval: postings, term statistics, Okapi BM25 and its boosts, for a table of queries at once.
+
+Texts are cut once, into a table of postings that also holds each document's length; statistics come from that
+table. Queries reach postings by a broadcast of their terms where these are at most BROADCAST_TERMS rows, so postings
+are not shuffled; above that by a shuffled join in which common terms are spread over several tasks.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +14,24 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.profiles import ZH, Profile
+from ..plans.scratch import materialize
 
+BROADCAST_TERMS, SALTS, HOT_TERM = 300_000, 32, 100_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP_K = 50
 BOOST_CAP = 1.5
 
 
-def tokenizer(profile: Profile = ZH, least: int = 1):
-    """The built-in tokenizer of a profile, as a function of columns; a plug-in is any such function."""
-    cut = T.han_tokens if profile.name == "zh" else T.tokens
-    return lambda c: cut(c, profile.stop_words, least)
+def tokenizer(profile: Profile = ZH, least: int = 1, dictionary: tuple[str, ...] = ()):
+    """The built-in tokenizer of a profile, as a function of columns; a plug-in is any such function. dictionary: words to keep whole."""
+    if profile.name == "zh":
+        return lambda c: T.han_tokens(c, profile.stop_words, least, dictionary)
+    return lambda c: T.tokens(c, profile.stop_words, least)
 
 
 @dataclass
 class Index:
-    postings: DataFrame  # key, term, tf
-    lengths: DataFrame  # key, dl
+    postings: DataFrame  # key, dl, term, tf
     terms: DataFrame  # term, df, idf
     documents: int
     average: float
@@ -36,22 +43,40 @@ def term_counts(df: DataFrame, tokens: Column, key: str) -> DataFrame:
 
 
 def build_index(df: DataFrame, tokens: Column, key: str = "doc_id") -> Index:
-    """Inverted index of a table: every term that is in over half of the documents gets a quarter of the mean idf."""
-    postings = term_counts(df, tokens, key)
-    lengths = df.select(key, F.size(tokens).alias("dl"))
-    n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = terms.withColumn("raw", raw)
-    mean = terms.agg(F.avg("raw")).first()[0] or 0.0
+    """Inverted index of a table (one row a key): every term that is in over half of the documents gets a quarter of the mean idf."""
+    # a transform over one entry binds the tokens, so that a text is cut once
+    cut = F.transform(F.array(tokens), lambda t: F.struct(t.alias("t"), F.size(t).alias("dl")))[0]
+    rows = df.select(key, cut.alias("_c")).select(key, "_c.dl", F.explode("_c.t").alias("term"))
+    postings = materialize(rows.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    return index_of(postings, df.count(), key)
+
+
+def index_of(postings: DataFrame, documents: int, key: str = "doc_id") -> Index:
+    """The index of stored postings of so many documents (those without a term have no posting)."""
+    raw = F.log((F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = materialize(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).withColumn("raw", raw), "terms")
+    mean, total = terms.agg(F.coalesce(F.avg("raw"), F.lit(0.0)), F.coalesce(F.sum("tf"), F.lit(0))).first()
     terms = terms.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, lengths, terms, n, total / n if n else 0.0, key)
+    return Index(postings, terms, documents, total / documents if documents else 0.0, key)
 
 
 def bm25(index: Index, queries: DataFrame, tokens: Column, query_cols: list[str]) -> DataFrame:
     """(query_cols, key, score) of the documents that share a term with the query; a term counts as often as the query has it."""
     q = queries.select(*query_cols, F.explode(tokens).alias("term")).groupBy(*query_cols, "term").agg(F.count("*").alias("qtf"))
-    hits = q.join(index.terms, "term").join(index.postings, "term").join(index.lengths, index.key)
+    q = materialize(q, "query-terms")
+    asked = q.select("term").distinct()
+    few = q.count() <= BROADCAST_TERMS
+    known = index.terms.join(F.broadcast(asked) if few else asked, "term", "left_semi")
+    q = q.join(known, "term")
+    if few:
+        hits = index.postings.join(F.broadcast(q), "term")
+    else:
+        hot = F.col("df") >= HOT_TERM
+        spread = q.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        common = [r[0] for r in index.terms.where(hot).orderBy(F.desc("df")).limit(1000).select("term").collect()]
+        salt = F.when(F.col("term").isin(common), F.pmod(F.xxhash64(index.key), F.lit(SALTS)).cast("int")).otherwise(0)
+        spread = spread.where((F.col("_salt") == 0) | F.col("term").isin(common))
+        hits = index.postings.withColumn("_salt", salt).join(spread, ["term", "_salt"])
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(index.average or 1.0)))
     return hits.groupBy(*query_cols, index.key).agg(F.sum(part).alias("score"))
@@ -69,10 +94,10 @@ def search(index: Index, queries: DataFrame, query_tokens: Column, query_cols: l
     names: (key, ...) rows whose name_tokens are compared with the query; a name that shares a token with a query
     reaches it through a join by token, so documents without any query term are boosted too.
     """
-    scores = bm25(index, queries, query_tokens, query_cols)
-    every = Window.partitionBy(*query_cols)
-    most = F.max("score").over(every)
-    scores = scores.withColumn("score", F.when(most > 0, F.col("score") / most).otherwise(F.col("score")))
+    scores = materialize(bm25(index, queries, query_tokens, query_cols), "bm25")
+    most = scores.groupBy(*query_cols).agg(F.max("score").alias("_most"))  # combined in the tasks, then one row a query
+    scores = scores.join(most, query_cols)
+    scores = scores.withColumn("score", F.when(F.col("_most") > 0, F.col("score") / F.col("_most")).otherwise(F.col("score"))).drop("_most")
     if names is not None:
         sets = names.select(index.key, F.explode(F.array_distinct(name_tokens)).alias("term"), F.size(F.array_distinct(name_tokens)).alias("n"))
         q = queries.select(*query_cols, F.explode(F.array_distinct(query_tokens)).alias("term"))
@@ -81,7 +106,7 @@ def search(index: Index, queries: DataFrame, query_tokens: Column, query_cols: l
         base = F.coalesce("score", F.lit(0.0))
         scores = scores.withColumn("score", F.when(F.col("boost").isNotNull(), F.least(base + F.col("boost"), F.lit(BOOST_CAP))).otherwise(base)).drop("boost")
     scores = scores.where("score > 0")
-    best = every.orderBy(F.desc(F.round("score", 9)), index.key)
+    best = Window.partitionBy(*query_cols).orderBy(F.desc(F.round("score", 9)), index.key)  # tasks keep their own best k first
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

@@ -38,8 +38,13 @@ def reciprocal_rank(k: int) -> Column:
     return F.when(first <= k, 1 / first).otherwise(0.0)
 
 
+def rounded(c: Column) -> Column:
+    """Four digits, ties up: nine digits first, so that the order in which doubles were added never decides."""
+    return F.round(F.round(c, 9) + 1e-10, 4)
+
+
 def _mean(c: Column) -> Column:
-    return F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
+    return rounded(F.coalesce(F.avg(c), F.lit(0.0)))
 
 
 def _columns(ks=KS) -> dict[str, Column]:
@@ -127,3 +132,24 @@ def qa_statistics(pairs: DataFrame, type_col: str = "qa_type", doc_col: str = "s
     """(grouping, value, n) of stored pairs by type and by document."""
     g = pairs.groupingSets([[type_col], [doc_col]], type_col, doc_col).agg(F.grouping(type_col).alias("_g"), F.count("*").alias("n"))
     return g.select(F.when(F.col("_g") == 0, type_col).otherwise(doc_col).alias("grouping"), F.when(F.col("_g") == 0, F.col(type_col)).otherwise(F.col(doc_col)).alias("value"), "n")
+
+
+def qa_documents(pairs: DataFrame, doc_col: str = "source_doc") -> DataFrame:
+    """One row: how many documents have pairs, and the fewest and most that one has."""
+    per = pairs.groupBy(F.coalesce(doc_col, F.lit("unknown")).alias("d")).agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("documents"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+def collection(results: DataFrame) -> DataFrame:
+    """One row about collected results (query_id, retrieved_chunks, retrieval_time_ms): queries, chunks, chunks a query, mean time."""
+    n = F.count("*")
+    return results.agg(
+        n.alias("queries"), F.coalesce(F.sum(F.size("retrieved_chunks")), F.lit(0)).alias("chunks"),
+        F.round(F.avg(F.size("retrieved_chunks")), 1).alias("chunks_per_query"), F.round(F.avg("retrieval_time_ms"), 0).alias("mean_ms"),
+    )
+
+
+def collected(results: DataFrame) -> DataFrame:
+    """(query_id, chunks, documents): chunks and distinct source documents of each collected result."""
+    docs = F.size(F.array_distinct(F.transform("retrieved_chunks", lambda c: c["source_doc"])))
+    return results.select("query_id", F.size("retrieved_chunks").alias("chunks"), docs.alias("documents"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.profiles import LATIN as P
+from .functions.profiles import MIRROR_SITES
 from .operators import chunk, dedup, filters, formatting, lexical, lines, metrics, qa, query, rank, refine, vectors
 from .plans import engine
 from .plans.scratch import materialize
@@ -119,7 +120,7 @@ def txt_truncate(spark, d):
 
 
 _NAME = r"regexp_replace(url, '([^./])\.[^./]*$', '\1')"
-for _p in lines._MIRROR:
+for _p in MIRROR_SITES:
     _NAME = f"regexp_replace({_NAME}, '{_p}', '', 'gi')"
 _NAME = f"regexp_replace({_strip(_NAME)}, '[-_]{{2,}}', '-', 'g')"
 _NAME_SQL = f"n0 AS (SELECT page_id, url, {_NAME} AS c FROM pages)"
@@ -152,16 +153,6 @@ def src_pick_variants(spark, d):
 # -- refinement ----------------------------------------------------------------------------------------------
 
 
-@_query()
-def ref_score_paragraphs(spark, d):
-    return refine.score_paragraphs(_docs(spark, d), P)
-
-
-@_query()
-def ref_chapters(spark, d):
-    return refine.split_chapters(_docs(spark, d), P)
-
-
 @_query()
 def ref_budget_extract(spark, d):
     return refine.refine(_docs(spark, d), P, 3000)
@@ -258,16 +249,6 @@ def jon_stratified_sample(spark, d):
     return filters.stratified(_docs(spark, d).select("doc_id", "source", "lang"), 300, "source", "lang", ["doc_id"])
 
 
-@_query()
-def jon_ngram_similarity(spark, d):
-    return dedup.similar_pairs(_docs(spark, d)).withColumn("similarity", F.round("similarity", 6))
-
-
-@_query()
-def jon_content_dedup(spark, d):
-    return dedup.content_dedup(_docs(spark, d)).select("doc_id")
-
-
 # -- vectors -------------------------------------------------------------------------------------------------
 
 
@@ -319,11 +300,6 @@ def vec_similar_pairs(spark, d):
     return vectors.similar_vectors(_vectors(spark, d), 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
-@_query()
-def vec_dedup(spark, d):
-    return vectors.dedup(_vectors(spark, d), 0.4).select("vec_id")
-
-
 @_query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings")
 def vec_normalize(spark, d):
     return _vectors(spark, d).select("vec_id", F.transform(vectors.normalized(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
@@ -487,16 +463,6 @@ def rnk_islands(spark, d):
     return rank.merge_adjacent(rows, "place", 10).select("query_id", "final_place", "chunk_id", "content", "merged_count")
 
 
-@_query()
-def rnk_mmr(spark, d):
-    """Every hundredth vector as a query: its 50 nearest in order of marginal relevance."""
-    v = _vectors(spark, d)
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    near = vectors.top_k(q.withColumnRenamed("query_vector", "embedding"), v, 50)
-    rows = near.join(v, "vec_id").join(q, "query_id").select("query_id", F.col("vec_id").alias("chunk_id"), F.col("rank").alias("place"), "embedding", "query_vector")
-    return rank.mmr(rows, 15)
-
-
 def _pairs(spark, d):
     return qa.pairs_of_turns(_t(spark, d, "conversations"))
 
@@ -509,13 +475,6 @@ def rnk_qa_pairs(spark, d):
     return _pairs(spark, d)
 
 
-@_query()
-def rnk_qa(spark, d):
-    queries = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    pairs = materialize(_pairs(spark, d), "pairs")
-    return qa.search(pairs, queries, lexical.tokenizer(P, 2), engine.default_embed(P)).withColumn("score", F.round("score", 6))
-
-
 def _base(spark, d):
     docs = _docs(spark, d)
     queries = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
@@ -562,6 +521,7 @@ def _evaluations(spark, d):
     )
 
 
+_four = lambda x: f"round(round(({x})::DOUBLE, 9) + 1e-10, 4)"
 _prec = lambda k: f"(len(list_filter(ch[1:{k}], lambda c: c)) / len(ch[1:{k}]))"
 _METRIC = {f"context_precision@{k}": f"avg({_prec(k)})" for k in metrics.KS}
 _METRIC |= {f"ranking_quality@{k}": f"avg(CASE WHEN first <= {k} THEN 1.0 / first ELSE 0 END)" for k in metrics.KS}
@@ -570,17 +530,20 @@ _METRIC |= {
 }
 
 
-@_query(f"WITH {_EVALS} " + " UNION ALL ".join(f"SELECT '{n}' AS metric, round({x}, 4)::DOUBLE AS value FROM x" for n, x in _METRIC.items()))
+@_query(f"WITH {_EVALS} " + " UNION ALL ".join(f"SELECT '{n}' AS metric, {_four(x)} AS value FROM x" for n, x in _METRIC.items()))
 def agg_metrics(spark, d):
     return metrics.metrics(_evaluations(spark, d))
 
 
 def _group(col: str, quality: str) -> str:
-    return f"""SELECT '{col}' AS "grouping", {col} AS value, count(*) AS n, round(avg({_prec(10)}), 4) AS context_precision, round(avg(crs / 5), 4) AS context_relevance,
-    round(avg(suff::INT), 4) AS context_sufficiency, {quality} AS ranking_quality FROM x GROUP BY {col}"""
+    return f"""SELECT '{col}' AS "grouping", {col} AS value, count(*) AS n, {_four(f'avg({_prec(10)})')} AS context_precision, {_four('avg(crs / 5)')} AS context_relevance,
+    {_four('avg(suff::INT)')} AS context_sufficiency, {quality} AS ranking_quality FROM x GROUP BY {col}"""
 
 
-@_query(f"WITH {_EVALS} {_group('query_type', 'round(avg(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0 END), 4)')} UNION ALL {_group('difficulty', 'NULL')}")
+_GROUPS = f"{_group('query_type', _four('avg(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0 END)'))} UNION ALL {_group('difficulty', 'NULL')}"
+
+
+@_query(f"WITH {_EVALS} {_GROUPS}")
 def agg_groups(spark, d):
     return metrics.group_metrics(_evaluations(spark, d))
 
@@ -601,11 +564,27 @@ def agg_details(spark, d):
     return metrics.details(_evaluations(spark, d))
 
 
-@_query()
+def _report_sql(share: float | None) -> str:
+    none, short = "f1 > n * 0.1", f"f3 > n * {share}" if share is not None else "false"
+    p, r, s = '"context_precision@10"', "context_relevance", "context_sufficiency"
+    grade = " ".join(f"WHEN {p} >= {a} AND {r} >= {b} AND {s} >= {c} THEN '{g}'" for g, a, b, c in metrics.GRADES)
+    return f"""WITH {_EVALS}, g AS ({_GROUPS}), w AS (SELECT coalesce(string_agg(value, ',' ORDER BY value), '') AS weak FROM g WHERE "grouping" = 'query_type' AND context_precision < 0.5),
+    m AS (SELECT count(*) AS n, count(*) FILTER (nrel = 0) AS f1, count(*) FILTER (nrel > 0 AND NOT suff) AS f3, {", ".join(f'{_four(x)} AS "{n}"' for n, x in _METRIC.items())} FROM x)
+    SELECT m.* EXCLUDE (f1, f3), CASE {grade} ELSE 'C' END AS grade,
+      CASE WHEN {none} THEN 'no relevant chunk' WHEN {short} THEN 'insufficient context' WHEN weak <> '' THEN 'low precision: ' || weak ELSE 'none' END AS bottleneck,
+      CASE WHEN {none} THEN 'widen recall' WHEN {short} THEN 'raise top-k or chunk size' WHEN weak <> '' THEN 'improve expansion and reranking' ELSE 'none' END AS suggestion FROM m, w"""
+
+
+@_query(_report_sql(0.3))
 def agg_report(spark, d):
     return metrics.report(materialize(_evaluations(spark, d), "evaluations"))
 
 
+@_query(_report_sql(None))
+def agg_report_quick(spark, d):
+    return metrics.report(materialize(_evaluations(spark, d), "evaluations"), None)
+
+
 @_query(
     """SELECT * FROM (SELECT 'qa_type' AS "grouping", lang AS value, count(*) AS n FROM documents GROUP BY lang
     UNION ALL SELECT 'source_doc', source, count(*) FROM documents GROUP BY source)"""

@@ -4,13 +4,14 @@ import io
 import json
 import random
 import zipfile
+from dataclasses import replace
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusrank import queries
+from corpusrank import registry
 from corpusrank.functions import text as T
 from corpusrank.functions.profiles import LATIN, ZH
 from corpusrank.operators import chunk, dedup, filters, judge, lines, query, rank, refine, vectors
@@ -131,7 +132,9 @@ def test_pack_equals_the_loop(spark):
         assert r.o == want + [cur] * bool(cur)
 
 
-def test_greedy_drop_equals_the_loop(spark):
+@pytest.mark.parametrize("last", [0, 20, dedup.LAST_EDGES])
+def test_greedy_drop_equals_the_loop(spark, last, monkeypatch):
+    monkeypatch.setattr(dedup, "LAST_EDGES", last)
     rng = random.Random(4)
     edges = {(a, b) for a, b in ((rng.randint(0, 60), rng.randint(0, 60)) for _ in range(90)) if a < b}
     kept, gone = [], set()
@@ -144,7 +147,7 @@ def test_greedy_drop_equals_the_loop(spark):
     assert {r.id for r in got.collect()} == gone
 
 
-def test_similar_pairs_equal_all_pairs(spark):
+def test_similar_pairs_equal_all_pairs(spark, monkeypatch):
     rng = random.Random(5)
     texts = ["".join(rng.choices("abcd", k=60)) for _ in range(12)]
     texts += [t[: rng.randint(30, 60)] + "".join(rng.choices("abcd", k=4)) for t in texts] + ["", "ab", texts[0]]
@@ -155,7 +158,22 @@ def test_similar_pairs_equal_all_pairs(spark):
             if a and b:
                 s = 0.85 if len(a & b) / min(len(a), len(b)) > 0.8 else len(a & b) / len(a | b)
                 want |= {(j, i)} if s > 0.7 else set()
-    assert {(r.a, r.b) for r in dedup.similar_pairs(frame(spark, *texts)).collect()} == want
+    pairs, members = dedup.similar_sets(frame(spark, *texts))
+    of = {r.id: r.rep for r in members.collect()}
+    assert of == {i: min(j for j, b in enumerate(grams) if b == a) for i, a in enumerate(grams) if a}
+    similar = {(r.a, r.b) for r in pairs.collect()}
+    assert all(of[a] == a and of[b] == b for a, b in similar)
+    assert {(j, i) for i in of for j in of if j < i and (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in similar)} == want
+    got = {(r.a, r.b) for r in dedup.similar_pairs(frame(spark, *texts)).collect()}
+    assert got == similar | {(rep, i) for i, rep in of.items() if i != rep}
+    kept = []
+    for i in range(len(texts)):
+        if not any((j, i) in want for j in kept):
+            kept.append(i)
+    assert [r.doc_id for r in dedup.content_dedup(frame(spark, *texts)).orderBy("doc_id").collect()] == kept
+    monkeypatch.setattr(dedup, "MATRIX_COLUMNS", 7)
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 5)
+    assert {(r.a, r.b) for r in dedup.similar_sets(frame(spark, *texts))[0].collect()} == similar
 
 
 def test_vector_dedup_in_blocks(spark, monkeypatch):
@@ -182,7 +200,9 @@ def test_query_understanding(spark):
     assert got[2].entities == ["泰勒", "法约尔"] and got[1].mmr_lambda == 0.3
     made = query.variants(q).orderBy("query_id", "variant_no").collect()
     first = [r.text for r in made if r.query_id == 3]
-    assert first[0] == "如何激励员工" and "如何激励员工 步骤 流程 方法" in first and len(set(first)) == len(first) <= 8
+    assert first[0] == "如何激励员工" and "如何动机员工" in first and len(set(first)) == len(first) <= 8  # 动机 is a synonym of 激励
+    plain = query.variants(q, replace(ZH, synonyms={})).where("query_id = 3").collect()
+    assert "如何激励员工 步骤 流程 方法" in {r.text for r in plain}
 
 
 def test_mmr_order():
@@ -279,10 +299,10 @@ def plain(v):
     return "[" + ",".join(map(plain, v)) + "]" if isinstance(v, (list, tuple)) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.SQL) - {"vec_uniqueness", "vec_quality_filter"}))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_duckdb(spark, sf_dir, duck, name):
-    df = queries.QUERIES[name](ship(spark), sf_dir)
+    df = registry.QUERIES[name](ship(spark), sf_dir)
     cols = sorted(df.columns)
     got = sorted(tuple(map(plain, r)) for r in df.select(*cols).collect())
     quoted = ", ".join(f'"{c}"' for c in cols)
-    assert got == sorted(tuple(map(plain, r)) for r in duck.execute(f"SELECT {quoted} FROM ({queries.SQL[name]})").fetchall())
+    assert got == sorted(tuple(map(plain, r)) for r in duck.execute(f"SELECT {quoted} FROM ({registry.SQL[name]})").fetchall())
