@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +25,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_OPEN: list[list[str]] = []  # the tables of the scopes that are open, innermost last
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes the tables that are materialized inside when it ends, but for those given to the function it yields (what still reads them must be among these)."""
+    made: list[str] = []
+    kept: list[str] = []
+    _OPEN.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._scratch_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        for path in made:
+            if path not in kept:
+                discard(spark, path)
+        if _OPEN:  # the scope around may delete them
+            _OPEN[-1].extend(kept)
