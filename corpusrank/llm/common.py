@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize, scratch_path, shared_dir
+from ..plans.scratch import materialize, scratch_path, scratch_scope, shared_dir
 
 #: Words, as every operator here counts them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -129,7 +129,7 @@ def slices(batch, col: str, most: int):
         yield batch.slice(start)
 
 
-__all__ = ["ascii_lower", "drop_columns", "hot_keys", "join_hot", "join_salted", "materialize", "packed", "release", "releasing", "scratch_path", "shared_dir", "slices", "table", "text_of", "unpacked", "unused_names"]
+__all__ = ["ascii_lower", "drop_columns", "hot_keys", "join_hot", "join_salted", "materialize", "packed", "release", "releasing", "scratch_path", "scratch_scope", "shared_dir", "slices", "table", "text_of", "unpacked", "unused_names"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

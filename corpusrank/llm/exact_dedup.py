@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_keys, join_hot, materialize, packed, text_of, unpacked
+from .common import hot_keys, join_hot, materialize, packed, scratch_scope, text_of, unpacked
 
 BLOCK_BYTES = 4096
 RANGE_BITS = 24
@@ -71,7 +71,11 @@ def block_identities(
 
     carry: further columns computed from a row, kept beside its identity.
     """
-    carry = carry or {}
+    with scratch_scope(df.sparkSession) as keep:
+        return keep(_named_levels(df, text_col, id_col, carry or {}, block_bytes))
+
+
+def _named_levels(df: DataFrame, text_col: str, id_col: str, carry: dict[str, Column], block_bytes: int) -> DataFrame:
     rows = df.select(
         F.col(id_col).alias("_id"), text_of(text_col).cast("binary").alias("_b"), *[c.alias(n) for n, c in carry.items()]
     )
@@ -134,11 +138,12 @@ def duplicate_report(
 
 def drop_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """df without the rows whose text another row with a larger id has; all columns stay as they are."""
-    report = duplicate_report(df, text_col, id_col)
     key = [F.col(id_col).alias("_k_id"), F.col("_fp").alias("_k_fp")]
-    gone = report.where(~F.col("kept") & ~(F.col(id_col).eqNullSafe(F.col("keep_id")))).select(*key)
-    again = report.where(F.col("kept") & (F.col("_copies") > 1)).select(*key)
-    gone, again = materialize(gone, "gone"), materialize(again, "again")
+    with scratch_scope(df.sparkSession) as keep:
+        report = duplicate_report(df, text_col, id_col)
+        gone = report.where(~F.col("kept") & ~(F.col(id_col).eqNullSafe(F.col("keep_id")))).select(*key)
+        again = report.where(F.col("kept") & (F.col("_copies") > 1)).select(*key)
+        gone, again = keep(materialize(gone, "gone")), keep(materialize(again, "again"))
     rows = packed(df, _r_id=F.col(f"`{id_col}`"), _r_fp=_print(text_of(text_col).cast("binary")))
     same = F.col("_r_id").eqNullSafe(F.col("_k_id")) & (F.col("_r_fp") == F.col("_k_fp"))
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, join_salted, materialize, releasing, slices, unused_names
+from .common import hot_keys, join_salted, materialize, releasing, scratch_scope, slices, unused_names
 from .components import connected_components
 
 WORDS = 5
@@ -499,23 +499,24 @@ class JaccardJoin:
         if dict(df.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
             raise TypeError(f"{id_col} is not a column of whole numbers")
         self.id_col = id_col
-        measured = measure(df, text_col, id_col)
-        self.sizes = measured.where("shingle is null").select("id", "n")
-        by_size = self.sizes.where("n > 0").groupBy(F.floor(F.log2("n")).cast("int").alias("e")).agg(F.count("*").alias("c"), F.sum("n").alias("s")).collect()
-        bands = bands_for({r.e: r.c for r in by_size})
-        places = sum(r.s for r in by_size)
-        least = max(3, places // COMMON_SHARE + 1)
-        frequent = measured.where("shingle is not null").groupBy("shingle").agg(F.sum("places").alias("p")).where(F.col("p") >= least)
-        common = np.sort(frequent.select("shingle").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
-        stars = star_pairs(df, text_col, id_col, bands, common)
-        ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-        sets = active_sets(df, materialize(ids, "jaccard-active"), text_col, id_col)
-        links = materialize(verified(stars, sets), "jaccard-links")
-        first = connected_components(links)
-        more = verified(materialize(cross_pairs(sets, first, bands, common), "jaccard-cross"), sets)
-        more = materialize(more, "jaccard-more")
-        self.spanning_links = links.unionByName(more)
-        self.components = first if more.isEmpty() else connected_components(self.spanning_links)
+        with scratch_scope(df.sparkSession) as keep:
+            measured = keep(measure(df, text_col, id_col))
+            self.sizes = measured.where("shingle is null").select("id", "n")
+            by_size = self.sizes.where("n > 0").groupBy(F.floor(F.log2("n")).cast("int").alias("e")).agg(F.count("*").alias("c"), F.sum("n").alias("s")).collect()
+            bands = bands_for({r.e: r.c for r in by_size})
+            places = sum(r.s for r in by_size)
+            least = max(3, places // COMMON_SHARE + 1)
+            frequent = measured.where("shingle is not null").groupBy("shingle").agg(F.sum("places").alias("p")).where(F.col("p") >= least)
+            common = np.sort(frequent.select("shingle").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
+            stars = star_pairs(df, text_col, id_col, bands, common)
+            ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
+            sets = active_sets(df, materialize(ids, "jaccard-active"), text_col, id_col)
+            links = keep(materialize(verified(stars, sets), "jaccard-links"))
+            first = keep(connected_components(links))
+            more = verified(materialize(cross_pairs(sets, first, bands, common), "jaccard-cross"), sets)
+            more = keep(materialize(more, "jaccard-more"))
+            self.spanning_links = links.unionByName(more)
+            self.components = first if more.isEmpty() else keep(connected_components(self.spanning_links))
 
     def classes(self) -> DataFrame:
         """One row for each row of the table: the id, n_shingles and component_id (the smallest id it reaches)."""
@@ -526,7 +527,8 @@ class JaccardJoin:
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """df with one document of each component: that with the smallest id. Rows without an id stay."""
-    found = JaccardJoin(df, text_col, id_col).components
     (own,) = unused_names(df, "gone")
-    gone = materialize(found.where("node <> component").select(F.col("node").alias(own)), "jaccard-gone")
+    with scratch_scope(df.sparkSession) as keep:
+        found = JaccardJoin(df, text_col, id_col).components
+        gone = keep(materialize(found.where("node <> component").select(F.col("node").alias(own)), "jaccard-gone"))
     return df.join(_sized(gone), F.col(id_col) == F.col(own), "left_anti")

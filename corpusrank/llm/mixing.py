@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, drop_columns, materialize, packed, text_of, unpacked
+from .common import WORD, drop_columns, materialize, packed, scratch_scope, text_of, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -94,6 +94,13 @@ class Mix:
 
     def __init__(self, df: DataFrame, text_col="text", id_col="doc_id", source_col="source", shards: int | None = None, weights=WEIGHTS, share=SHARE, cap=CAP):
         self.cols = (text_col, id_col, source_col)
+        with scratch_scope(df.sparkSession) as keep:
+            self._make(df, shards, weights, share, cap)
+            for table in (self.docs, self.blocks, self.edge):
+                keep(table)
+
+    def _make(self, df: DataFrame, shards: int | None, weights, share: float, cap: float) -> None:
+        text_col, id_col, source_col = self.cols
         spark = df.sparkSession
         self.docs = materialize(
             df.select(
