@@ -14,8 +14,10 @@ Targets: sources in code-point order, null last, weigh 3, 1, 2, repeating, and s
 target exceeds CAP times its source's words, and what is cut is shared among the others by weight.
 
 How it runs: documents are only counted once (a narrow table of ids and sizes). Blocks number at most
-MAX_BLOCKS plus one for each source, so windows over blocks stay small; the driver sees one row for each
-source (at most MAX_SOURCES). A hot source is spread over its blocks and is never in one task.
+MAX_BLOCKS plus one for each source, so windows over blocks stay small; targets come from a few aggregates over
+a table of sources. The driver sees the draw counts of at most MAX_GROUPS groups: a group is a source or, beyond that
+many sources, those that share a hash, whose draws are then split together and ranked at random among them. A hot
+source is spread over its blocks and is never in one task.
 
 Defined cases: a null text has size 0; documents of size 0 follow their block and take 0 words; rows that
 repeat an id and a text are drawn together; ties of the walk go by hash, then key; an empty table gives an empty
@@ -32,12 +34,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, drop_columns, materialize, packed, scratch_scope, text_of, unpacked
+from .common import WORD, drop_columns, hot_keys, join_salted, materialize, packed, scratch_scope, text_of, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 BLOCK_WORDS = 65_536
-MAX_BLOCKS, MAX_SOURCES = 1_000_000, 1_000_000
+MAX_BLOCKS, MAX_GROUPS = 1_000_000, 1_000_000
 SHARD_WORDS, MAX_SHARDS = 2_000_000, 4096
 BROADCAST_ROWS = 500_000
 SEED = 20_240_601
@@ -61,6 +63,41 @@ def targets(words: list[int], weights: list[float], share: float = SHARE, cap: f
     return out
 
 
+def _targeted(docs: DataFrame, weights, share: float, cap: float) -> DataFrame:
+    """(_source, _words, _target, _passes) of every source: `targets` as aggregates, whatever the number of sources."""
+    sums = docs.groupBy("_source").agg(F.sum("_size").alias("_words")).orderBy("_source")
+    # the place of a source in the order of all: its place in its range, after the sources of the ranges before
+    placed = materialize(sums.withColumn("_i", F.monotonically_increasing_id()), "mix-order")
+    part = F.shiftrightunsigned("_i", 33)
+    before, offset = [], 0
+    for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect()):  # one row for each range
+        before += [F.lit(p).cast("long"), F.lit(offset).cast("long")]
+        offset += n
+    place = (F.create_map(*before)[part] if before else F.lit(0)) + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.array(*map(F.lit, map(float, weights)))[(place % len(weights)).cast("int")]
+    rows = placed.select("_source", "_words", weight.alias("_w"))
+    left, free = rows.agg(F.coalesce(F.sum("_words"), F.lit(0)) * F.lit(float(share)), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
+    over, known = F.lit(False), 0
+    while free > 0:
+        level = left / free
+        over = F.lit(level) * F.col("_w") > cap * F.col("_words")
+        n, capped, rest, total = rows.agg(
+            F.count(F.when(over, 1)), F.coalesce(F.sum(F.when(over, cap * F.col("_words"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("_w"))), F.lit(0.0)), F.sum("_words") * F.lit(float(share))
+        ).first()
+        if n == known:
+            break
+        known, left, free = n, total - capped, rest
+    target = F.when(over, cap * F.col("_words")).otherwise(F.lit(left / free if free > 0 else 0.0) * F.col("_w"))
+    passes = F.when(F.col("_words") > 0, F.floor(F.col("_target") / F.col("_words"))).otherwise(0)
+    rows = rows.withColumn("_target", target.cast("double")).withColumn("_p", passes)
+    return rows.select("_source", "_words", "_target", (F.col("_p") - F.when(F.col("_p") * F.col("_words") > F.col("_target"), 1).otherwise(0)).cast("int").alias("_passes"))
+
+
+def _group(sources: int) -> Column:
+    """The group that the tree splits a source in: the source itself, or beyond MAX_GROUPS sources some that share a hash."""
+    return F.col("_source") if sources <= MAX_GROUPS else F.concat(F.lit("g"), F.pmod(F.xxhash64("_source"), F.lit(MAX_GROUPS)).cast("string"))
+
+
 def split_counts(counts: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     """counts (one for each source) split into rows for each shard; rows sum to counts and differ in total by at most one."""
     rng = np.random.Generator(np.random.PCG64([seed, shards]))
@@ -96,7 +133,7 @@ class Mix:
         self.cols = (text_col, id_col, source_col)
         with scratch_scope(df.sparkSession) as keep:
             self._make(df, shards, weights, share, cap)
-            for table in (self.docs, self.blocks, self.edge):
+            for table in (self.docs, self.sources, self.blocks, self.edge):
                 keep(table)
 
     def _make(self, df: DataFrame, shards: int | None, weights, share: float, cap: float) -> None:
@@ -109,36 +146,40 @@ class Mix:
             ),
             "mix-docs",
         )
-        sums = self.docs.groupBy("_source").agg(F.sum("_size").alias("w")).orderBy("_source")
-        rows = sums.limit(MAX_SOURCES + 1).collect()
-        if len(rows) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
-        words = [r["w"] for r in rows]
-        # shards of about SHARD_WORDS, as far as a table of sources and shards stays small
-        most = min(MAX_SHARDS, max(1, 100_000_000 // max(1, len(rows))))
-        self.shards = shards or min(most, max(16, math.ceil(share * sum(words) / SHARD_WORDS)))
-        goal = targets(words, [weights[i % len(weights)] for i in range(len(rows))], share, cap)
-        unit = max(BLOCK_WORDS, math.ceil(sum(words) / MAX_BLOCKS))
-        made = []
-        for r, t in zip(rows, goal, strict=True):
-            passes = int(t // r["w"]) if r["w"] else 0
-            rest = float(t - passes * r["w"])
-            out = rest > r["w"] / 2
-            made.append((r["_source"], r["w"], float(t), max(1, round(r["w"] / unit)), passes, r["w"] - rest if out else rest, out))
+        self.sources = _targeted(self.docs, weights, share, cap)
+        n, words = self.sources.agg(F.count("*"), F.coalesce(F.sum("_words"), F.lit(0))).first()
+        groups = min(n, MAX_GROUPS)
+        # shards of about SHARD_WORDS, as far as a table of source groups and shards stays small
+        most = min(MAX_SHARDS, max(1, 100_000_000 // max(1, groups)))
+        self.shards = shards or min(most, max(16, math.ceil(share * words / SHARD_WORDS)))
+        unit = max(BLOCK_WORDS, math.ceil(words / MAX_BLOCKS))
+        rest = F.col("_target") - F.col("_passes") * F.col("_words")
+        out = rest > F.col("_words") / 2
         # _left: words to pick of one more pass; _out: the pass takes what is not picked
-        schema = "_source string, _words long, _target double, _blocks long, _passes int, _left double, _out boolean"
-        self.sources = spark.createDataFrame(made, schema)
-        self.in_blocks = self.docs.join(_sized(self.sources), "_source").withColumn("_block", F.pmod("_key", "_blocks"))
+        self.sources = materialize(
+            self.sources.select(
+                "_source", "_words", "_target", F.greatest(F.lit(1), F.bround(F.col("_words") / unit, 0)).cast("long").alias("_blocks"), "_passes",
+                F.when(out, F.col("_words") - rest).otherwise(rest).alias("_left"), out.alias("_out"), _group(n).alias("_group"),
+            ),
+            "mix-sources",
+        )
+        self.in_blocks = self._with_source(self.docs).drop("_group").withColumn("_block", F.pmod("_key", "_blocks"))
         picked = self._picked()
         blocks = self.in_blocks.groupBy("_source", "_block", "_passes", "_out").agg(F.sum("_size").alias("_n"))
         blocks = blocks.join(picked.groupBy("_source", "_block").agg(F.sum("_n").alias("_p")), ["_source", "_block"], "left").na.fill(0, ["_p"])
         edge = F.when(F.col("_p") == 0, F.when(F.col("_out"), "whole").otherwise("none"))
         edge = edge.when(F.col("_p") == F.col("_n"), F.when(F.col("_out"), "none").otherwise("whole")).otherwise("part")
-        blocks = materialize(blocks.withColumn("_edge", edge), "mix-blocks")
-        self.blocks = self._dealt(blocks, len(made))
+        blocks = materialize(blocks.withColumn("_edge", edge).withColumn("_group", _group(n)), "mix-blocks")
+        self.blocks = self._dealt(blocks)
         part = blocks.where("_edge = 'part'").select("_source", "_block")
         self.edge = materialize(picked.join(_sized(part), ["_source", "_block"]).select("_source", "_key", F.lit(True).alias("_in")), "mix-edge")
 
+    def _with_source(self, rows: DataFrame) -> DataFrame:
+        """rows (_source, ...) with the columns of their sources; a source may have a third of the rows."""
+        if self.sources.count() <= BROADCAST_ROWS:
+            return rows.join(F.broadcast(self.sources), "_source")
+        return join_salted(rows, self.sources, "_source", hot_keys(self.docs, "_source"))
+
     def _picked(self) -> DataFrame:
         """(_source, _block, _key, _n) of the documents picked in one more pass.
 
@@ -172,23 +213,24 @@ class Mix:
         near = near.groupBy("_source").agg(F.min(F.struct("_n", "_key", "_block")).alias("_m"))
         return picked.unionByName(near.select("_source", "_m._block", "_m._key", "_m._n"))
 
-    def _dealt(self, blocks: DataFrame, sources: int) -> DataFrame:
+    def _dealt(self, blocks: DataFrame) -> DataFrame:
         """blocks with _shard: array<int>, the shard of each draw of the block (the last may be a part)."""
         draws = F.col("_passes") + F.when(F.col("_edge") == "none", 0).otherwise(1)
         blocks = blocks.withColumn("_draws", draws)
-        total = {r[0]: r[1] for r in blocks.groupBy("_source").agg(F.sum("_draws")).collect()}
+        total = {r[0]: r[1] for r in blocks.groupBy("_group").agg(F.sum("_draws")).collect()}  # at most MAX_GROUPS rows
         names = sorted(total)
         counts = np.array([total[s] for s in names], np.int64)
         ends = np.cumsum(split_counts(counts, self.shards), axis=0) if names else np.zeros((self.shards, 0), np.int64)
         spark = blocks.sparkSession
         bounds = spark.createDataFrame(
             [(s, [int(x) for x in ends[:, i]]) for i, s in enumerate(names)],
-            T.StructType([T.StructField("_source", T.StringType()), T.StructField("_ends", T.ArrayType(T.LongType()))]),
+            T.StructType([T.StructField("_group", T.StringType()), T.StructField("_ends", T.ArrayType(T.LongType()))]),
         )
-        one = blocks.where("_draws > 0").select("_source", "_block", F.explode(F.sequence(F.lit(1), "_draws")).alias("_draw"))
-        rank = F.row_number().over(Window.partitionBy("_source").orderBy(F.xxhash64("_block", "_draw", F.lit(SEED)), "_block", "_draw"))
+        one = blocks.where("_draws > 0").select("_source", "_group", "_block", F.explode(F.sequence(F.lit(1), "_draws")).alias("_draw"))
+        order = ["_block", "_draw"] if blocks.where("_group <> _source").isEmpty() else ["_source", "_block", "_draw"]
+        rank = F.row_number().over(Window.partitionBy("_group").orderBy(F.xxhash64(*order, F.lit(SEED)), *order))
         shard = F.size(F.filter("_ends", lambda e: e < F.col("_rank")))
-        one = one.withColumn("_rank", rank).join(_sized(bounds), "_source").withColumn("_shard", shard)
+        one = one.withColumn("_rank", rank).join(_sized(bounds), "_group").withColumn("_shard", shard)
         dealt = one.groupBy("_source", "_block").agg(F.sort_array(F.collect_list(F.struct("_draw", "_shard"))).alias("_d"))
         dealt = dealt.select("_source", "_block", F.transform("_d", lambda d: d["_shard"]).alias("_shards"))
         return materialize(
@@ -197,7 +239,7 @@ class Mix:
 
     def _decided(self, rows: DataFrame) -> DataFrame:
         """rows (_source, _key, ...) with source columns and _taken: array<int>, the shards that a row was dealt to, one for each draw."""
-        rows = rows.join(_sized(self.sources.drop("_passes", "_left")), "_source").withColumn("_block", F.pmod("_key", "_blocks"))
+        rows = self._with_source(rows).drop("_passes", "_left", "_group").withColumn("_block", F.pmod("_key", "_blocks"))
         rows = rows.join(_sized(self.blocks.select("_source", "_block", "_edge", "_shards")), ["_source", "_block"], "left")
         rows = rows.join(_sized(self.edge), ["_source", "_key"], "left")
         without = (F.col("_edge") == "part") & (F.coalesce("_in", F.lit(False)) == F.col("_out"))

@@ -371,6 +371,31 @@ def test_taken_and_shards_equal_brute_force(spark, docs, odd, shards, monkeypatc
     assert other != {r.doc_id: r.shards for r in got} and set("".join(other.values())) <= set("0,")
 
 
+@pytest.mark.parametrize("weights", [(3, 1, 2), (1, 50)])
+def test_mix_of_more_sources_than_groups(spark, weights, monkeypatch):
+    """Targets of any number of sources equal the loop; the tree splits groups of sources and shards keep the mix's size."""
+    monkeypatch.setattr(mixing, "MAX_GROUPS", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 60)
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.randint(0, 9), f"s{rng.randint(0, 40)}" if i % 3 else "hot") for i in range(900)] + [(901, None, None), (902, "", "zero")]
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), shards=4, weights=weights)
+    size = defaultdict(int)
+    for _, t, s in rows:
+        size[s] += words(t)
+    names = [*sorted(s for s in size if s), None]
+    goal = dict(zip(names, mixing.targets([size[s] for s in names], [weights[i % len(weights)] for i in range(len(names))]), strict=True))
+    src, taken, shards = {i: s for i, _, s in rows}, defaultdict(int), defaultdict(int)
+    for r in mix.taken().collect():
+        s = src[r.doc_id]
+        assert r.target == pytest.approx(goal[s]) and r.source_size == size[s]
+        taken[s] += r.taken
+        for x in r.shards.split(",") if r.shards else ():
+            shards[x] += r["size"]
+    assert all(abs(taken[s] - goal[s]) <= 9 for s in names)
+    assert set(shards) == set("0123") and max(shards.values()) < 1.5 * min(shards.values())
+
+
 @pytest.mark.parametrize("share", [0.5, 0.8])
 def test_mix_fills_the_room_of_a_long_document(spark, share):
     rows = [(1000 * k + i, "w " * (100_000 if i == 0 else 500), f"s{k}") for k in range(8) for i in range(201)]
