@@ -129,8 +129,20 @@ def slices(batch, col: str, most: int):
         yield batch.slice(start)
 
 
-__all__ = ["ascii_lower", "drop_columns", "hot_keys", "join_hot", "join_salted", "materialize", "packed", "release", "releasing", "scratch_path", "scratch_scope", "shared_dir", "slices", "table", "text_of", "unpacked", "unused_names"]
+__all__ = ["ascii_lower", "bound_batches", "drop_columns", "hot_keys", "join_hot", "join_salted", "materialize", "packed", "release", "releasing", "scratch_path", "scratch_scope", "shared_dir", "slices", "table", "text_of", "unpacked", "unused_names"]
+
+
+#: Python workers get batches of at most so many bytes, where the session leaves Spark's default of 64 MB.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """A batch of long texts is held several times, in the JVM and in Python, for each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:  # not set by the session
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

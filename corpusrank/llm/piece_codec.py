@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import drop_columns, releasing, slices
 
 #: Text of a slice, in bytes, and distinct words that a task remembers between slices.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 WORDS_KEPT = 120_000
 _MARK = "▁"
 
@@ -121,7 +121,7 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", text_col: str = "dec
     def run(batches):
         sp = _processor(model)
         for batch in batches:
-            for part in slices(batch, ids_col, SLICE_CHARS // 3):
+            for part in slices(batch, ids_col, SLICE_CHARS // 2):
                 yield pa.RecordBatch.from_arrays([*part.columns, _texts(sp, part.column(ids_col))], [*part.schema.names, text_col])
 
     plain = drop_columns(df, text_col)
