@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, lm_scoring, media, mixing, piece_codec, quality, secret_scan, sharding, url_filter
+from . import exact_dedup, fill_middle, filter_audit, jaccard_join, lm_scoring, media, mixing, piece_codec, quality, secret_scan, sharding, url_filter
 from .common import scratch_path, table, text_of
 
 URL_RULES = [
@@ -110,8 +110,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.WordModel(docs, piece_model()).score(docs)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = fill_middle.restore(fill_middle.fill_in_middle(docs))
+    return both.select(
+        "doc_id", F.col("n_lines").alias("n"), "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 _ALL = (
     op1_sharding, op2_quality, op3_url_filter, op4_piece_codec, op5_jaccard_join, op6_secret_scan, op7_exact_dedup, op8_mixing, op9_media, op10_lm_scoring,
+    op11_filter_audit, op12_fill_middle,
 )
 
 
@@ -136,6 +151,50 @@ def _url_sql() -> str:
         FROM (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages)"""
 
 
+_AUDIT = """
+    WITH labelled AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+    words AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM texts),
+    flags AS (
+        SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 50)::INT AS a, (100 * len(list_distinct(w)) < 65 * len(w))::INT AS b,
+               (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT AS c, regexp_matches(t, '[#$%&*|]')::INT AS d,
+               coalesce(doc_id > first, false)::INT AS e
+        FROM words LEFT JOIN labelled USING (doc_id)),
+    counted AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY ALL),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+    orders AS (
+        SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+        FROM letters p, letters q, letters r, letters s, letters t
+        WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31 AND len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+    steps AS (SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS prior FROM orders, range(1, 6) AS s(step)),
+    results AS (
+        SELECT part, filter_order, step, bit, sum(n) FILTER (WHERE mask & (prior | bit) = 0) AS kept, sum(n) FILTER (WHERE mask & bit > 0 AND mask & prior = 0) AS removed,
+               sum(n) FILTER (WHERE mask & bit > 0 AND mask & prior > 0) AS redundant, sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+               sum(good) FILTER (WHERE mask & bit > 0 AND mask & prior = 0) AS good_lost, sum(toxic) FILTER (WHERE mask & bit > 0 AND mask & prior = 0) AS toxic_lost
+        FROM counted, steps GROUP BY ALL)
+    SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+           coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+           coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+    FROM results"""
+
+_FILL = """
+    WITH lines AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s
+        FROM documents),
+    hashed AS (
+        SELECT *, len(u) AS n, ('0x' || s[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || s[9:16])::BIGINT % (len(u) + 1) AS c2,
+               CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') THEN 'plain' WHEN ('0x' || s[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+        FROM lines),
+    cut AS (
+        SELECT doc_id, t, n, form, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+               array_to_string(u[greatest(c1, c2) + 1:], '') AS s
+        FROM hashed)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM cut"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": """
@@ -147,4 +206,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+        "op11_filter_audit": _AUDIT,
+        "op12_fill_middle": _FILL,
     }
