@@ -129,7 +129,19 @@ def slices(batch, col: str, most: int):
         yield batch.slice(start)
 
 
-__all__ = ["ascii_lower", "bound_batches", "drop_columns", "hot_keys", "join_hot", "join_salted", "materialize", "packed", "release", "releasing", "scratch_path", "scratch_scope", "shared_dir", "slices", "table", "text_of", "unpacked", "unused_names"]
+def bytes_of(texts):
+    """(bytes of all texts, where each begins and the last one ends); nulls are empty. An Arrow array of strings is read as it lies."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return data[ends[0] : ends[-1]], ends - ends[0]
+
+
+__all__ = ["ascii_lower", "bound_batches", "bytes_of", "drop_columns", "hot_keys", "join_hot", "join_salted", "materialize", "packed", "release", "releasing", "scratch_path", "scratch_scope", "shared_dir", "slices", "table", "text_of", "unpacked", "unused_names"]
 
 
 #: Python workers get batches of at most so many bytes, where the session leaves Spark's default of 64 MB.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_columns, releasing, slices, unused_names
+from .common import bytes_of, drop_columns, releasing, slices, unused_names
 
 MARKS = ("<P>", "<S>", "<M>")
 SEED, RATE, SPM = 7, 100, 50
@@ -40,15 +40,6 @@ _KIND = np.full(256, -1, np.int8)
 _KIND[_MARK[:, 1]] = np.arange(3)
 
 
-def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all texts, where each begins and the last one ends); nulls are empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    _, ends, data = texts.buffers()
-    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-    return data[ends[0] : ends[-1]], ends - ends[0]
-
-
 def texts_of(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     out = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(data))
     return out.cast(pa.string())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fill_middle, filter_audit, jaccard_join, lm_scoring, media, mixing, piece_codec, quality, secret_scan, sharding, url_filter
+from . import exact_dedup, fill_middle, filter_audit, jaccard_join, line_rules, lm_scoring, media, mixing, piece_codec, quality, secret_scan, sharding, url_filter
 from .common import scratch_path, table, text_of
 
 URL_RULES = [
@@ -124,9 +124,15 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = line_rules.judge(docs, line_rules.fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", "line_labels")
+
+
 _ALL = (
     op1_sharding, op2_quality, op3_url_filter, op4_piece_codec, op5_jaccard_join, op6_secret_scan, op7_exact_dedup, op8_mixing, op9_media, op10_lm_scoring,
-    op11_filter_audit, op12_fill_middle,
+    op11_filter_audit, op12_fill_middle, op13_quality_rules,
 )
 
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from corpusrank.llm import exact_dedup, fill_middle, jaccard_join, lm_scoring, media, mixing, piece_codec, quality, queries, secret_scan, sharding, url_filter
+from corpusrank.llm import exact_dedup, fill_middle, jaccard_join, line_rules, lm_scoring, media, mixing, piece_codec, quality, queries, secret_scan, sharding, url_filter
 from corpusrank.llm.common import scratch_path
 
 TEXTS = ["", None, "one two three four five six", "one two three four five six", "a " * 6000, "token=abcdefgh1 0123456789abcdef0123456789abcdef", "é漢字"]
@@ -55,6 +55,7 @@ CASES = {
     "exact": (exact_dedup.drop_copies, (exact_dedup,), set()),
     "mixing": (lambda df: mixing.Mix(df).rows(df), (mixing,), {"shard"}),
     "fill": (lambda df: fill_middle.restore(fill_middle.fill_in_middle(df)), (fill_middle,), {*fill_middle.RESULT, "restored"}),
+    "lines": (lambda df: line_rules.content_only(line_rules.judge(df, line_rules.LineField.blank())), (line_rules,), {*line_rules.RESULT, "content"}),
     "media": (lambda df: media.with_feature(media.MediaStore.write(df).payloads()), (media,), {"n_bytes", "payload", "media", "n_chunks", "feature"}),
 }
 
