@@ -7,8 +7,9 @@ is, and transition weights tie neighbours together. Viterbi decoding gives the l
 The share of content among the characters of words decides: under CONTENT_LEAST a document is not kept.
 
 The field is trained here. Labels are known for documents only, so lines first get the label of their document; after a
-first fit, lines of rejected documents that the field holds for content with 0.9 or more are relabelled (never a
-document's least likely line), and it is fitted again. It is fitted on at most about MAX_FIT runs of up to RUN lines of
+first fit, lines of rejected documents that the field holds for content with 0.9 or more are relabelled (never the
+least likely line of a run), and it is fitted again. Every second run goes on with lines of another document, since no
+document by itself shows the field a change of label. It is fitted on at most about MAX_FIT runs of up to RUN lines of
 labelled documents (all below that; above it those whose hash is lowest), which go to the driver as some 14 bytes a line;
 documents of fold 0 (by crc32 of the id) are never read. Gradients are exact (forward and backward recursions).
 
@@ -288,21 +289,32 @@ def runs(df: DataFrame, labels: DataFrame, label_col: str, text_col: str, id_col
     return found.orderBy("name")  # the order of sums does not depend on tasks
 
 
+def spliced(parts: list[np.ndarray], labels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bins, labels, size) of runs, every second one cut at the half and continued with lines of another run."""
+    other = np.random.Generator(np.random.PCG64(5)).permutation(len(parts))
+    bins, y, size = np.zeros((len(parts), RUN, len(FEATURES)), np.uint8), np.zeros((len(parts), RUN), np.int64), []
+    for i, own in enumerate(parts):
+        joined = [(own, labels[i])]
+        if i % 2:
+            joined = [(own[: RUN // 2], labels[i]), (parts[other[i]][: RUN // 2], labels[other[i]])]
+        at = 0
+        for x, label in joined:
+            bins[i, at : at + len(x)], y[i, at : at + len(x)] = x, label
+            at += len(x)
+        size.append(at)
+    return bins, y, np.array(size)
+
+
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", max_fit: int = MAX_FIT) -> LineField:
     """The field fitted to labelled documents outside fold 0 (by crc32 of the id)."""
     found = runs(df, labels, label_col, text_col, id_col, max_fit).toPandas()  # at most about max_fit rows of RUN lines
     if found.y.nunique() < 2:
         return LineField.blank()
-    size = found.n.to_numpy(np.int64)
-    bins = np.zeros((len(found), RUN, len(FEATURES)), np.uint8)
-    for i, raw in enumerate(found.bins):
-        bins[i, : size[i]] = np.frombuffer(raw, np.uint8).reshape(-1, len(FEATURES))
-    y = np.repeat(found.y.to_numpy(np.int64)[:, None], RUN, 1)
+    bins, y, size = spliced([np.frombuffer(x, np.uint8).reshape(-1, len(FEATURES)) for x in found.bins], found.y.tolist())
     _, likely = ascend(bins, y, size)
-    there = np.arange(RUN) < size[:, None]
-    least = np.where(there, likely, 2).argmin(1)
-    changed = there & (y == 0) & (likely >= SURE)
-    changed[np.arange(len(y)), least] = False
+    bad = (np.arange(RUN) < size[:, None]) & (y == 0)
+    changed = bad & (likely >= SURE)
+    changed[np.arange(len(y)), np.where(bad, likely, 2).argmin(1)] = False
     return ascend(bins, np.where(changed, 1, y), size)[0]
 
 
