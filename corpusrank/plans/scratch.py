@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_OPEN: list[list[str]] = []  # the tables of the scopes that are open, innermost last
+#: The tables of the scopes that are open in this thread (or task), innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("corpusrank_scopes", default=())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if scopes := _OPEN.get():
+        scopes[-1].append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -49,7 +51,8 @@ def scratch_scope(spark: SparkSession):
     """Deletes the tables that are materialized inside when it ends, but for those given to the function it yields (what still reads them must be among these)."""
     made: list[str] = []
     kept: list[str] = []
-    _OPEN.append(made)
+    around = _OPEN.get()
+    token = _OPEN.set((*around, made))
 
     def keep(df: DataFrame) -> DataFrame:
         kept.append(df._scratch_path)
@@ -58,9 +61,9 @@ def scratch_scope(spark: SparkSession):
     try:
         yield keep
     finally:
-        _OPEN.pop()
+        _OPEN.reset(token)
         for path in made:
             if path not in kept:
                 discard(spark, path)
-        if _OPEN:  # the scope around may delete them
-            _OPEN[-1].extend(kept)
+        if around:  # the scope around may delete them
+            around[-1].extend(kept)
