@@ -19,7 +19,7 @@ pre-aggregated by slices on the way in and met by broadcast on the way out.
 Defined cases: a null text counts as empty; an empty payload is one chunk of 64 zero bytes; a very long text is a
 slice of its own in every pass; equal texts have equal forms; repeated rows are stored each (their repeated chunks
 once); all other columns of a row are kept, whatever their names, but for those named as the result's, which are
-replaced; an empty table gives an empty store.
+replaced; an empty table gives an empty store. Reading a store that lacks a chunk, or whose chunk differs, raises.
 """
 
 from __future__ import annotations
@@ -181,7 +181,7 @@ class MediaStore:
         at = at.select("_m_row", F.posexplode(F.arrays_zip("_m_digests", "_gone")).alias("_pos", "_z"))
         at = at.where(F.col("_z._gone")).select("_m_row", "_pos", F.col("_z._m_digests").alias("digest"))
         found = join_hot(at, self.chunks, "digest").groupBy("_m_row").agg(F.map_from_entries(F.collect_list(F.struct("_pos", "body"))).alias("_found"))
-        part = part.join(found, "_m_row").withColumn("_m_bodies", F.transform("_m_bodies", lambda b, i: F.coalesce(b, F.col("_found")[i])))
+        part = part.join(found, "_m_row", "left").withColumn("_m_bodies", F.transform("_m_bodies", lambda b, i: F.coalesce(b, F.col("_found")[i])))
         return whole.unionByName(part.drop("_found")).drop("_m_row")
 
     def payloads(self, payload_col: str = "payload", media_col: str = "media") -> DataFrame:

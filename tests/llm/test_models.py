@@ -326,6 +326,16 @@ def plain_feature(x, chunks):
     return {"chunks": chunks, "mean": mean, "std": std, "entropy": -sum(q * math.log2(q) for q in p), "step": step}
 
 
+def test_media_store_without_a_chunk_raises(spark):
+    shared = "".join(f"line {i} of a passage that two texts share\n" for i in range(2000))
+    df = spark.createDataFrame([(1, shared), (2, shared + "more"), (3, "alone")], "doc_id long, text string")
+    store = media.MediaStore.write(df)
+    assert store.chunks.count() > 1 and store.payloads().count() == 3
+    for chunks in (store.chunks.limit(0), store.chunks.limit(1), store.chunks.withColumn("body", F.expr("cast('other' as binary)"))):
+        with pytest.raises(Exception, match="differs from its head"):
+            media.MediaStore(store.media, chunks).payloads().collect()
+
+
 def test_media_query(spark, sf_dir, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in queries.op9_media(spark, sf_dir).collect():
