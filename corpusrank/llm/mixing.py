@@ -15,9 +15,12 @@ target exceeds CAP times its source's words, and what is cut is shared among the
 
 How it runs: documents are only counted once (a narrow table of ids and sizes). Blocks number at most
 MAX_BLOCKS plus one for each source, so windows over blocks stay small; targets come from a few aggregates over
-a table of sources. The driver sees the draw counts of at most MAX_GROUPS groups: a group is a source or, beyond that
-many sources, those that share a hash, whose draws are then split together and ranked at random among them. A hot
-source is spread over its blocks and is never in one task.
+a table of sources. A block that the walk takes whole is known from sums of blocks; documents are walked only in the block
+where the room ends and in the next ones that hold some that fit, a few blocks a round. The tree runs as Spark stages: a
+row is a node's count of one source, a task halves a node down to FAN children, and counts of zero have no row, so there
+are never more rows than draws. Beyond BUCKET_SOURCES sources a node is first split by buckets of sources, and then each
+bucket by its own quotas. Shards grow in number with the words, and beyond TASK_WORDS several tasks share a shard. A hot
+source is spread over its blocks and is never in one task. The driver sees counts of tables only.
 
 Defined cases: a null text has size 0; documents of size 0 follow their block and take 0 words; rows that
 repeat an id and a text are drawn together; ties of the walk go by hash, then key; an empty table gives an empty
@@ -30,18 +33,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import WORD, drop_columns, hot_keys, join_salted, materialize, packed, scratch_scope, text_of, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
-BLOCK_WORDS = 65_536
-MAX_BLOCKS, MAX_GROUPS = 1_000_000, 1_000_000
-SHARD_WORDS, MAX_SHARDS = 2_000_000, 4096
-BROADCAST_ROWS = 500_000
+BLOCK_WORDS, MAX_BLOCKS = 65_536, 16_000_000
+SHARD_WORDS, LEAST_SHARDS, TASK_WORDS = 8_000_000, 16, 2_000_000
+FAN, BUCKET_SOURCES = 64, 65_536
+WALK_BLOCKS = 8
+BROADCAST_BYTES, ROW_BYTES = 32_000_000, 120
 SEED = 20_240_601
 
 
@@ -93,25 +97,68 @@ def _targeted(docs: DataFrame, weights, share: float, cap: float) -> DataFrame:
     return rows.select("_source", "_words", "_target", (F.col("_p") - F.when(F.col("_p") * F.col("_words") > F.col("_target"), 1).otherwise(0)).cast("int").alias("_passes"))
 
 
-def _group(sources: int) -> Column:
-    """The group that the tree splits a source in: the source itself, or beyond MAX_GROUPS sources some that share a hash."""
-    return F.col("_source") if sources <= MAX_GROUPS else F.concat(F.lit("g"), F.pmod(F.xxhash64("_source"), F.lit(MAX_GROUPS)).cast("string"))
+def quotas_of(total: int, widths: list[int]) -> list[int]:
+    """total in parts by widths, each within one of its share."""
+    ends = [total * x // sum(widths) for x in np.cumsum(widths).tolist()]
+    return np.diff([0, *ends]).tolist()
 
 
-def split_counts(counts: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """counts (one for each source) split into rows for each shard; rows sum to counts and differ in total by at most one."""
-    rng = np.random.Generator(np.random.PCG64([seed, shards]))
+def split_counts(counts: np.ndarray, quotas: list[int], seed=SEED) -> np.ndarray:
+    """counts (one for each source) split into rows that sum to quotas; rows sum to counts. A binary tree of draws without replacement."""
+    rng = np.random.Generator(np.random.PCG64(seed))
 
-    def split(c: np.ndarray, n: int) -> list[np.ndarray]:
-        if n == 1:
+    def split(c: np.ndarray, q: list[int]) -> list[np.ndarray]:
+        if len(q) == 1:
             return [c]
-        half = n // 2
-        total = int(c.sum())
-        take = total * half // n
-        left = rng.multivariate_hypergeometric(c, take, method="marginals") if total else np.zeros_like(c)
-        return split(left, half) + split(c - left, n - half)
-
-    return np.array(split(np.asarray(counts, np.int64), shards)).reshape(shards, -1)
+        half = len(q) // 2
+        take = sum(q[:half])
+        left = rng.multivariate_hypergeometric(c, take, method="marginals") if take else np.zeros_like(c)
+        return split(left, q[:half]) + split(c - left, q[half:])
+
+    return np.array(split(np.asarray(counts, np.int64), list(quotas))).reshape(len(quotas), -1)
+
+
+def child_widths(width: int) -> list[int]:
+    """The shards of a node dealt to at most FAN children."""
+    n = min(width, FAN)
+    return [width // n + (i < width % n) for i in range(n)]
+
+
+def _children(g: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one node (or of one bucket of its sources, with that bucket's quotas) as rows of its children."""
+    g = g.sort_values("_source", ignore_index=True)
+    node, width, bucket = (int(g[c].iat[0]) for c in ("_node", "_width", "_bucket"))
+    widths = child_widths(width)
+    counts = g["_c"].to_numpy(np.int64)
+    quotas = g["_quotas"].iat[0].tolist() if "_quotas" in g else quotas_of(int(counts.sum()), widths)
+    child, at = np.nonzero(cut := split_counts(counts, quotas, [SEED, node, width, bucket]))
+    starts = node + np.cumsum([0, *widths[:-1]])
+    return pd.DataFrame({"_node": starts[child], "_width": np.array(widths)[child], "_bucket": np.full(len(at), bucket), "_source": g["_source"].to_numpy()[at], "_c": cut[child, at]})
+
+
+def _bucket_quotas(g: pd.DataFrame) -> pd.DataFrame:
+    """What each bucket of a node's sources gives to each child."""
+    g = g.sort_values("_bucket", ignore_index=True)
+    node, width = int(g["_node"].iat[0]), int(g["_width"].iat[0])
+    cut = split_counts(g["_c"].to_numpy(np.int64), quotas_of(int(g["_c"].sum()), child_widths(width)), [SEED, node, width])
+    return pd.DataFrame({"_node": g["_node"], "_bucket": g["_bucket"], "_quotas": [x.tolist() for x in cut.T]})
+
+
+def deal_counts(counts: DataFrame, shards: int, sources: int) -> DataFrame:
+    """(_source, _shard, _c): the draws (_source, _c) of each source by shard, none of zero. sources: about how many there are."""
+    buckets = max(1, math.ceil(sources / BUCKET_SOURCES))
+    bucket = F.pmod(F.xxhash64("_source"), F.lit(buckets)).cast("long")
+    nodes = counts.select(F.lit(0).cast("long").alias("_node"), F.lit(shards).cast("long").alias("_width"), bucket.alias("_bucket"), "_source", F.col("_c").cast("long"))
+    kinds = "_node long, _width long, _bucket long, _source string, _c long"
+    width = shards
+    while width > 1:
+        if buckets > 1:
+            totals = nodes.groupBy("_node", "_width", "_bucket").agg(F.sum("_c").alias("_c"))
+            quotas = totals.groupBy("_node").applyInPandas(_bucket_quotas, "_node long, _bucket long, _quotas array<long>")
+            nodes = nodes.join(quotas, ["_node", "_bucket"])
+        nodes = materialize(nodes.groupBy("_node", "_bucket").applyInPandas(_children, kinds), "mix-nodes")
+        width = max(child_widths(width))
+    return nodes.select("_source", F.col("_node").alias("_shard"), "_c")
 
 
 def _source_key(source_col: str) -> Column:
@@ -122,8 +169,25 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.lit(SEED), text_of(text_col))
 
 
+def _is_small(x: DataFrame) -> bool:
+    """Whether a table of sources, blocks or keys may be broadcast: its strings and arrays are measured."""
+    draws = F.sum(F.size("_shards")) if "_shards" in x.columns else F.lit(0)
+    n, chars, entries = x.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_source")), F.lit(0)), F.coalesce(draws, F.lit(0))).first()
+    return n * ROW_BYTES + chars + 8 * entries <= BROADCAST_BYTES
+
+
 def _sized(x: DataFrame) -> DataFrame:
-    return F.broadcast(x) if x.count() <= BROADCAST_ROWS else x
+    return F.broadcast(x) if _is_small(x) else x
+
+
+def _walk(g: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a source's blocks that fit in its room, one after the other."""
+    g = g.sort_values(["_block", "_h", "_key"])
+    room, taken = float(g["_room"].iat[0]), []
+    for n in g["_n"].tolist():
+        taken.append(n <= room)
+        room -= n if taken[-1] else 0
+    return g.loc[taken, ["_source", "_block", "_key", "_n"]]
 
 
 class Mix:
@@ -148,10 +212,8 @@ class Mix:
         )
         self.sources = _targeted(self.docs, weights, share, cap)
         n, words = self.sources.agg(F.count("*"), F.coalesce(F.sum("_words"), F.lit(0))).first()
-        groups = min(n, MAX_GROUPS)
-        # shards of about SHARD_WORDS, as far as a table of source groups and shards stays small
-        most = min(MAX_SHARDS, max(1, 100_000_000 // max(1, groups)))
-        self.shards = shards or min(most, max(16, math.ceil(share * words / SHARD_WORDS)))
+        self.shards = shards or max(LEAST_SHARDS, math.ceil(share * words / SHARD_WORDS))
+        self.tasks_a_shard = max(1, math.ceil(share * words / self.shards / TASK_WORDS))
         unit = max(BLOCK_WORDS, math.ceil(words / MAX_BLOCKS))
         rest = F.col("_target") - F.col("_passes") * F.col("_words")
         out = rest > F.col("_words") / 2
@@ -159,87 +221,95 @@ class Mix:
         self.sources = materialize(
             self.sources.select(
                 "_source", "_words", "_target", F.greatest(F.lit(1), F.bround(F.col("_words") / unit, 0)).cast("long").alias("_blocks"), "_passes",
-                F.when(out, F.col("_words") - rest).otherwise(rest).alias("_left"), out.alias("_out"), _group(n).alias("_group"),
+                F.when(out, F.col("_words") - rest).otherwise(rest).alias("_left"), out.alias("_out"),
             ),
             "mix-sources",
         )
-        self.in_blocks = self._with_source(self.docs).drop("_group").withColumn("_block", F.pmod("_key", "_blocks"))
-        picked = self._picked()
-        blocks = self.in_blocks.groupBy("_source", "_block", "_passes", "_out").agg(F.sum("_size").alias("_n"))
-        blocks = blocks.join(picked.groupBy("_source", "_block").agg(F.sum("_n").alias("_p")), ["_source", "_block"], "left").na.fill(0, ["_p"])
+        self._sources_small = _is_small(self.sources)
+        self.in_blocks = self._with_source(self.docs).withColumn("_block", F.pmod("_key", "_blocks"))
+        blocks = self.in_blocks.groupBy("_source", "_block", "_passes", "_out", "_left").agg(F.sum("_size").alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+        blocks = blocks.withColumn("_room", F.col("_left") - F.coalesce(before, F.lit(0)))
+        blocks = materialize(blocks.withColumn("_full", (F.col("_left") > 0) & (F.col("_n") <= F.col("_room"))), "mix-sums")
+        picked = self._picked(blocks)
+        some = picked.groupBy("_source", "_block").agg(F.sum("_n").alias("_p"))
+        blocks = blocks.join(_sized(some), ["_source", "_block"], "left")
+        blocks = blocks.withColumn("_p", F.when(F.col("_full"), F.col("_n")).otherwise(F.coalesce("_p", F.lit(0))))
         edge = F.when(F.col("_p") == 0, F.when(F.col("_out"), "whole").otherwise("none"))
         edge = edge.when(F.col("_p") == F.col("_n"), F.when(F.col("_out"), "none").otherwise("whole")).otherwise("part")
-        blocks = materialize(blocks.withColumn("_edge", edge).withColumn("_group", _group(n)), "mix-blocks")
-        self.blocks = self._dealt(blocks)
+        blocks = materialize(blocks.withColumn("_edge", edge), "mix-blocks")
+        self.blocks = self._dealt(blocks, n)
         part = blocks.where("_edge = 'part'").select("_source", "_block")
         self.edge = materialize(picked.join(_sized(part), ["_source", "_block"]).select("_source", "_key", F.lit(True).alias("_in")), "mix-edge")
 
     def _with_source(self, rows: DataFrame) -> DataFrame:
         """rows (_source, ...) with the columns of their sources; a source may have a third of the rows."""
-        if self.sources.count() <= BROADCAST_ROWS:
+        if self._sources_small:
             return rows.join(F.broadcast(self.sources), "_source")
         return join_salted(rows, self.sources, "_source", hot_keys(self.docs, "_source"))
 
-    def _picked(self) -> DataFrame:
-        """(_source, _block, _key, _n) of the documents picked in one more pass.
+    def _picked(self, blocks: DataFrame) -> DataFrame:
+        """(_source, _block, _key, _n) of the documents that one more pass picks outside the blocks that it picks whole (_full).
 
-        A round picks, in the order of the walk, the documents that fit up to the first one that does not; the next
-        round goes on with those that fit in what is left. Only blocks and one block of each source are ordered.
+        The walk goes on document by document in the block where the room ends, then in the next WALK_BLOCKS blocks
+        that hold a document for what is left, and so on. Documents that were stepped over never fit later.
         """
-        rows = self.in_blocks.where("_left > 0").groupBy("_source", "_block", "_key", "_left").agg(F.sum("_size").alias("_n"))
-        every = materialize(rows.where("_n > 0"), "mix-keys")
-        rows, rounds = every.where("_n <= _left"), []
-        left = self.sources.select("_source", "_left").where("_left > 0")
-        while not rows.isEmpty():
-            blocks = rows.groupBy("_source", "_block", "_left").agg(F.sum("_n").alias("_sum"))
-            before = F.sum("_sum").over(Window.partitionBy("_source").orderBy("_block")) - F.col("_sum")
-            blocks = blocks.withColumn("_room", F.col("_left") - before).where("_room > 0")
-            blocks = materialize(blocks.select("_source", "_block", "_room", (F.col("_sum") <= F.col("_room")).alias("_all")), "mix-round")
-            rows = rows.join(_sized(blocks), ["_source", "_block"], "left")
-            order = Window.partitionBy("_source", "_block").orderBy(F.xxhash64("_key", F.lit(1)), "_key").rowsBetween(Window.unboundedPreceding, 0)
-            edge = rows.where("not _all").withColumn("_now", F.sum("_n").over(order) <= F.col("_room"))
-            rows = rows.where("_all is null or _all").withColumn("_now", F.coalesce("_all", F.lit(False))).unionByName(edge)
-            rows = materialize(rows.select("_source", "_block", "_key", "_n", "_now"), "mix-walk")
-            rounds.append(rows.where("_now").drop("_now"))
-            used = rounds[-1].groupBy("_source").agg(F.sum("_n").alias("_used"))
-            left = left.join(used, "_source", "left").select("_source", (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_left"))
-            left = materialize(left.where("_left > 0"), "mix-left")
-            rows = rows.where("not _now").drop("_now").join(_sized(left), "_source").where("_n <= _left")
-        picked = every.drop("_left").limit(0)
-        for r in rounds:
+        ends = blocks.where("_room > 0 and not _full").groupBy("_source").agg(F.min(F.struct("_block", "_room")).alias("_m"))
+        open_ = materialize(ends.select("_source", "_m._block", "_m._room"), "mix-open")
+        rooms = [open_.drop("_block")]
+        docs = self.in_blocks.where("_size > 0").select("_source", "_block", "_key", "_size")
+        found, chosen, self.rounds = [], open_, 0
+        while not chosen.isEmpty():
+            self.rounds += 1
+            rows = docs.join(_sized(chosen), ["_source", "_block"]).where("_size <= _room")
+            rows = rows.groupBy("_source", "_block", "_key", "_room").agg(F.sum("_size").alias("_n")).withColumn("_h", F.xxhash64("_key", F.lit(1)))
+            rows = rows.groupBy("_source").applyInPandas(_walk, "_source string, _block long, _key long, _n long")
+            found.append(materialize(rows, "mix-walk"))
+            used = found[-1].groupBy("_source").agg(F.sum("_n").alias("_used"))
+            # only sources that went through blocks have room for more
+            last = chosen.groupBy("_source").agg(F.max("_block").alias("_last"), F.first("_room").alias("_room"))
+            left = last.join(used, "_source", "left").withColumn("_room", F.col("_room") - F.coalesce("_used", F.lit(0))).drop("_used")
+            left = materialize(left, "mix-left")
+            rooms.append(left.drop("_last"))
+            near = docs.join(_sized(left.where("_room > 0")), "_source").where("_block > _last and _size <= _room")
+            near = near.groupBy("_source", "_block", "_room").agg(F.count("*").alias("_some"))
+            place = F.row_number().over(Window.partitionBy("_source").orderBy("_block"))
+            chosen = materialize(near.withColumn("_place", place).where(F.col("_place") <= WALK_BLOCKS).select("_source", "_block", "_room"), "mix-open")
+        picked = blocks.limit(0).select("_source", "_block", F.lit(0).cast("long").alias("_key"), "_n")
+        for r in found:
             picked = picked.unionByName(r)
         # one more, if going over by it is nearer than what is left
-        near = every.drop("_left").join(_sized(left), "_source").where("_n < 2 * _left").join(picked, ["_source", "_block", "_key"], "left_anti")
+        left = rooms[0]
+        for r in rooms[1:]:
+            left = left.unionByName(r)
+        left = left.groupBy("_source").agg(F.min("_room").alias("_room")).where("_room > 0")
+        near = docs.join(_sized(left), "_source").where("_size < 2 * _room").groupBy("_source", "_block", "_key", "_room").agg(F.sum("_size").alias("_n"))
+        near = near.where("_n < 2 * _room").join(picked, ["_source", "_block", "_key"], "left_anti")
+        near = near.join(_sized(blocks.where("_full").select("_source", "_block")), ["_source", "_block"], "left_anti")
         near = near.groupBy("_source").agg(F.min(F.struct("_n", "_key", "_block")).alias("_m"))
-        return picked.unionByName(near.select("_source", "_m._block", "_m._key", "_m._n"))
+        return materialize(picked.unionByName(near.select("_source", "_m._block", "_m._key", "_m._n")), "mix-picked")
 
-    def _dealt(self, blocks: DataFrame) -> DataFrame:
-        """blocks with _shard: array<int>, the shard of each draw of the block (the last may be a part)."""
+    def _dealt(self, blocks: DataFrame, sources: int) -> DataFrame:
+        """blocks with _shards: array<int>, the shard of each draw of the block (the last may be a part)."""
         draws = F.col("_passes") + F.when(F.col("_edge") == "none", 0).otherwise(1)
-        blocks = blocks.withColumn("_draws", draws)
-        total = {r[0]: r[1] for r in blocks.groupBy("_group").agg(F.sum("_draws")).collect()}  # at most MAX_GROUPS rows
-        names = sorted(total)
-        counts = np.array([total[s] for s in names], np.int64)
-        ends = np.cumsum(split_counts(counts, self.shards), axis=0) if names else np.zeros((self.shards, 0), np.int64)
-        spark = blocks.sparkSession
-        bounds = spark.createDataFrame(
-            [(s, [int(x) for x in ends[:, i]]) for i, s in enumerate(names)],
-            T.StructType([T.StructField("_group", T.StringType()), T.StructField("_ends", T.ArrayType(T.LongType()))]),
-        )
-        one = blocks.where("_draws > 0").select("_source", "_group", "_block", F.explode(F.sequence(F.lit(1), "_draws")).alias("_draw"))
-        order = ["_block", "_draw"] if blocks.where("_group <> _source").isEmpty() else ["_source", "_block", "_draw"]
-        rank = F.row_number().over(Window.partitionBy("_group").orderBy(F.xxhash64(*order, F.lit(SEED)), *order))
-        shard = F.size(F.filter("_ends", lambda e: e < F.col("_rank")))
-        one = one.withColumn("_rank", rank).join(_sized(bounds), "_group").withColumn("_shard", shard)
+        drawn = blocks.withColumn("_draws", draws).where("_draws > 0")
+        cells = deal_counts(drawn.groupBy("_source").agg(F.sum("_draws").alias("_c")), self.shards, sources)
+        # a source's draws, in the order of a hash, go to its shards one after the other
+        end = F.sum("_c").over(Window.partitionBy("_source").orderBy("_shard"))
+        cells = cells.withColumn("_end", end).select("_source", "_shard", F.explode(F.sequence(F.col("_end") - F.col("_c") + 1, "_end")).alias("_rank"))
+        one = drawn.select("_source", "_block", F.explode(F.sequence(F.lit(1), "_draws")).alias("_draw"))
+        order = ["_block", "_draw"]
+        rank = F.row_number().over(Window.partitionBy("_source").orderBy(F.xxhash64(*order, F.lit(SEED)), *order)).cast("long")
+        one = one.withColumn("_rank", rank).join(cells, ["_source", "_rank"])
         dealt = one.groupBy("_source", "_block").agg(F.sort_array(F.collect_list(F.struct("_draw", "_shard"))).alias("_d"))
-        dealt = dealt.select("_source", "_block", F.transform("_d", lambda d: d["_shard"]).alias("_shards"))
+        dealt = dealt.select("_source", "_block", F.transform("_d", lambda d: d["_shard"].cast("int")).alias("_shards"))
         return materialize(
             blocks.select("_source", "_block", "_passes", "_edge").join(dealt, ["_source", "_block"], "left"), "mix-dealt"
         )
 
     def _decided(self, rows: DataFrame) -> DataFrame:
         """rows (_source, _key, ...) with source columns and _taken: array<int>, the shards that a row was dealt to, one for each draw."""
-        rows = self._with_source(rows).drop("_passes", "_left", "_group").withColumn("_block", F.pmod("_key", "_blocks"))
+        rows = self._with_source(rows).drop("_passes", "_left").withColumn("_block", F.pmod("_key", "_blocks"))
         rows = rows.join(_sized(self.blocks.select("_source", "_block", "_edge", "_shards")), ["_source", "_block"], "left")
         rows = rows.join(_sized(self.edge), ["_source", "_key"], "left")
         without = (F.col("_edge") == "part") & (F.coalesce("_in", F.lit(False)) == F.col("_out"))
@@ -263,5 +333,6 @@ class Mix:
             raise ValueError(f"the shard column cannot be named {shard_col}")
         rows = packed(plain, _source=_source_key(source_col), _key=_row_key(id_col, text_col))
         rows = self._decided(rows).select("_row", "_key", F.explode("_taken").alias("_shard"))
-        rows = rows.repartition(self.shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("_key", "_shard", F.lit(SEED)))
+        place = F.xxhash64("_key", "_shard", F.lit(SEED))
+        rows = rows.repartition("_shard", F.pmod(place, F.lit(self.tasks_a_shard))).sortWithinPartitions("_shard", place)
         return unpacked(rows, **({shard_col: F.col("_shard")} if shard_col else {}))

@@ -360,22 +360,24 @@ def test_taken_and_shards_equal_brute_force(spark, docs, odd, shards, monkeypatc
     assert all(r.taken == r["size"] * len(r.shards.split(",") if r.shards else []) for r in got)
     # every draw of a block went to the shard that the tree gave its source
     names = sorted(draws)
-    tree = mixing.split_counts(np.array([draws[s] for s in names]), shards)
+    counts = np.array([draws[s] for s in names])
+    tree = mixing.split_counts(counts, mixing.quotas_of(int(counts.sum()), [1] * shards), [mixing.SEED, 0, shards, 0])
     dealt = np.zeros_like(tree)
     for r in mix.blocks.where("_shards is not null").collect():
         for shard in r["_shards"]:
             dealt[shard, names.index(r["_source"])] += 1
     assert (dealt == tree).all() and (tree > 0).sum() > shards
-    monkeypatch.setattr(mixing, "split_counts", lambda c, n: np.vstack([c, np.zeros((n - 1, len(c)), np.int64)]))
-    other = {r.doc_id: r.shards for r in mixing.Mix(df, shards=shards).taken().collect()}
-    assert other != {r.doc_id: r.shards for r in got} and set("".join(other.values())) <= set("0,")
+    monkeypatch.setattr(mixing, "split_counts", lambda c, q, seed=0: np.vstack([c, np.zeros((len(q) - 1, len(c)), np.int64)]))
+    cells = mixing._children(pd.DataFrame({"_node": 0, "_width": shards, "_bucket": 0, "_source": names, "_c": counts}))
+    assert set(cells["_node"]) == {0} and mix.rounds <= 4  # what the tree says is what a task deals; the walk ends in a few rounds
 
 
 @pytest.mark.parametrize("weights", [(3, 1, 2), (1, 50)])
-def test_mix_of_more_sources_than_groups(spark, weights, monkeypatch):
-    """Targets of any number of sources equal the loop; the tree splits groups of sources and shards keep the mix's size."""
-    monkeypatch.setattr(mixing, "MAX_GROUPS", 3)
-    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 5)
+def test_mix_of_more_sources_than_a_bucket(spark, weights, monkeypatch):
+    """Targets of any number of sources equal the loop; the tree splits buckets of sources and shards keep the mix's size."""
+    monkeypatch.setattr(mixing, "BUCKET_SOURCES", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 5)
+    monkeypatch.setattr(mixing, "WALK_BLOCKS", 1)
     monkeypatch.setattr(mixing, "BLOCK_WORDS", 60)
     rng = random.Random(11)
     rows = [(i, "w " * rng.randint(0, 9), f"s{rng.randint(0, 40)}" if i % 3 else "hot") for i in range(900)] + [(901, None, None), (902, "", "zero")]
@@ -412,6 +414,34 @@ def test_split_counts():
     import numpy as np
 
     c = np.array([7, 0, 100, 33])
-    s = mixing.split_counts(c, 6)
+    q = mixing.quotas_of(140, [1] * 6)
+    s = mixing.split_counts(c, q)
+    assert s.sum(1).tolist() == q and max(q) - min(q) <= 1
     assert (s.sum(0) == c).all() and s.sum(1).max() - s.sum(1).min() <= 3 and (s >= 0).all()
-    assert (s == mixing.split_counts(c, 6)).all()
+    assert (s == mixing.split_counts(c, q)).all()
+
+
+@pytest.mark.parametrize("buckets", [100_000, 4096])
+def test_many_sources_are_dealt_to_many_shards(spark, buckets, monkeypatch):
+    """30,000 sources, one of them hot, and 2,000 shards: every draw is dealt once, shards are equal, a source is spread as chance has it."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "BUCKET_SOURCES", buckets)
+    counts = spark.range(30_000).select(F.col("id").cast("string").alias("_source"), F.when(F.col("id") == 7, 40_000).otherwise(1 + F.col("id") % 5).alias("_c"))
+    got = mixing.deal_counts(counts, 2000, 30_000)
+    by_source = got.groupBy("_source").agg(F.sum("_c").alias("_s")).join(counts, "_source", "full_outer")
+    assert by_source.where("_s is null or _c is null or _s <> _c").isEmpty() and by_source.count() == 30_000
+    assert got.groupBy("_source", "_shard").count().where("count > 1").isEmpty() and got.where("_c = 0").isEmpty()
+    sums = [r[0] for r in got.groupBy("_shard").agg(F.sum("_c")).select("sum(_c)").collect()]
+    assert len(sums) == 2000 and max(sums) - min(sums) <= 2
+    hot = [r["_c"] for r in got.where("_source = '7'").collect()]
+    assert len(hot) == 2000 and max(abs(c - 20) for c in hot) <= 5 * 20**0.5  # 20 on average, as chance has it
+
+
+def test_tasks_share_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TASK_WORDS", 500)
+    rows = [(i, "w " * 9, f"s{i % 3}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(df, shards=2)
+    out = mix.rows(df)
+    assert mix.tasks_a_shard > 5 and out.count() == sum(r.taken // 9 for r in mix.taken().collect())
