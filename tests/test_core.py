@@ -173,7 +173,54 @@ def test_similar_pairs_equal_all_pairs(spark, monkeypatch):
     assert [r.doc_id for r in dedup.content_dedup(frame(spark, *texts)).orderBy("doc_id").collect()] == kept
     monkeypatch.setattr(dedup, "MATRIX_COLUMNS", 7)
     monkeypatch.setattr(dedup, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(dedup, "BATCH_ROWS", 3)
     assert {(r.a, r.b) for r in dedup.similar_sets(frame(spark, *texts))[0].collect()} == similar
+    assert [r.doc_id for r in dedup.content_dedup(frame(spark, *texts)).orderBy("doc_id").collect()] == kept
+    named = frame(spark, *texts).selectExpr("format_string('%03d', doc_id) AS doc_id", "text")  # keys of another kind
+    assert {(int(r.a), int(r.b)) for r in dedup.similar_sets(named)[0].collect()} == similar
+    assert [int(r.doc_id) for r in dedup.content_dedup(named).orderBy("doc_id").collect()] == kept
+    assert dedup.content_dedup(frame(spark, *texts).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.7, 0.82, 0.85, 0.9])
+def test_similar_sets_at_any_threshold(spark, threshold, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 9)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcde", k=rng.randint(4, 80))) for _ in range(14)]
+    texts += ["".join(c if rng.random() > 0.05 else "z" for c in t) + "q" * (i % 3) for i, t in enumerate(texts)]
+    grams = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    want = {}
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams[:i]):
+            s = 0.85 if len(a & b) / min(len(a), len(b)) > 0.8 else len(a & b) / len(a | b)
+            if s > threshold and a != b:
+                want[j, i] = pytest.approx(s)
+    first = {i: min(j for j, b in enumerate(grams) if b == a) for i, a in enumerate(grams)}
+    want = {k: v for k, v in want.items() if all(first[x] == x for x in k)}
+    assert {(r.a, r.b): r.similarity for r in dedup.similar_sets(frame(spark, *texts), threshold)[0].collect()} == want
+
+
+def test_sets_of_other_scripts_are_never_compared(spark, monkeypatch):
+    """Bounds of blocks: most pairs of blocks of unlike sets are not built, and no pair is lost."""
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 12)
+    rng = random.Random(9)
+    scripts = ["abcdefgh", "αβγδεζηθ", "бвгджзик", "管理团队计划目标"]
+    texts = ["".join(rng.choices(s, k=200)) for s in scripts for _ in range(30)]
+    texts += [t[:150] for t in texts[::5]]
+    pairs, _, done = dedup.compare_sets(frame(spark, *texts))
+    grams = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    want = {(j, i) for i, a in enumerate(grams) for j, b in enumerate(grams[:i]) if len(a & b) / min(len(a), len(b)) > 0.8}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) >= 24
+    assert done.sets == len(texts) and done.blocks > 8
+    assert done.block_pairs < 0.8 * done.blocks**2 and done.counted < done.sets * (done.sets - 1) / 2 / 3
+
+
+def test_grams_are_exact():
+    for n in (1, 2, 3, 4):
+        for t in (None, "", "a", "ab", "abcabc", "漢字😀漢字😀x", "\U0010ffff" * 9):
+            want = {t[i : i + n] for i in range(len(t or "") - n + 1)} if t else set()
+            assert len(dedup.grams_of(t, n)) == len(want)
+    assert len(dedup.grams_of("abcdef", 3, head=4)) == 2
 
 
 def test_vector_dedup_in_blocks(spark, monkeypatch):
