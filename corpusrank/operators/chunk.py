@@ -12,6 +12,7 @@ from pyspark.sql import types as P
 
 from ..functions import text as T
 from ..functions.profiles import ZH, Profile
+from ..plans.scratch import materialize
 from .filters import is_low_quality
 from .lines import chapters
 from .refine import pack
@@ -68,9 +69,9 @@ def parents(df: DataFrame, overlap: int, text_col: str = "text", key: str = "doc
     return fixed_windows(df, size, max(size - overlap, 1), text_col, key).toDF(key, "parent_idx", "parent_content")
 
 
-def chunks(df: DataFrame, size: int, profile: Profile = ZH, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, chunk_index, position, content) of every chunk of the cleaned text, short and poor ones included."""
-    rows = df.select(F.col(key), T.clean_text(F.col(text_col)).alias("_t"))
+def chunks(df: DataFrame, size: int, profile: Profile = ZH, text_col: str = "text", key: str = "doc_id", cleaned: bool = False) -> DataFrame:
+    """(key, chunk_index, position, content) of every chunk of the cleaned text, short and poor ones included. cleaned: it is clean already."""
+    rows = df.select(F.col(key), (F.col(text_col) if cleaned else T.clean_text(F.col(text_col))).alias("_t"))
     separators = profile.separators
 
     def run(batches):
@@ -112,13 +113,18 @@ def with_chapter(df: DataFrame, heads: DataFrame, key: str = "doc_id") -> DataFr
 
 def chunks_with_parents(df: DataFrame, granularity: str = "small", profile: Profile = ZH, text_col: str = "text", key: str = "doc_id", source_col: str = "source") -> DataFrame:
     """chunk_id, key, source_doc, granularity, chunk_index, position, chapter, content and parent_content of the chunks worth keeping."""
+    clean = df.select(key, F.col(source_col).cast("string").alias("source_doc"), T.clean_text(F.col(text_col)).alias("_t"))
+    return _cut(clean, chapters(clean, profile, "_t", key), granularity, profile, key)
+
+
+def _cut(clean: DataFrame, heads: DataFrame, granularity: str, profile: Profile, key: str) -> DataFrame:
+    """The chunks of cleaned texts (key, source_doc, _t) with chapters heads."""
     size, overlap = SIZES[granularity]
     step = max(PARENT - overlap, 1)
-    clean = df.select(key, F.col(source_col).cast("string").alias("source_doc"), T.clean_text(F.col(text_col)).alias("_t"))
-    rows = chunks(clean, size, profile, "_t", key)
+    rows = chunks(clean, size, profile, "_t", key, cleaned=True)
     body = T.strip(F.col("content"))
     rows = rows.where((F.length(body) >= LEAST_CHUNK) & ~is_low_quality(body, profile))
-    rows = with_chapter(rows, chapters(clean, profile, "_t", key), key)
+    rows = with_chapter(rows, heads, key)
     windows = parents(clean, overlap, "_t", key)
     last = F.floor((F.greatest(F.length("_t"), F.lit(1)) - 1) / step).cast("int")
     info = clean.select(key, "source_doc", last.alias("_last"))
@@ -131,5 +137,9 @@ def chunks_with_parents(df: DataFrame, granularity: str = "small", profile: Prof
     )
 
 
-def both_granularities(df: DataFrame, profile: Profile = ZH, **columns) -> DataFrame:
-    return chunks_with_parents(df, "small", profile, **columns).unionByName(chunks_with_parents(df, "large", profile, **columns))
+def both_granularities(df: DataFrame, profile: Profile = ZH, text_col: str = "text", key: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """chunks_with_parents of both sizes; texts are cleaned and headings found once, in as many tasks as a shuffle has."""
+    clean = df.select(key, F.col(source_col).cast("string").alias("source_doc"), F.col(text_col).alias("_t")).repartition(key)
+    clean = materialize(clean.withColumn("_t", T.clean_text(F.col("_t"))), "clean")
+    heads = materialize(chapters(clean, profile, "_t", key), "heads")
+    return _cut(clean, heads, "small", profile, key).unionByName(_cut(clean, heads, "large", profile, key))

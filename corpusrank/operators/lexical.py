@@ -3,10 +3,16 @@
 Texts are cut once, into a table of postings that also holds each document's length; statistics come from that
 table. Queries reach postings by a broadcast of their terms where these are at most BROADCAST_TERMS rows, so postings
 are not shuffled; above that by a shuffled join in which common terms are spread over several tasks.
+
+The best k documents are found by block maxima. Documents with the same most frequent term stand together in blocks of
+BLOCK_DOCUMENTS, and a row of the block table holds a term's postings in one block and their largest impact. The largest
+impacts of a query's terms in a block bound the score of any document there. The blocks of largest bounds are scored first;
+the k-th best score so far is a threshold, and only blocks whose bound reaches it are scored as well. Results are exact.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,16 +21,25 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.profiles import ZH, Profile
 from ..plans.scratch import materialize
+from . import segment
 
 BROADCAST_TERMS, SALTS, HOT_TERM = 300_000, 32, 100_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP_K = 50
 BOOST_CAP = 1.5
+BLOCK_DOCUMENTS, RANGE_DOCUMENTS = 64, 1 << 20
+ROUNDING = 1e-8  # documents that tie when rounded are kept
+
 
+def tokenizer(profile: Profile = ZH, least: int = 1, dictionary: tuple[str, ...] = (), words: DataFrame | None = None):
+    """The built-in tokenizer of a profile, as a function of columns; a plug-in is any such function.
 
-def tokenizer(profile: Profile = ZH, least: int = 1, dictionary: tuple[str, ...] = ()):
-    """The built-in tokenizer of a profile, as a function of columns; a plug-in is any such function. dictionary: words to keep whole."""
+    For Chinese: words (of segment.learn) are found by the path of largest probability; without them, pairs of characters,
+    and words of the dictionary whole.
+    """
     if profile.name == "zh":
+        if words is not None:
+            return segment.segmenter(words, profile.stop_words, least)
         return lambda c: T.han_tokens(c, profile.stop_words, least, dictionary)
     return lambda c: T.tokens(c, profile.stop_words, least)
 
@@ -36,6 +51,26 @@ class Index:
     documents: int
     average: float
     key: str
+    stored_blocks: DataFrame | None = None
+    stored_homes: DataFrame | None = None
+
+    def impact(self, tf: Column, dl: Column) -> Column:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(self.average or 1.0)))
+
+    @property
+    def blocks(self) -> DataFrame:
+        """(term, block, n, most, entries): a term's postings (key, tf, dl) in each block, made when first asked for."""
+        if self.stored_blocks is None:
+            self.stored_blocks, self.stored_homes = block_postings(self)
+        return self.stored_blocks
+
+    @property
+    def homes(self) -> DataFrame:
+        """(key, block) of every document that has a posting."""
+        blocks = self.blocks
+        if self.stored_homes is None:
+            self.stored_homes = blocks.select(F.explode("entries.key").alias(self.key), "block").distinct()
+        return self.stored_homes
 
 
 def term_counts(df: DataFrame, tokens: Column, key: str) -> DataFrame:
@@ -82,6 +117,52 @@ def bm25(index: Index, queries: DataFrame, tokens: Column, query_cols: list[str]
     return hits.groupBy(*query_cols, index.key).agg(F.sum(part).alias("score"))
 
 
+def block_postings(index: Index) -> tuple[DataFrame, DataFrame]:
+    """(postings by term and block, blocks of documents): the postings of an index in blocks: documents in the order of their most frequent term, then key, BLOCK_DOCUMENTS in each."""
+    top = index.postings.groupBy(index.key).agg(F.max(F.struct("tf", "term"))["term"].alias("_top"))
+    ranges = max(1, math.ceil(index.documents / RANGE_DOCUMENTS))
+    placed = top.repartitionByRange(ranges, "_top", index.key).sortWithinPartitions("_top", index.key)
+    number = F.shiftright(F.monotonically_increasing_id(), BLOCK_DOCUMENTS.bit_length() - 1)
+    placed = materialize(placed.select(index.key, number.alias("block")), "document-blocks")
+    rows = index.postings.join(placed, index.key).select("term", "block", F.struct(F.col(index.key).alias("key"), "tf", "dl").alias("e"), index.impact(F.col("tf"), F.col("dl")).alias("_i"))
+    return materialize(rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("_i").alias("most"), F.collect_list("e").alias("entries")), "block-postings"), placed
+
+
+def bm25_top(index: Index, queries: DataFrame, tokens: Column, query_cols: list[str], k: int = TOP_K, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((query_cols, key, score) of the best k documents and of others that were scored with them, (query_cols, blocks, blocks_read, postings, postings_read)).
+
+    also: (query_cols, key) of documents whose scores are wanted whatever they are (no row if they share no term).
+    """
+    q = queries.select(*query_cols, F.explode(tokens).alias("term")).groupBy(*query_cols, "term").agg(F.count("*").alias("qtf"))
+    q = materialize(q.join(index.terms, "term").select(*query_cols, "term", (F.col("qtf") * F.col("idf")).alias("w")), "query-terms")
+    few = q.count() <= BROADCAST_TERMS
+    heads = index.blocks.select("term", "block", "n", "most").join(F.broadcast(q) if few else q, "term")  # a term has a row a block
+    bounds = heads.groupBy(*query_cols, "block").agg(F.sum(F.greatest("w", F.lit(0.0)) * F.col("most")).alias("bound"), F.sum("n").alias("n"))
+    bounds = materialize(bounds, "bm25-bounds")
+    place = F.row_number().over(Window.partitionBy(*query_cols).orderBy(F.desc("bound"), "block"))
+    first = bounds.withColumn("_place", place).where(F.col("_place") <= 2 + math.ceil(2 * k / BLOCK_DOCUMENTS)).select(*query_cols, "block")
+    first = materialize(first, "bm25-first")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        asked = pairs.join(F.broadcast(q) if few else q, query_cols)
+        hits = index.blocks.select("term", "block", "entries").join(asked, ["term", "block"]).select(*query_cols, "w", F.explode("entries").alias("e"))
+        part = F.col("w") * index.impact(F.col("e.tf"), F.col("e.dl"))
+        return hits.groupBy(*query_cols, F.col("e.key").alias(index.key)).agg(F.sum(part).alias("score"))
+
+    found = materialize(scored(first), "bm25-seeds")
+    order = Window.partitionBy(*query_cols).orderBy(F.desc("score"))
+    least = found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") == k).select(*query_cols, F.col("score").alias("_least"))
+    rest = bounds.join(least, query_cols, "left").where(F.col("bound") >= F.coalesce("_least", F.lit(0.0)) * (1 - ROUNDING)).select(*query_cols, "block")
+    if also is not None:
+        rest = rest.unionByName(also.join(index.homes, index.key).select(*query_cols, "block")).distinct()
+    rest = materialize(rest.join(first, [*query_cols, "block"], "left_anti"), "bm25-rest")
+    read = first.unionByName(rest).withColumn("_read", F.lit(1))
+    stats = bounds.join(read, [*query_cols, "block"], "left").groupBy(*query_cols).agg(
+        F.count("*").alias("blocks"), F.count("_read").alias("blocks_read"), F.sum("n").alias("postings"), F.coalesce(F.sum(F.when(F.col("_read") == 1, F.col("n"))), F.lit(0)).alias("postings_read")
+    )
+    return found.unionByName(scored(rest)), stats
+
+
 def overlap_share(a: Column, b: Column) -> Column:
     """How much of the set b is in a (0 for an empty b)."""
     bs = F.array_distinct(b)
@@ -94,14 +175,21 @@ def search(index: Index, queries: DataFrame, query_tokens: Column, query_cols: l
     names: (key, ...) rows whose name_tokens are compared with the query; a name that shares a token with a query
     reaches it through a join by token, so documents without any query term are boosted too.
     """
-    scores = materialize(bm25(index, queries, query_tokens, query_cols), "bm25")
+    boost = None
+    if names is not None:
+        # rows of one source share a name, so each different name is compared once
+        named = materialize(names.select(index.key, F.array_distinct(name_tokens).alias("_name")), "names")
+        sets = named.select("_name").distinct().select("_name", F.explode("_name").alias("term"), F.size("_name").alias("n"))
+        q = queries.select(*query_cols, F.explode(F.array_distinct(query_tokens)).alias("term"))
+        boost = materialize(q.join(sets, "term").groupBy(*query_cols, "_name").agg((0.3 * F.count("*") / F.max("n")).alias("boost")), "name-boosts")
+        few = boost.count() <= BROADCAST_TERMS
+        boost = materialize(named.join(F.broadcast(boost) if few else boost, "_name").drop("_name"), "boosts")  # a skewed join is split where it is shuffled
+    # a document without a boost is in the result only if it is among the best k
+    scores = materialize(bm25_top(index, queries, query_tokens, query_cols, k, boost)[0], "bm25")
     most = scores.groupBy(*query_cols).agg(F.max("score").alias("_most"))  # combined in the tasks, then one row a query
     scores = scores.join(most, query_cols)
     scores = scores.withColumn("score", F.when(F.col("_most") > 0, F.col("score") / F.col("_most")).otherwise(F.col("score"))).drop("_most")
-    if names is not None:
-        sets = names.select(index.key, F.explode(F.array_distinct(name_tokens)).alias("term"), F.size(F.array_distinct(name_tokens)).alias("n"))
-        q = queries.select(*query_cols, F.explode(F.array_distinct(query_tokens)).alias("term"))
-        boost = q.join(sets, "term").groupBy(*query_cols, index.key).agg((0.3 * F.count("*") / F.max("n")).alias("boost"))
+    if boost is not None:
         scores = scores.join(boost, [*query_cols, index.key], "full_outer")
         base = F.coalesce("score", F.lit(0.0))
         scores = scores.withColumn("score", F.when(F.col("boost").isNotNull(), F.least(base + F.col("boost"), F.lit(BOOST_CAP))).otherwise(base)).drop("boost")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.profiles import LATIN as P
 from .functions.profiles import MIRROR_SITES
-from .operators import chunk, dedup, filters, formatting, lexical, lines, metrics, qa, query, rank, refine, vectors
+from .operators import chunk, clustered, dedup, filters, formatting, lexical, lines, metrics, qa, query, rank, refine, vectors
 from .plans import engine
-from .plans.scratch import materialize
+from .plans.scratch import materialize, scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -276,6 +276,15 @@ def vec_topk(spark, d):
     return vectors.top_k(q, v, 50).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+@_query(SQL["vec_topk"])
+def vec_topk_clustered(spark, d):
+    """vec_topk from a stored table in blocks by direction, of which a query opens those that its bounds allow."""
+    v = _vectors(spark, d)
+    q = v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    found, _ = clustered.Clustered.write(v, scratch_path(spark, "clustered")).top_k(q, 50)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 @_query(f"WITH {_UNIQ} SELECT vec_id, round(uniqueness, 6) AS uniqueness FROM u")
 def vec_uniqueness(spark, d):
     return vectors.uniqueness(_vectors(spark, d)).select("vec_id", F.round("uniqueness", 6).alias("uniqueness"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.profiles import ZH
-from .operators import chunk, filters, judge, lexical, lines, query, refine
+from .operators import chunk, filters, judge, lexical, lines, query, refine, segment
 from .plans.scratch import materialize
 from .queries import _count, _query, _strip, _t, _terms
 from .queries_more import content_sql, noise_sql, parts_sql, preprocessed_sql, re2, scored_sql, understood
@@ -130,9 +130,45 @@ def _tokens_sql(x: str, least: int = 1) -> str:
     return f"list_filter(flatten(list_transform({runs}, lambda r: {pairs})), lambda w: length(w) >= {least} AND NOT list_contains({_list(ZH.stop_words)}, w))"
 
 
-@_query(f"WITH {_ZH} SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens_sql('text')}) AS term FROM zh) GROUP BY ALL")
+_KNOWN = sorted({w.lower() for w in ZH.dictionary if len(w) > 1 and all("一" <= x <= "鿿" for x in w)})
+#: Words of the corpus, then the least cost of each run's suffixes from the end, then the words of its path.
+_WORDS_SQL = rf"""zr AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{Han}}+')) AS r FROM zh),
+    rc AS MATERIALIZED (SELECT r, count(*) AS c FROM zr GROUP BY r),
+    gc AS MATERIALIZED (SELECT substr(r, i, m) AS gram, sum(c)::BIGINT AS n FROM (SELECT r, c, unnest(generate_series(1, length(r))) AS i FROM rc), generate_series(1, {segment.LONGEST}) AS s(m)
+        WHERE i + m - 1 <= length(r) GROUP BY 1),
+    nn AS (SELECT sum(n) AS total FROM gc WHERE length(gram) = 1),
+    ct AS (SELECT gram, n, unnest(generate_series(1, length(gram) - 1)) AS k FROM gc WHERE length(gram) > 1 AND n >= {segment.LEAST}),
+    ok AS (SELECT ct.gram, ct.n FROM ct JOIN gc a ON a.gram = substr(ct.gram, 1, k) JOIN gc b ON b.gram = substr(ct.gram, k + 1), nn
+        GROUP BY ct.gram, ct.n HAVING min(ct.n::DOUBLE * total / (a.n::DOUBLE * b.n::DOUBLE)) >= {segment.COHESION} ORDER BY ct.n DESC, ct.gram LIMIT {segment.MOST_WORDS}),
+    kn AS (SELECT unnest({_list(_KNOWN)}) AS gram),
+    wc AS (SELECT * FROM ok WHERE gram NOT IN (SELECT gram FROM kn) UNION ALL SELECT gram, n FROM gc WHERE length(gram) = 1 UNION ALL SELECT gram, coalesce(n, 1) FROM kn LEFT JOIN gc USING (gram)),
+    wd AS MATERIALIZED (SELECT gram AS word, round(1000 * (ln(total::DOUBLE) - ln(n::DOUBLE)))::BIGINT AS cost FROM wc, nn)"""
+_PATHS_SQL = """op AS (
+        SELECT r, length(r) AS i, [0::BIGINT] AS best, []::INT[] AS steps FROM rc
+        UNION ALL
+        SELECT r, i - 1, list_prepend(least(v1, v2, v3, v4), best)[1:4], list_prepend(CASE least(v1, v2, v3, v4) WHEN v4 THEN 4 WHEN v3 THEN 3 WHEN v2 THEN 2 ELSE 1 END, steps)
+        FROM (SELECT r, i, best, steps, w1.cost + best[1] AS v1, w2.cost + best[2] AS v2, w3.cost + best[3] AS v3, w4.cost + best[4] AS v4
+              FROM op LEFT JOIN wd w1 ON w1.word = substr(r, i, 1) LEFT JOIN wd w2 ON w2.word = substr(r, i, 2) AND i + 1 <= length(r)
+              LEFT JOIN wd w3 ON w3.word = substr(r, i, 3) AND i + 2 <= length(r) LEFT JOIN wd w4 ON w4.word = substr(r, i, 4) AND i + 3 <= length(r) WHERE i > 0)),
+    fi AS MATERIALIZED (SELECT r, steps FROM op WHERE i = 0),
+    tk AS (SELECT r, steps, 1 + steps[1] AS i, substr(r, 1, steps[1]) AS term FROM fi UNION ALL SELECT r, steps, i + steps[i], substr(r, i, steps[i]) FROM tk WHERE i <= length(r))"""
+
+
+@_query(f"WITH {_ZH}, {_WORDS_SQL} SELECT word, cost FROM wd")
+def zh_words(spark, d):
+    """The dictionary learned from the texts."""
+    return segment.learn(_zh(spark, d), known=ZH.dictionary).where("word <> ''")
+
+
+@_query(
+    rf"""WITH RECURSIVE {_ZH}, {_WORDS_SQL}, {_PATHS_SQL},
+    al AS (SELECT doc_id, term FROM zr JOIN tk USING (r) UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{Latin}}\p{{N}}]+')) FROM zh)
+    SELECT doc_id, term, count(*) AS tf FROM al WHERE NOT list_contains({_list(ZH.stop_words)}, term) GROUP BY ALL"""
+)
 def zh_tokens(spark, d):
-    return lexical.term_counts(_zh(spark, d), lexical.tokenizer(ZH)(F.col("text")), "doc_id")
+    rows = materialize(_zh(spark, d), "zh")
+    words = segment.learn(rows, known=ZH.dictionary)
+    return lexical.term_counts(rows, lexical.tokenizer(ZH, words=words)(F.col("text")), "doc_id")
 
 
 _ASK = f"({_list([q for q, _ in QUESTIONS])})[1 + conv_id % {len(QUESTIONS)}]"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusrank import registry
 from corpusrank.functions import text as T
 from corpusrank.functions.profiles import LATIN, ZH
-from corpusrank.operators import chunk, dedup, filters, judge, lines, query, rank, refine, vectors
+from corpusrank.operators import chunk, clustered, dedup, filters, judge, lines, query, rank, refine, vectors
 from corpusrank.plans.session import ship
 from corpusrank.sources import files
 from corpusrank.streaming import ingest
@@ -224,7 +224,7 @@ def test_grams_are_exact():
 
 
 def test_vector_dedup_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(clustered, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(6)
     v = rng.normal(size=(50, 4))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
