@@ -88,8 +88,18 @@ def build_index(df: DataFrame, tokens: Column, key: str = "doc_id") -> Index:
 
 def index_of(postings: DataFrame, documents: int, key: str = "doc_id") -> Index:
     """The index of stored postings of so many documents (those without a term have no posting)."""
+    return index_from(postings, term_totals(postings), documents, key)
+
+
+def term_totals(postings: DataFrame) -> DataFrame:
+    """(term, df, tf): in how many documents a term is, and how often. Totals of parts of a collection add up."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def index_from(postings: DataFrame, totals: DataFrame, documents: int, key: str = "doc_id") -> Index:
+    """The index of postings whose totals are known."""
     raw = F.log((F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = materialize(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).withColumn("raw", raw), "terms")
+    terms = materialize(totals.withColumn("raw", raw), "terms")
     mean, total = terms.agg(F.coalesce(F.avg("raw"), F.lit(0.0)), F.coalesce(F.sum("tf"), F.lit(0))).first()
     terms = terms.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
     return Index(postings, terms, documents, total / documents if documents else 0.0, key)
