@@ -187,12 +187,56 @@ def chk_lossless(spark, d):
     return rows.groupBy("doc_id").agg(F.md5(joined).alias("whole"), F.sum(F.length("content")).cast("long").alias("n_chars"))
 
 
-@_query()
+def _packed(pieces: str, size: int) -> str:
+    """The pieces of a list put together while a pack has at most `size` characters, as a list."""
+    last = "CASE WHEN strpos(a, chr(1)) = 0 THEN length(a) ELSE strpos(reverse(a), chr(1)) - 1 END"
+    return f"string_split(list_reduce({pieces}, lambda a, p: CASE WHEN {last} + length(p) <= {size} THEN a || p ELSE a || chr(1) || p END), chr(1))"
+
+
+def _chunks_sql(size: int, name: str, profile=P) -> str:
+    """Relations {name}f (fragments, cut again while they are longer than size) and {name} (doc_id, chunk_index, position, content), from cl (doc_id, text)."""
+    marks = [m.replace("\n", "' || chr(10) || '") for m in profile.separators if m]
+    marks = [f"('{m}')" for m in marks]
+    none = len(marks) + 1
+    coarsest = " ".join(f"WHEN level <= {i} AND contains(t, {m}) THEN {i}" for i, m in enumerate(marks, 1))
+    cut = " ".join(f"WHEN {i} THEN list_transform(string_split(t, {m}), lambda x, i: CASE WHEN i < len(string_split(t, {m})) THEN x || {m} ELSE x END)" for i, m in enumerate(marks, 1))
+    windows = f"list_transform(generate_series(0, length(t) - 1, {size}), lambda i: substr(t, i + 1, {size}))"
+    packs = _packed("list_filter(pieces, lambda x: x <> '')", size)
+    return f"""{name}f AS (
+        SELECT doc_id, []::BIGINT[] AS path, text AS t, 1 AS level, true AS open FROM cl WHERE text <> ''
+        UNION ALL
+        SELECT doc_id, list_append(path, k), pack, mark + 1, length(pack) > {size}
+        FROM (SELECT doc_id, path, mark, unnest(packs) AS pack, generate_subscripts(packs, 1) AS k
+              FROM (SELECT doc_id, path, mark, {packs} AS packs
+                    FROM (SELECT doc_id, path, mark, CASE mark {cut} ELSE {windows} END AS pieces
+                          FROM (SELECT *, CASE {coarsest} ELSE {none} END AS mark FROM {name}f WHERE open))))),
+    {name} AS (SELECT doc_id, (row_number() OVER w - 1)::INT AS chunk_index, (sum(length(t)) OVER w - length(t))::BIGINT AS position, t AS content
+        FROM {name}f WHERE NOT open WINDOW w AS (PARTITION BY doc_id ORDER BY path))"""
+
+
+_CLEANED = f"cl AS MATERIALIZED (SELECT doc_id, source, {_clean('text')} AS text FROM documents)"
+
+
+@_query(f"WITH RECURSIVE {_CLEANED}, {_chunks_sql(600, 'ck')} SELECT * FROM ck")
 def chk_recursive(spark, d):
     return chunk.chunks(_docs(spark, d), 600, P)
 
 
-@_query()
+def _with_parents_sql(granularity: str, name: str) -> str:
+    size, overlap = chunk.SIZES[granularity]
+    step = chunk.PARENT - overlap
+    low = rf"""(s = '' OR {_count('s', P.script)} / greatest(length(s), 1) < 0.2 OR {_count('s', '[0-9]')} / greatest(length(s), 1) > 0.6
+        OR (length(s) > 20 AND len(list_distinct(string_split(s, ''))) / greatest(length(s), 1) < {P.distinct_share}))"""
+    return f"""SELECT concat_ws('_', source, k.doc_id, '{granularity}', 'chunk', chunk_index) AS chunk_id, k.doc_id, '{granularity}' AS granularity, chunk_index, position, coalesce(title, '') AS chapter,
+            md5(substr(text, 1 + {step} * least((position + greatest(length(content) // 2, 1)) // {step}, (greatest(length(text), 1) - 1) // {step}), {chunk.PARENT})) AS parent
+        FROM (SELECT *, {_strip('content')} AS s FROM {name}) k JOIN cl USING (doc_id) ASOF LEFT JOIN ch ON k.doc_id = ch.doc_id AND k.position >= ch.start
+        WHERE length(s) >= {chunk.LEAST_CHUNK} AND NOT {low}"""
+
+
+@_query(
+    f"""WITH RECURSIVE {_CLEANED}, {_LINES.replace('documents', 'cl')}, {_CHAPTERS}, {_chunks_sql(chunk.SIZES['small'][0], 'cs')}, {_chunks_sql(chunk.SIZES['large'][0], 'cg')}
+    {_with_parents_sql('small', 'cs')} UNION ALL {_with_parents_sql('large', 'cg')}"""
+)
 def chk_with_parents(spark, d):
     return chunk.both_granularities(_docs(spark, d), P).select("chunk_id", "doc_id", "granularity", "chunk_index", "position", "chapter", F.md5("parent_content").alias("parent"))
 

@@ -9,7 +9,7 @@ from .functions.profiles import LATIN as P
 from .operators import chunk, dedup, filters, formatting, lexical, lines, metrics, qa, query, rank, refine, vectors
 from .plans import engine
 from .plans.scratch import materialize, scratch_path
-from .queries import _BEST, _BM25, _CHAPTERS, _DENS, _DOT, _LINES, _NEAR, _STOP, _UNIQ, _clean, _count, _docs, _index, _pairs, _query, _strip, _t, _terms, _vectors, _windows
+from .queries import _BEST, _BM25, _CHAPTERS, _DENS, _DOT, _LINES, _NEAR, _STOP, _UNIQ, _clean, _count, _docs, _index, _packed, _pairs, _query, _strip, _t, _terms, _vectors, _windows
 from .sources import files
 
 _toks = lambda x, least=1: rf"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+'), lambda w: NOT list_contains([{_STOP}], w) AND length(w) >= {least})"
@@ -19,12 +19,6 @@ _quote = lambda p: p.replace("'", "''")
 # -- refinement and chunking: the same SQL for both profiles ----------------------------------------------------
 
 
-def _packed(pieces: str, size: int) -> str:
-    """The pieces of a list put together while a pack has at most `size` characters, as a list."""
-    last = "CASE WHEN strpos(a, chr(1)) = 0 THEN length(a) ELSE strpos(reverse(a), chr(1)) - 1 END"
-    return f"string_split(list_reduce({pieces}, lambda a, p: CASE WHEN {last} + length(p) <= {size} THEN a || p ELSE a || chr(1) || p END), chr(1))"
-
-
 def _sentences(x: str, marks: str) -> str:
     return rf"regexp_extract_all({x}, '[^{marks}]*[{marks}]|[^{marks}]+')"
 
