@@ -5,9 +5,10 @@ table. Queries reach postings by a broadcast of their terms where these are at m
 are not shuffled; above that by a shuffled join in which common terms are spread over several tasks.
 
 The best k documents are found by block maxima. Documents with the same most frequent term stand together in blocks of
-BLOCK_DOCUMENTS, and a row of the block table holds a term's postings in one block and their largest impact. The largest
-impacts of a query's terms in a block bound the score of any document there. The blocks of largest bounds are scored first;
-the k-th best score so far is a threshold, and only blocks whose bound reaches it are scored as well. Results are exact.
+BLOCK_DOCUMENTS, and a row of the block table holds the postings of one block. A task keeps the k best of each query so far.
+The largest impacts of a query's terms in a block bound the score of any document there; a block whose bounds are all
+under the k-th scores so far is skipped, and others are scored for the queries that need them, by a product of matrices. Only the
+best k of each task are shuffled. Results are exact.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ BROADCAST_TERMS, SALTS, HOT_TERM = 300_000, 32, 100_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP_K = 50
 BOOST_CAP = 1.5
-BLOCK_DOCUMENTS, RANGE_DOCUMENTS = 64, 1 << 20
+BLOCK_DOCUMENTS, RANGE_DOCUMENTS, CHUNK_BLOCKS, QUERY_ROWS = 64, 1 << 20, 8, 1024
 ROUNDING = 1e-8  # documents that tie when rounded are kept
 
 
@@ -52,26 +55,17 @@ class Index:
     average: float
     key: str
     stored_blocks: DataFrame | None = None
-    stored_homes: DataFrame | None = None
 
     def impact(self, tf: Column, dl: Column) -> Column:
         return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(self.average or 1.0)))
 
     @property
     def blocks(self) -> DataFrame:
-        """(term, block, n, most, entries): a term's postings (key, tf, dl) in each block, made when first asked for."""
+        """(block, keys, places, terms, impacts): the postings of each block of documents, made when first asked for."""
         if self.stored_blocks is None:
-            self.stored_blocks, self.stored_homes = block_postings(self)
+            self.stored_blocks = block_postings(self)
         return self.stored_blocks
 
-    @property
-    def homes(self) -> DataFrame:
-        """(key, block) of every document that has a posting."""
-        blocks = self.blocks
-        if self.stored_homes is None:
-            self.stored_homes = blocks.select(F.explode("entries.key").alias(self.key), "block").distinct()
-        return self.stored_homes
-
 
 def term_counts(df: DataFrame, tokens: Column, key: str) -> DataFrame:
     return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -127,50 +121,136 @@ def bm25(index: Index, queries: DataFrame, tokens: Column, query_cols: list[str]
     return hits.groupBy(*query_cols, index.key).agg(F.sum(part).alias("score"))
 
 
-def block_postings(index: Index) -> tuple[DataFrame, DataFrame]:
-    """(postings by term and block, blocks of documents): the postings of an index in blocks: documents in the order of their most frequent term, then key, BLOCK_DOCUMENTS in each."""
+def _term_number(seed: int = 0) -> Column:
+    return F.xxhash64(F.lit(seed), "term")
+
+
+def block_postings(index: Index) -> DataFrame:
+    """The postings of an index by blocks: documents in the order of their most frequent term, then key, BLOCK_DOCUMENTS in each.
+
+    A posting is the place of its document among the block's keys, the number of its term (a hash; no two terms of the
+    index share one) and its impact.
+    """
+    seed = 0
+    while index.terms.groupBy(_term_number(seed).alias("t")).count().where("count > 1").count():
+        seed += 1
     top = index.postings.groupBy(index.key).agg(F.max(F.struct("tf", "term"))["term"].alias("_top"))
     ranges = max(1, math.ceil(index.documents / RANGE_DOCUMENTS))
     placed = top.repartitionByRange(ranges, "_top", index.key).sortWithinPartitions("_top", index.key)
     number = F.shiftright(F.monotonically_increasing_id(), BLOCK_DOCUMENTS.bit_length() - 1)
     placed = materialize(placed.select(index.key, number.alias("block")), "document-blocks")
-    rows = index.postings.join(placed, index.key).select("term", "block", F.struct(F.col(index.key).alias("key"), "tf", "dl").alias("e"), index.impact(F.col("tf"), F.col("dl")).alias("_i"))
-    return materialize(rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("_i").alias("most"), F.collect_list("e").alias("entries")), "block-postings"), placed
+    posting = F.struct(_term_number(seed).alias("t"), index.impact(F.col("tf"), F.col("dl")).alias("i"))
+    rows = index.postings.select(index.key, posting.alias("p")).groupBy(index.key).agg(F.collect_list("p").alias("p"))
+    rows = rows.join(placed, index.key).groupBy("block").agg(F.collect_list(F.struct(F.col(index.key).alias("k"), "p")).alias("d"))
+    places = F.flatten(F.transform("d", lambda d, i: F.transform(d["p"], lambda _: i)))
+    flat = F.flatten(F.transform("d", lambda d: d["p"]))
+    rows = rows.select("block", F.col("d.k").alias("keys"), places.alias("places"), flat["t"].alias("terms"), flat["i"].alias("impacts"), F.lit(seed).alias("seed"))
+    return materialize(rows, "block-postings")
 
 
 def bm25_top(index: Index, queries: DataFrame, tokens: Column, query_cols: list[str], k: int = TOP_K, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """((query_cols, key, score) of the best k documents and of others that were scored with them, (query_cols, blocks, blocks_read, postings, postings_read)).
+    """((query_cols, key, score) of the best k documents and of those of `also`, (blocks, skipped, postings, postings_read) by task).
 
     also: (query_cols, key) of documents whose scores are wanted whatever they are (no row if they share no term).
+    Queries are gone through QUERY_ROWS at a time.
     """
     q = queries.select(*query_cols, F.explode(tokens).alias("term")).groupBy(*query_cols, "term").agg(F.count("*").alias("qtf"))
     q = materialize(q.join(index.terms, "term").select(*query_cols, "term", (F.col("qtf") * F.col("idf")).alias("w")), "query-terms")
-    few = q.count() <= BROADCAST_TERMS
-    heads = index.blocks.select("term", "block", "n", "most").join(F.broadcast(q) if few else q, "term")  # a term has a row a block
-    bounds = heads.groupBy(*query_cols, "block").agg(F.sum(F.greatest("w", F.lit(0.0)) * F.col("most")).alias("bound"), F.sum("n").alias("n"))
-    bounds = materialize(bounds, "bm25-bounds")
-    place = F.row_number().over(Window.partitionBy(*query_cols).orderBy(F.desc("bound"), "block"))
-    first = bounds.withColumn("_place", place).where(F.col("_place") <= 2 + math.ceil(2 * k / BLOCK_DOCUMENTS)).select(*query_cols, "block")
-    first = materialize(first, "bm25-first")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        asked = pairs.join(F.broadcast(q) if few else q, query_cols)
-        hits = index.blocks.select("term", "block", "entries").join(asked, ["term", "block"]).select(*query_cols, "w", F.explode("entries").alias("e"))
-        part = F.col("w") * index.impact(F.col("e.tf"), F.col("e.dl"))
-        return hits.groupBy(*query_cols, F.col("e.key").alias(index.key)).agg(F.sum(part).alias("score"))
-
-    found = materialize(scored(first), "bm25-seeds")
-    order = Window.partitionBy(*query_cols).orderBy(F.desc("score"))
-    least = found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") == k).select(*query_cols, F.col("score").alias("_least"))
-    rest = bounds.join(least, query_cols, "left").where(F.col("bound") >= F.coalesce("_least", F.lit(0.0)) * (1 - ROUNDING)).select(*query_cols, "block")
+    head = index.blocks.select("seed").first()
+    kind = dict(index.postings.dtypes)[index.key]
+    number = F.xxhash64(*query_cols)
+    parts = max(1, math.ceil(q.select(*query_cols).distinct().count() / QUERY_ROWS))
+    found = stats = None
+    for part in range(parts):
+        some = q.where(F.pmod(number, F.lit(parts)) == part) if parts > 1 else q
+        asked = some.withColumn("t", _term_number(head.seed if head else 0)).groupBy(*query_cols).agg(F.collect_list("t").alias("t"), F.collect_list("w").alias("w"))
+        asked = asked.orderBy(*query_cols).toPandas()  # at most about QUERY_ROWS rows
+        got = materialize(index.blocks.mapInArrow(_best_of_blocks(asked["t"].tolist(), asked["w"].tolist(), k), f"q int, k {kind}, score double, blocks long, skipped long, postings long, postings_read long"), "bm25-best")
+        names = queries.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(asked[query_cols].itertuples(index=False, name=None))], "q int, " + ", ".join(f"{c} {dict(q.dtypes)[c]}" for c in query_cols))
+        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "k"))
+        best = got.where("q is not null").withColumn("_place", place).where(F.col("_place") <= k).join(F.broadcast(names), "q").select(*query_cols, F.col("k").alias(index.key), "score")
+        seen = got.where("q is null").select("blocks", "skipped", "postings", "postings_read")
+        found, stats = (best, seen) if found is None else (found.unionByName(best), stats.unionByName(seen))
     if also is not None:
-        rest = rest.unionByName(also.join(index.homes, index.key).select(*query_cols, "block")).distinct()
-    rest = materialize(rest.join(first, [*query_cols, "block"], "left_anti"), "bm25-rest")
-    read = first.unionByName(rest).withColumn("_read", F.lit(1))
-    stats = bounds.join(read, [*query_cols, "block"], "left").groupBy(*query_cols).agg(
-        F.count("*").alias("blocks"), F.count("_read").alias("blocks_read"), F.sum("n").alias("postings"), F.coalesce(F.sum(F.when(F.col("_read") == 1, F.col("n"))), F.lit(0)).alias("postings_read")
-    )
-    return found.unionByName(scored(rest)), stats
+        part = F.col("w") * index.impact(F.col("tf"), F.col("dl"))
+        wanted = index.postings.join(also.select(*query_cols, index.key), index.key).join(q, [*query_cols, "term"])
+        more = wanted.groupBy(*query_cols, index.key).agg(F.sum(part).alias("score"))
+        found = found.join(more.select(*query_cols, index.key), [*query_cols, index.key], "left_anti").unionByName(more)
+    return found, stats
+
+
+def _best_of_blocks(terms: list, weights: list, k: int):
+    """Of batches of block rows: the best k of each query (by its place in terms), and a row of counts."""
+    sizes = [len(t) for t in terms]
+    known, column = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.asarray(t, np.int64) for t in terms)]), return_inverse=True)
+    row, weight = np.repeat(np.arange(len(terms)), sizes), np.concatenate([np.zeros(0), *(np.asarray(w, np.float64) for w in weights)])
+    order = np.argsort(column, kind="stable")
+    column, row, weight = column[order], row[order], weight[order]
+    first = np.searchsorted(column, np.arange(len(known) + 1))  # where the entries of a column of the query matrix begin
+
+    def run(batches):
+        best_s, best_k = np.zeros((len(terms), 0)), np.zeros((len(terms), 0), np.int64)
+        names, counts, kind = [], np.zeros(4, np.int64), None
+        for b in batches:
+            kind = b.column("keys").type.value_type
+            for low in range(0, b.num_rows, CHUNK_BLOCKS):
+                part = b.slice(low, CHUNK_BLOCKS)
+                lists = {c: part.column(c) for c in ("keys", "places", "terms", "impacts")}
+                keys = lists["keys"].flatten()
+                held = np.diff(lists["keys"].offsets.to_numpy()) if len(part) else np.zeros(0, np.int64)
+                n = np.diff(lists["places"].offsets.to_numpy())
+                block = np.repeat(np.arange(len(n)), n)
+                doc = lists["places"].flatten().to_numpy() + np.repeat(np.cumsum(held) - held, n)
+                t, impact = lists["terms"].flatten().to_numpy(), lists["impacts"].flatten().to_numpy()
+                counts += [len(n), 0, 0, 0]
+                at = np.minimum(np.searchsorted(known, t), max(len(known) - 1, 0))
+                mine = known[at] == t if len(known) else np.zeros(len(t), bool)
+                if not mine.any():
+                    counts[1] += len(n)
+                    continue
+                block, doc, impact = block[mine], doc[mine], impact[mine]
+                present, col = np.unique(at[mine], return_inverse=True)
+                counts[2] += len(col)
+                w = np.zeros((len(terms), len(present)))
+                entries = np.concatenate([np.arange(first[c], first[c + 1]) for c in present])
+                w[row[entries], np.repeat(np.arange(len(present)), first[present + 1] - first[present])] = weight[entries]
+                most = np.zeros((len(present), len(n)))
+                np.maximum.at(most, (col, block), impact)
+                bound = np.maximum(w, 0) @ most
+                least = best_s[:, k - 1] if best_s.shape[1] >= k else np.zeros(len(terms))
+                need = (bound > 0) & (bound >= (least * (1 - ROUNDING))[:, None])
+                asks, reads = need.any(1), need.any(0)
+                counts[1] += int((~reads).sum())
+                inside = reads[block]
+                counts[3] += int(inside.sum())
+                if not asks.any():
+                    continue
+                docs, place = np.unique(doc[inside], return_inverse=True)
+                x = np.zeros((len(present), len(docs)))
+                x[col[inside], place] = impact[inside]
+                scores = np.zeros((len(terms), len(docs)))
+                scores[asks] = w[asks] @ x
+                # keys are kept once, by number
+                base = sum(map(len, names))
+                names.append(keys.take(pa.array(docs)))
+                best_s, best_k = np.hstack([best_s, scores]), np.hstack([best_k, np.broadcast_to(base + np.arange(len(docs)), scores.shape)])
+                if best_s.shape[1] > k:
+                    # what ties with the k-th when rounded stays, since ties go by key
+                    edge = -np.partition(-best_s, k - 1, axis=1)[:, k - 1]
+                    best_s = np.where(best_s >= (edge * (1 - ROUNDING) - 1e-300)[:, None], best_s, 0.0)
+                    order = np.argsort(-best_s, axis=1, kind="stable")[:, : max(k, int((best_s > 0).sum(1).max(initial=0)))]
+                    best_s, best_k = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_k, order, 1)
+        if kind is not None:
+            q, c = np.nonzero(best_s > 0)
+            ids = pa.chunked_array(names, kind).combine_chunks().take(pa.array(best_k[q, c])) if names else pa.array([], kind)
+            none = pa.nulls(len(q), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), ids, pa.array(best_s[q, c]), none, none, none, none], _FOUND)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, kind), pa.nulls(1, pa.float64()), *(pa.array([c]) for c in counts)], _FOUND)
+
+    return run
+
+
+_FOUND = ["q", "k", "score", "blocks", "skipped", "postings", "postings_read"]
 
 
 def overlap_share(a: Column, b: Column) -> Column:
