@@ -155,16 +155,27 @@ def txt_extract_content(spark, d):
 # -- filters and vectors -----------------------------------------------------------------------------------------
 
 
+def _numbered(rows, key):
+    """rows with _n, their place in the order of key: places in a range of keys, after the rows of the ranges before."""
+    placed = materialize(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_i", F.monotonically_increasing_id()), "numbered")
+    part, offset, before = F.shiftrightunsigned("_i", 33), 0, []
+    for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect()):  # one row for each range
+        before += [F.lit(p).cast("long"), F.lit(offset).cast("long")]
+        offset += n
+    place = (F.create_map(*before)[part] if before else F.lit(0).cast("long")) + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_n", place).drop("_i")
+
+
 @_query(
     f"""WITH t AS (SELECT doc_id, list_distinct({_toks("coalesce(text, '')")}) AS t FROM documents), p AS (SELECT doc_id, t AS b, lag(t) OVER (ORDER BY doc_id) AS a FROM t WHERE true)
     SELECT doc_id, round(CASE WHEN a IS NULL OR len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 6)::DOUBLE AS similarity FROM p"""
 )
 def flt_jaccard(spark, d):
-    """Each document with the one whose id comes before it: ids of the table are its row numbers."""
+    """Each document with the one whose id comes before it."""
     tokens = F.array_distinct(lexical.tokenizer(P)(F.col("text")))
-    rows = _docs(spark, d).select("doc_id", tokens.alias("b"))
-    before = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.col("b").alias("a"))
-    return rows.join(before, "doc_id", "left").select("doc_id", F.round(F.coalesce(filters.jaccard(F.col("a"), F.col("b")), F.lit(0.0)), 6).alias("similarity"))
+    rows = _numbered(_docs(spark, d).select("doc_id", tokens.alias("b")), "doc_id")
+    before = rows.select((F.col("_n") + 1).alias("_n"), F.col("b").alias("a"))
+    return rows.join(before, "_n", "left").select("doc_id", F.round(F.coalesce(filters.jaccard(F.col("a"), F.col("b")), F.lit(0.0)), 6).alias("similarity"))
 
 
 @_query(f"SELECT doc_id FROM documents WHERE length(coalesce(text, '')) >= {filters.LEAST_DOCUMENT}")

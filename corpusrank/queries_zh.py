@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .functions.profiles import ZH
+from .functions.profiles import LATIN, ZH
 from .operators import chunk, filters, judge, lexical, lines, query, refine, segment
 from .plans.scratch import materialize
-from .queries import _count, _query, _strip, _t, _terms
+from .queries import SQL, _count, _query, _strip, _t, _terms
 from .queries_more import content_sql, noise_sql, parts_sql, preprocessed_sql, re2, scored_sql, understood
 
 #: Phrases with cues, headings, noise lines, sentence ends and traditional characters; none has a quote.
@@ -190,32 +190,37 @@ def zh_understand(spark, d):
     return query.understand(_asked(spark, d), ZH).select("conv_id", "turn", "query_type", "is_comparison", "entities")
 
 
-_WORDS_OF = list(ZH.synonyms.items())
-_EXPANSIONS = f"list_filter([{', '.join(f'{{s: {chr(39)}{s}{chr(39)}, w: {chr(39)}{w}{chr(39)}}}' for w, ss in _WORDS_OF for s in ss[:3])}], lambda p: contains(asked, p.w) AND NOT contains(asked, p.s))"
-_SUFFIX = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ZH.type_suffix.items())
-_PAIRS_OF = "MAP {" + ", ".join(f"'{w}': {_list(ss[:2])}" for w, ss in _WORDS_OF) + "}"
-
-
-@_query(
-    f"""WITH {_CONV}, va AS (SELECT conv_id, turn, asked, {_tokens_sql('asked', 2)} AS k, {_EXPANSIONS} AS e0, {_KIND} AS kind, {_ENTITIES} AS en,
-      {' OR '.join(f"contains(asked, '{w}')" for w in ZH.question_types['comparison'])} AS compares FROM cq),
+def variants_sql(profile, conv: str, tokens: str, kind: str, entities: str) -> str:
+    """The variants of questions cq (conv_id, turn, asked), which conv makes."""
+    words = list(profile.synonyms.items())
+    expansions = f"list_filter([{', '.join(f'{{s: {chr(39)}{s}{chr(39)}, w: {chr(39)}{w}{chr(39)}}}' for w, ss in words for s in ss[:3])}], lambda p: contains(asked, p.w) AND NOT contains(asked, p.s))"
+    suffix = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in profile.type_suffix.items())
+    pairs = "MAP {" + ", ".join(f"'{w}': {_list(ss[:2])}" for w, ss in words) + "}"
+    return f"""WITH {conv}, va AS (SELECT conv_id, turn, asked, {tokens} AS k, {expansions} AS e0, {kind} AS kind, {entities} AS en,
+      {' OR '.join(f"contains(asked, '{w}')" for w in profile.question_types['comparison'])} AS compares FROM cq),
     vb AS (SELECT *, list_filter(e0, lambda p, i: list_position(list_transform(e0, lambda h: h.s), p.s) = i) AS e FROM va),
     vc AS (SELECT *, list_distinct_in_order AS every FROM (SELECT *, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS list_distinct_in_order FROM (SELECT *,
       [asked] || CASE WHEN len(k) >= 2 THEN [array_to_string(k, ' ')] ELSE [] END
       || CASE WHEN len(e) > 0 THEN [asked || ' ' || array_to_string(list_transform(e, lambda x: x.s)[1:4], ' ')] ELSE [] END
       || list_transform(e[1:3], lambda x: replace(asked, x.w, x.s))
       || CASE WHEN len(k) >= 3 THEN [array_to_string(k[1:len(k) // 2 + 1], ' ')] ELSE [] END
-      || flatten(list_transform(k[1:3], lambda w: list_transform(list_filter(coalesce(({_PAIRS_OF})[w], []), lambda s: NOT contains(asked, s)), lambda s: w || ' ' || s)))
-      || CASE WHEN NOT ({' OR '.join(f"contains(asked, '{w}')" for w in ZH.domain_words)}) THEN [asked || ' {ZH.domain_suffix}'] ELSE [] END
-      || CASE WHEN CASE kind {_SUFFIX} END IS NOT NULL THEN [asked || ' ' || CASE kind {_SUFFIX} END] ELSE [] END AS raw FROM vb))),
+      || flatten(list_transform(k[1:3], lambda w: list_transform(list_filter(coalesce(({pairs})[w], []), lambda s: NOT contains(asked, s)), lambda s: w || ' ' || s)))
+      || CASE WHEN NOT ({' OR '.join(f"contains(asked, '{w}')" for w in profile.domain_words)}) THEN [asked || ' {profile.domain_suffix}'] ELSE [] END
+      || CASE WHEN CASE kind {suffix} END IS NOT NULL THEN [asked || ' ' || CASE kind {suffix} END] ELSE [] END AS raw FROM vb))),
     vd AS (SELECT *, every[1:6] || CASE WHEN compares THEN en ELSE [] END AS withen FROM vc),
     ve AS (SELECT *, list_filter(withen, lambda x, i: list_position(withen, x) = i)[1:8] AS out FROM vd)
     SELECT conv_id, turn, unnest(out) AS text, (generate_subscripts(out, 1) - 1)::INT AS variant_no FROM ve"""
-)
+
+
+@_query(variants_sql(ZH, _CONV, _tokens_sql("asked", 2), _KIND, _ENTITIES))
 def zh_variants(spark, d):
     return query.variants(_asked(spark, d), ZH, ("conv_id", "turn"))
 
 
+_LATIN_TOKENS = rf"list_filter(regexp_extract_all(lower(asked), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 2 AND NOT list_contains({_list(LATIN.stop_words)}, w))"
+SQL["qry_variants"] = variants_sql(LATIN, "cq AS (SELECT conv_id, turn, text AS asked FROM conversations WHERE text IS NOT NULL)", _LATIN_TOKENS, *understood(LATIN, "asked"))
+
+
 # -- judging: the turns of a conversation are the passages of its question -----------------------------------------
 
 _R = judge.ZH_RULES
