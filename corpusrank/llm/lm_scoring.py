@@ -7,12 +7,12 @@ segmentations of all its words into pieces, times one end; a forward recursion i
 distinct word's sum. A character that no piece holds is spelled by its byte pieces.
 
 How it runs: tasks count words over slices of text before anything is shuffled; each distinct word is scored
-once, in a table. Words with at least 1 / HOT_SHARE of all tokens (at most HOT_SHARE of them, so the
+once, in a table. Words of up to HOT_BYTES with at least 1 / HOT_SHARE of all tokens (at most HOT_SHARE of them, so the
 broadcast is bounded) are added up where the text is; the others go through one join by word, in which no
 word is common. Nothing of a text but its rare words is moved.
 
 Defined cases: a null text counts as empty, and an empty text is one end; rows with a null id are training
-rows; repeated rows count as often as they appear; a very long text is a slice of its own; other columns do not
+rows; repeated rows count as often as they appear; a very long text is a slice of its own; of a very long word the recursion keeps only what the longest piece can reach; other columns do not
 matter; an empty table gives an empty result.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, releasing, slices
 
-HOT_SHARE = 400_000
+HOT_SHARE, HOT_BYTES = 400_000, 64
 SLICE_CHARS = 4_000_000
 _LN10 = math.log(10)
 
@@ -96,13 +96,17 @@ def lattice(word: str, pieces: dict[str, float], spelled: list[float], longest:
     """Natural log of the summed probability of all segmentations of the marked word. longest: the length of the longest piece."""
     longest = longest or max(map(len, pieces), default=0)
     s = "▁" + word
-    a = [0.0]
+    a, first = [0.0], 0  # of places first and on; no piece reaches back more than `longest`
     for j in range(1, len(s) + 1):
-        paths = [a[i] + p for i in range(max(0, j - longest), j) if (p := pieces.get(s[i:j])) is not None]
+        paths = [a[i - first] + p for i in range(max(0, j - longest), j) if (p := pieces.get(s[i:j])) is not None]
         if s[j - 1] not in pieces:
-            paths.append(a[j - 1] + sum(spelled[b] for b in s[j - 1].encode()))
+            paths.append(a[-1] + sum(spelled[b] for b in s[j - 1].encode()))
         top = max(paths)
         a.append(top + math.log(sum(math.exp(p - top) for p in paths)) if len(paths) > 1 else top)
+        if len(a) > 2 * longest + 64:
+            drop = len(a) - longest - 1
+            del a[:drop]
+            first += drop
     return a[-1]
 
 
@@ -144,7 +148,8 @@ class WordModel:
     def score(self, df: DataFrame) -> DataFrame:
         """One row for each row of df: the id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
         text_col, id_col = self.cols
-        hot = self.words.where(F.col("seen") >= self.hot_least).select("word", "known", "base", "score").toArrow()
+        is_hot = (F.col("seen") >= self.hot_least) & (F.octet_length("word") <= HOT_BYTES)
+        hot = self.words.where(is_hot).select("word", "known", "base", "score").toArrow()  # at most HOT_SHARE words of HOT_BYTES
         shared = df.sparkSession.sparkContext.broadcast(
             (hot.column("word").to_pylist(), *[hot.column(c).to_numpy().astype(np.float64) for c in ("known", "base", "score")])
         )
@@ -174,7 +179,7 @@ class WordModel:
         schema = schema.add("_rare", T.ArrayType(T.StructType().add("word", T.BinaryType()).add("n", T.LongType())))
         # the table fixes each row's number, so a task that runs again cannot change it
         rows = materialize(rows.mapInArrow(releasing(run), schema).withColumn("_row", F.monotonically_increasing_id()), "lm-rows")
-        rest = self.words.where(F.col("seen") < self.hot_least)
+        rest = self.words.where(~is_hot)
         rare = rows.select("_row", F.explode("_rare").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.n").alias("_times"))
         times = F.col("_times")
         more = rare.join(rest, "word").groupBy("_row").agg(

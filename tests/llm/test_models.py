@@ -352,6 +352,29 @@ def test_media_query(spark, sf_dir, docs):
 # -- language model ------------------------------------------------------------------------------------------
 
 
+def test_lattice_of_a_very_long_word_forgets_what_no_piece_reaches():
+    pieces, spelled = {"a": -1.0, "ab": -1.5, "b": -2.0, "▁a": -0.5}, [-3.0] * 256
+    word = "abéa" * 3000
+    s, every = "▁" + word, [0.0]
+    for j in range(1, len(s) + 1):  # the whole recursion, nothing dropped
+        paths = [every[i] + pieces[s[i:j]] for i in range(max(0, j - 2), j) if s[i:j] in pieces]
+        if s[j - 1] not in pieces:
+            paths.append(every[j - 1] - 3.0 * len(s[j - 1].encode()))
+        top = max(paths)
+        every.append(top + math.log(sum(math.exp(p - top) for p in paths)))
+    assert lm_scoring.lattice(word, pieces, spelled) == pytest.approx(every[-1], rel=1e-12)
+
+
+def test_long_words_are_joined_and_not_broadcast(spark):
+    long = "x" * 3000
+    docs = spark.createDataFrame([(i, f"{long} a b {long}" if i % 2 else "a b c", "mine") for i in range(40)], "doc_id long, text string, n_tokens string")
+    m = lm_scoring.WordModel(docs, queries.piece_model())
+    got = {r.doc_id: r.score for r in m.score(docs).collect()}
+    known = {bytes(r.word): r.score for r in m.words.collect()}
+    want = lambda i: sum(known[w] for w in lm_scoring.words_of(f"{long} a b {long}" if i % 2 else "a b c")) + m.end_score
+    assert all(got[i] == pytest.approx(want(i)) for i in range(40))
+
+
 def test_lattice_sums_all_segmentations():
     pieces = {"▁": -3.0, "▁a": -2.0, "a": -1.0, "b": -1.5, "ab": -0.7, "▁ab": -2.5}
     spelled = [-4.0] * 256
