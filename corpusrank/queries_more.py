@@ -8,6 +8,7 @@ from .functions import text as T
 from .functions.profiles import LATIN as P
 from .operators import chunk, dedup, filters, formatting, lexical, lines, metrics, qa, query, rank, refine, vectors
 from .plans import engine
+from .plans import score_cache
 from .plans.scratch import materialize, scratch_path
 from .queries import _BEST, _BM25, _CHAPTERS, _DENS, _DOT, _LINES, _NEAR, _STOP, _UNIQ, _clean, _count, _docs, _index, _packed, _pairs, _query, _strip, _t, _terms, _vectors, _windows
 from .sources import files
@@ -292,8 +293,8 @@ def rnk_rerank_cached(spark, d):
     rows, score = materialize(_turns(spark, d), "turns"), _overlap(lexical.tokenizer(P))
     none = spark.createDataFrame([], "cache_key string, chunk_id string, ce_score double")
     path = scratch_path(spark, "cache")
-    files.append_cache(rank.rerank_cached(rows.where("query_id % 2 = 0"), score, none)[1], path)
-    ranked, _, stats = rank.rerank_cached(rows, score, spark.read.parquet(path))
+    score_cache.append(rank.rerank_cached(rows.where("query_id % 2 = 0"), score, none)[1], path)
+    ranked, _, stats = rank.rerank_cached(rows, score, lambda keys: score_cache.lookup(keys, path))
     return ranked.join(stats).select("query_id", "chunk_id", F.round("ce_score", 6).alias("ce_score"), "ce_rank", "hits", "misses")
 
 

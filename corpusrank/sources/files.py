@@ -267,8 +267,3 @@ def load_vectors(spark: SparkSession, path: str, granularity: str | None = None)
         raise FileNotFoundError(path)
     rows = spark.read.parquet(path)
     return rows.where(F.col("granularity") == granularity) if granularity else rows
-
-
-def append_cache(rows: DataFrame, path: str) -> None:
-    """Reranker scores as a table that grows (cache_key, chunk_id, ce_score)."""
-    rows.write.mode("append").parquet(check_path(path))
