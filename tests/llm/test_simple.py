@@ -61,6 +61,29 @@ def test_urls_odd(spark):
     assert url_filter.judge_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
+@pytest.mark.parametrize("as_table", [False, True])
+def test_urls_beyond_the_trie(spark, monkeypatch, as_table):
+    rng = random.Random(2)
+    labels, segments = ["a", "b", "org", ""], ["", "x", "xy", "1"]
+    host, path = (lambda n: ".".join(rng.choices(labels, k=rng.randint(1, n)))), (lambda n: "/".join(["", *rng.choices(segments, k=rng.randint(0, n))]))
+    rules = [url_filter.Rule(rng.choice(["allow", "block"]), host(3), path(3)) for _ in range(80)]
+    rules += [url_filter.Rule("block", "b", "x"), url_filter.Rule("block", "b/x", ""), url_filter.Rule("block", "b/x", "/x"), url_filter.Rule("block", "org", "/x")]
+    urls = [(i, f"s://{host(4)}{path(4)}{rng.choice(['', '?q', '#f'])}", "mine", "mine") for i in range(600)]
+    urls += [(i, "s://a.org/x/y", "hot", "hot") for i in range(1500)] + [(1, None, None, None), (1, "none", None, None)]
+    df = spark.createDataFrame(urls, "page_id long, url string, address string, _key string")
+    rows = lambda of: sorted(map(repr, of.collect()))
+    given = spark.createDataFrame(rules, url_filter.RULE) if as_table else rules
+    want = rows(url_filter.judge_urls(df, given, default="block"))
+    monkeypatch.setattr(url_filter, "MAX_RULES", 3)
+    got = url_filter.judge_urls(df, given, default="block")
+    assert rows(got) == want and len(want) == len(urls)
+    assert rows(url_filter.judge_urls(df.limit(0), given)) == []
+    monkeypatch.setattr(url_filter, "MAX_RULES", -1)
+    assert {r.verdict for r in url_filter.judge_urls(df, spark.createDataFrame([], url_filter.RULE)).collect()} == {"allow"}
+    with pytest.raises(Exception, match="unknown verdict"):
+        url_filter.judge_urls(df, [url_filter.Rule("maybe", "a", "/")]).collect()
+
+
 def _codec(df, model):
     coded = piece_codec.decode(piece_codec.encode(df.select("doc_id", "text"), model), model)
     return coded.collect()
