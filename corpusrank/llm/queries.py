@@ -76,7 +76,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secret_scan.find_secrets(docs).select("doc_id", "secrets")
+    found = secret_scan.find_secrets(docs, false_rate=secret_scan.FALSE_DISCOVERY_RATE).select("doc_id", "secrets")
     base = F.filter("secrets", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
     return found.select(

@@ -14,7 +14,14 @@ control within each band of lengths (powers of two), over the spans of all rows,
 not random. Of a run that cut is reported whose remaining spans hold most characters (the first of equals).
 The control's p-values are counted in bins, so it needs one small aggregate whatever the number of spans, and
 rejects with the bin's upper edge (never more than exactly). It bounds the share of true random spans among the
-rejected ones, so it bounds what is lost; what is falsely reported is measured in the README.
+rejected ones, so it bounds what is lost.
+
+With false_rate a second control bounds what is falsely reported. Names (identifiers, paths, slugs) are a chain: steps
+between kinds of characters (NAME_STEPS), and of letters the pairs that the different words of the table have, so the
+table's own language counts. The likelihood of uniform draws from the inferred alphabet over that of a name is the span's
+odds: its mean over names of the chain is at most one, so rejecting where the odds are at least n / (false_rate * k), for the largest k
+such that k of the band's n spans have them, bounds the expected share of names among the reported spans, whatever
+depends on what. Odds are rounded down to whole powers of e.
 
 There is no shuffle of texts: the table is read once for the aggregate and once for the result. Work grows with
 a run's length: letters are counted by string functions, and only the serial test visits letters, in pieces.
@@ -26,10 +33,12 @@ characters of no pattern.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_columns, unused_names, text_of
+from .common import ascii_lower, drop_columns, text_of, unused_names
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -42,9 +51,16 @@ CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}(?:=++(?![A-Za-z0-9+/_-]))?"
 SEPARATORS = ("[_-]", "[+/]", "[+/_-]")
 FALSE_DISCOVERY_RATE = 0.05
 BINS_PER_DECADE, MAX_BIN = 20, 2000
+#: Of a name's next character: chance of a small letter, a capital, a digit and a separator after each of these.
+NAME_STEPS = ((0.84, 0.05, 0.04, 0.07), (0.45, 0.40, 0.05, 0.10), (0.15, 0.10, 0.60, 0.15), (0.57, 0.23, 0.15, 0.05))
+#: Share of letters that follow no pairs of words (abbreviations, other languages).
+NAME_UNKNOWN = 0.2
+WORD_MOST = 64
 SERIAL_PIECE = 4096
 _OPEN, _CLOSE, _MID = "\x01", "\x02", "\x03"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SEPARATORS = "-_+/"
+_CODES = _LOWER + _UPPER + _DIGITS + _SEPARATORS
 
 
 def _bind(f, **values: Column) -> Column:
@@ -177,8 +193,55 @@ def _p_value(token: Column, alphabet: Column) -> Column:
     return _bind(start, token=token, alphabet=alphabet)
 
 
-def _tested(span: Column) -> Column:
-    """An array of the span with band and bin of its p-value, or an empty one without an encoding."""
+def letter_pairs(df: DataFrame, text_col: str = "text") -> dict[str, int]:
+    """How often the different words (of 2 to 19 letters, in at most WORD_MOST characters with what surrounds them) of all texts hold each pair of neighbours."""
+    word = F.explode(F.split(ascii_lower(text_of(text_col)), r"[\x20\x09-\x0D]+"))
+    bare = df.select(word.alias("w")).where(F.length("w") <= WORD_MOST).select(F.regexp_replace("w", "^[^a-z]+|[^a-z]+$", "").alias("w"))
+    words = bare.where(F.col("w").rlike(f"^[a-z]{{2,{LEAST - 1}}}$")).distinct()
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("p"))
+    return {r.p: r["count"] for r in pairs.groupBy("p").count().collect()}  # at most 676 rows
+
+
+def name_costs(pairs: dict[str, int]) -> list[float]:
+    """-log of the chance of each character of _CODES after each other in a name, row by row."""
+    after = {a: sum(pairs.get(a + b, 0) for b in _LOWER) for a in _LOWER}
+    kinds = (_LOWER, _UPPER, _DIGITS, _SEPARATORS)
+    kind = {c: k for k, some in enumerate(kinds) for c in some}
+
+    def chance(a: str, b: str) -> float:
+        x, y = a.lower(), b.lower()
+        if kind[a] < 2 and kind[b] < 2:
+            within = (1 - NAME_UNKNOWN) * (pairs.get(x + y, 0) + 1) / (after[x] + 26) + NAME_UNKNOWN / 26
+        else:
+            within = 1 / len(kinds[kind[b]])
+        return NAME_STEPS[kind[a]][kind[b]] * within
+
+    return [-math.log(chance(a, b)) for a in _CODES for b in _CODES]
+
+
+def _odds(token: Column, alphabet: Column, costs: Column) -> Column:
+    """log of the likelihood of uniform draws over that of a name, given the first character, in whole numbers; capitals without small letters count as small."""
+
+    def sum_of(v: Column) -> Column:
+        pieces = F.regexp_extract_all(v["one"], F.lit(f".{{1,{SERIAL_PIECE}}}"), F.lit(0))
+        first = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last"))
+
+        def step(acc: Column, code: Column) -> Column:
+            cost = F.when(acc["last"] < 0, 0.0).otherwise(F.get(costs, acc["last"] * len(_CODES) + code))
+            return F.struct((acc["sum"] + cost).alias("sum"), code.alias("last"))
+
+        def add(acc: Column, piece: Column) -> Column:
+            return F.aggregate(F.transform(F.split(piece, ""), lambda c: F.instr(F.lit(_CODES), c) - 1), acc, step)
+
+        return F.aggregate(pieces, first, add)["sum"] - (F.length(v["one"]) - 1) * F.log(F.length(v["alphabet"]).cast("double"))
+
+    one = F.when(token.rlike("[a-z]"), token).otherwise(F.lower(token))
+    found = _bind(sum_of, one=one, alphabet=alphabet)
+    return F.greatest(F.lit(-1), F.least(F.floor(found), F.lit(MAX_BIN))).cast("int")
+
+
+def _tested(span: Column, costs: Column | None) -> Column:
+    """An array of the span with band and bin of its p-value and its odds, or an empty one without an encoding."""
 
     def token(v: Column) -> Column:
         return F.when(v["bare"].rlike("^([0-9a-f]{20,}|[0-9A-F]{20,})$"), v["bare"]).otherwise(v["plain"])
@@ -188,6 +251,7 @@ def _tested(span: Column) -> Column:
         return F.struct(
             span["start"].alias("start"), F.lit(3).alias("kind"), span["end"].alias("end"), span["value"].alias("value"),
             F.floor(F.log2(F.length(v["token"]).cast("double"))).cast("int").alias("band"), p.alias("bin"),
+            (F.lit(0) if costs is None else _odds(v["token"], v["alphabet"], costs)).alias("odds"),
         )
 
     plain = F.regexp_replace(span["value"], "=+$", "")
@@ -207,14 +271,14 @@ def _pieces(run: Column, separators: str) -> Column:
     return _bind(of, parts=F.split(run["value"], separators))
 
 
-def _cuts(run: Column) -> Column:
+def _cuts(run: Column, costs: Column | None) -> Column:
     """array of a run's cuts: each an array of tested spans."""
-    test = lambda spans: F.flatten(F.transform(spans, _tested))
+    test = lambda spans: F.flatten(F.transform(spans, lambda x: _tested(x, costs)))
     cuts = F.flatten(F.array(F.array(F.array(run)), F.when(run["value"].rlike("[+/_-]"), F.array(*[_pieces(run, s) for s in SEPARATORS])).otherwise(F.array())))
     return F.transform(cuts, test)
 
 
-def _found(df: DataFrame, text_col: str, base: str, runs: str) -> DataFrame:
+def _found(df: DataFrame, text_col: str, base: str, runs: str, costs: Column | None = None) -> DataFrame:
     """df with the base spans and, for each run outside them, its cuts. Each step is a column of its own, so it is computed once."""
     text, a, b, c, left = unused_names(df, "text", "assign", "access", "hex", "left")
     df = df.withColumn(text, F.translate(text_of(text_col), _OPEN + _CLOSE + _MID, "�" * 3))
@@ -225,8 +289,8 @@ def _found(df: DataFrame, text_col: str, base: str, runs: str) -> DataFrame:
         less = _covered(_marked(less, pattern), kind)
     df = df.withColumn(left, _marked(F.when(took, less).otherwise(F.col(text)), CANDIDATE))
     df = df.withColumn(base, F.sort_array(F.concat(_spans(F.col(a), 0), _spans(F.col(b), 1), _spans(F.col(c), 2))))
-    none = F.array().cast("array<array<array<struct<start:int,kind:int,end:int,value:string,band:int,bin:int>>>>")
-    df = df.withColumn(runs, F.when(F.size(left) > 1, F.transform(_spans(F.col(left), 3), _cuts)).otherwise(none))
+    none = F.array().cast("array<array<array<struct<start:int,kind:int,end:int,value:string,band:int,bin:int,odds:int>>>>")
+    df = df.withColumn(runs, F.when(F.size(left) > 1, F.transform(_spans(F.col(left), 3), lambda run: _cuts(run, costs))).otherwise(none))
     return df.drop(text, a, b, c, left)
 
 
@@ -235,14 +299,31 @@ def _distinct(spans: Column) -> Column:
     return _bind(lambda v: F.filter(v["s"], lambda x, i: (i == 0) | (x != F.get(v["s"], i - 1))), s=F.sort_array(spans))
 
 
-def rejection_bins(df: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERY_RATE) -> dict[int, int]:
-    """For each band of lengths the least bin from which spans are rejected as not random."""
-    found = _found(df.select(F.col(text_col).alias("t")), "t", "base", "runs")
-    spans = found.select(F.explode(_distinct(F.flatten(F.flatten("runs")))).alias("r")).select("r.band", "r.bin")
+def _counts(df: DataFrame, text_col: str, what: str, costs: Column | None = None) -> dict[int, dict[int, int]]:
+    """How many spans of each band have each bin, or odds."""
+    found = _found(df.select(F.col(text_col).alias("t")), "t", "base", "runs", costs)
+    spans = found.select(F.explode(_distinct(F.flatten(F.flatten("runs")))).alias("r")).select("r.band", f"r.{what}")
     counts: dict[int, dict[int, int]] = {}
-    for band, bin_, n in spans.groupBy("band", "bin").count().collect():  # at most 31 x (MAX_BIN + 1) rows
-        counts.setdefault(band, {})[bin_] = n
+    for band, at, n in spans.groupBy("band", what).count().collect():  # at most 31 x (MAX_BIN + 2) rows
+        counts.setdefault(band, {})[at] = n
+    return counts
+
+
+def least_odds(counts: dict[int, dict[int, int]], false_rate: float) -> dict[int, int]:
+    """For each band the least odds from which spans are held for random; more than MAX_BIN if there are none."""
     out = {}
+    for band, by_odds in counts.items():
+        total, above, out[band] = sum(by_odds.values()), 0, MAX_BIN + 1
+        for b in sorted(by_odds, reverse=True):
+            above += by_odds[b]
+            if b >= math.log(total / (false_rate * above)):
+                out[band] = b
+    return out
+
+
+def rejection_bins(df: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERY_RATE) -> dict[int, int]:
+    """For each band of lengths the least bin from which spans are rejected as not random."""
+    counts, out = _counts(df, text_col, "bin"), {}
     for band, by_bin in counts.items():
         total, above, out[band] = sum(by_bin.values()), 0, MAX_BIN + 1
         for b in sorted(by_bin, reverse=True):
@@ -252,27 +333,38 @@ def rejection_bins(df: DataFrame, text_col: str = "text", rate: float = FALSE_DI
     return out
 
 
-def _best(cuts: Column, limit: Column) -> Column:
+def _best(cuts: Column, limit: Column, odds: Column | None) -> Column:
     """The cut whose spans that are not rejected hold most characters, and these spans."""
 
     def rated(stay: Column, place: Column) -> Column:
         held = F.aggregate(stay, F.lit(0), lambda a, s: a + s["end"] - s["start"])
         return F.struct(held.alias("held"), (-place).alias("place"), F.transform(stay, lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"])).alias("spans"))
 
-    stays = F.transform(cuts, lambda cut: F.filter(cut, lambda s: s["bin"] < limit[s["band"]]))
+    def stays_random(s: Column) -> Column:
+        return s["bin"] < limit[s["band"]] if odds is None else (s["bin"] < limit[s["band"]]) & (s["odds"] >= odds[s["band"]])
+
+    stays = F.transform(cuts, lambda cut: F.filter(cut, stays_random))
     return F.array_max(F.transform(stays, rated))["spans"]
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
-    """df with secrets: array<struct<start int, kind int, end int, value string>>, sorted; kind counts in KINDS."""
+def find_secrets(df: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERY_RATE, false_rate: float | None = None) -> DataFrame:
+    """df with secrets: array<struct<start int, kind int, end int, value string>>, sorted; kind counts in KINDS.
+
+    rate bounds the share of random spans among those rejected, false_rate that of names among those reported (None: no bound).
+    """
     limits = rejection_bins(df, text_col, rate)
     plain = drop_columns(df, "secrets")
     if text_col.lower() == "secrets":
         raise ValueError("the text column cannot be named secrets")
+    by_band = lambda of: F.create_map(*[F.lit(x) for kv in (of or {-1: 0}).items() for x in kv])
+    costs = odds = None
+    if false_rate is not None and limits:  # without a tested span there is nothing to weigh
+        costs = F.expr(f"array({', '.join(f'{c!r}D' for c in name_costs(letter_pairs(df, text_col)))})")
+        odds = by_band(least_odds(_counts(df, text_col, "odds", costs), false_rate))
     base, runs = unused_names(plain, "base", "runs")
-    found = _found(plain, text_col, base, runs)
-    limit = F.create_map(*[F.lit(x) for kv in (limits or {-1: 0}).items() for x in kv])
-    added = F.flatten(F.transform(runs, lambda cuts: _best(cuts, limit)))
+    found = _found(plain, text_col, base, runs, costs)
+    limit = by_band(limits)
+    added = F.flatten(F.transform(runs, lambda cuts: _best(cuts, limit, odds)))
     return found.withColumn("secrets", F.when(F.size(runs) > 0, F.sort_array(F.concat(base, added))).otherwise(F.col(base))).drop(base, runs)
 
 
