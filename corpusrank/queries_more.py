@@ -290,12 +290,15 @@ def rnk_rerank(spark, d):
 @_query(f"WITH {_TURNS} SELECT query_id, chunk_id, round(ce_score, 6) AS ce_score, r::INT AS ce_rank, (SELECT count(*) FROM f WHERE conv_id % 2 = 0) AS hits, (SELECT count(*) FROM f WHERE conv_id % 2 = 1) AS misses FROM rk WHERE r <= 15")
 def rnk_rerank_cached(spark, d):
     """Scores of even conversations come from a cache that an earlier pass made."""
-    rows, score = materialize(_turns(spark, d), "turns"), _overlap(lexical.tokenizer(P))
+    # a turn's number alone would give conversations that begin alike one key
+    rows = _turns(spark, d).withColumn("chunk_id", F.concat_ws("-", "query_id", "chunk_id"))
+    rows, score = materialize(rows, "turns"), _overlap(lexical.tokenizer(P))
     none = spark.createDataFrame([], "cache_key string, chunk_id string, ce_score double")
     path = scratch_path(spark, "cache")
     score_cache.append(rank.rerank_cached(rows.where("query_id % 2 = 0"), score, none)[1], path)
     ranked, _, stats = rank.rerank_cached(rows, score, lambda keys: score_cache.lookup(keys, path))
-    return ranked.join(stats).select("query_id", "chunk_id", F.round("ce_score", 6).alias("ce_score"), "ce_rank", "hits", "misses")
+    turn = F.element_at(F.split("chunk_id", "-"), -1).alias("chunk_id")
+    return ranked.join(stats).select("query_id", turn, F.round("ce_score", 6).alias("ce_score"), "ce_rank", "hits", "misses")
 
 
 @_query(
