@@ -336,7 +336,7 @@ def vec_uniqueness(spark, d):
 
 @_query(f"WITH {_DENS} SELECT vec_id, round(density, 6) AS density FROM de")
 def vec_density(spark, d):
-    return vectors.density(_vectors(spark, d)).select("vec_id", F.round("density", 6).alias("density"))
+    return vectors.density(_vectors(spark, d)).select("vec_id", vectors.rounded(F.col("density")).alias("density"))
 
 
 @_query(
@@ -355,7 +355,7 @@ def vec_similar_pairs(spark, d):
 
 @_query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings")
 def vec_normalize(spark, d):
-    return _vectors(spark, d).select("vec_id", F.transform(vectors.normalized(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return _vectors(spark, d).select("vec_id", F.transform(vectors.normalized(F.col("embedding")), lambda x: vectors.rounded(x)).alias("unit"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in P.stop_words)
