@@ -90,3 +90,18 @@ def test_empty_index(spark, made):
     docs, queries = made
     index = lexical.build_index(docs.limit(0), cut(F.col("text")))
     assert lexical.search(index, queries, cut(F.col("query")), ["query_id"]).count() == 0
+
+
+def test_documents_are_counted_in_place(spark, made):
+    """A document's terms come in one row, without a shuffle, and an index of stored postings alone finds the same."""
+    rows = [(0, ["b", "a", "b"]), (1, []), (2, None), (3, ["知识", "a", "知识", "知识"])]
+    counted = spark.createDataFrame(rows, "doc_id long, t array<string>").coalesce(1).select("doc_id", lexical._counted(F.col("t")).alias("c"))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: (r.c.dl, dict(zip(r.c.terms, r.c.tfs, strict=True))) for r in counted.collect()}
+    assert got == {0: (3, {"a": 1, "b": 2}), 1: (0, {}), 2: (0, {}), 3: (4, {"知识": 3, "a": 1})}
+    docs, queries = made
+    index = lexical.build_index(docs, cut(F.col("text")))
+    again = lexical.index_of(index.postings, index.documents)
+    assert index.by_document is not None and again.by_document is None
+    best = lambda i: {(r.query_id, r.doc_id, round(r.score, 9)) for r in lexical.bm25_top(i, queries, cut(F.col("query")), ["query_id"], 10)[0].collect()}
+    assert best(index) == best(again)
