@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +18,76 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def strip_value(c: Column) -> Column:
+    """strip of a column or variable (no expression: it is read three times); only what has white space at an end is searched for it."""
+    return F.when(F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1))).rlike(r"(?U)\s"), strip(c)).otherwise(c)
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between its outermost bars."""
+    out, depth, in_class, i, first = [], 0, 0, 0, 0
+    while i < len(pattern):
+        x = pattern[i]
+        if x == "\\":
+            i += 1
+        elif x == "[":
+            in_class += 1
+        elif x == "]":
+            in_class -= 1
+        elif not in_class and x in "()":
+            depth += 1 if x == "(" else -1
+        elif x == "|" and not depth and not in_class:
+            out.append(pattern[first:i])
+            first = i + 1
+        i += 1
+    return [*out, pattern[first:]]
+
+
+@lru_cache(maxsize=256)
+def quick(pattern: str) -> str:
+    """A pattern that is found in the same texts, for `rlike`.
+
+    Alternatives that begin with ^ are tried at the start only, those that begin with a known character only where one of these stands.
+    """
+    flags = re.match(r"(\(\?[a-z]+\))?", pattern)[0]
+    parts = _alternatives(pattern[len(flags) :])
+    if len(parts) < 3 or any(re.search(r"\(\?[a-zA-Z]+\)", p) for p in parts):
+        return pattern
+    anchored, known, other, firsts = [], [], [], {}
+    for p in parts:
+        m = re.fullmatch(r"\(\?:(.*)\)(?:\(\?!.*\))?", p, re.S)
+        body = m[1] if m and _closes_last(p) else ""
+        if body and len(_alternatives(body)) == 1 and body[0] == "^":
+            anchored.append(p)
+        elif body and len(_alternatives(body)) == 1 and (m := re.match(r"(\w|\\\[)(?![?*{])", body)):
+            known.append(p)
+            firsts[m[1]] = 0
+        else:
+            other.append(p)
+    out = [f"^(?:{'|'.join(anchored)})"] if anchored else []
+    out += [f"(?=[{''.join(firsts)}])(?:{'|'.join(known)})"] if known else []
+    return flags + "|".join([*out, *other])
+
+
+def _closes_last(p: str) -> bool:
+    """Whether the group that opens p is closed at its end, or before a last lookahead."""
+    depth, in_class, i = 0, 0, 0
+    while i < len(p):
+        x = p[i]
+        if x == "\\":
+            i += 1
+        elif x == "[":
+            in_class += 1
+        elif x == "]":
+            in_class -= 1
+        elif not in_class and x in "()":
+            depth += 1 if x == "(" else -1
+            if not depth:
+                return p[i + 1 :] == "" or p[i + 1 :].startswith("(?!")
+        i += 1
+    return False
+
+
 def to_simplified(c: Column, singles: dict[str, str], phrases: dict[str, str] | None = None) -> Column:
     """Left-to-right longest match over a table of phrases and single characters; what is replaced is not looked at again."""
     words = singles | (phrases or {})
@@ -66,11 +139,11 @@ def term_density(c: Column, terms: tuple[str, ...]) -> Column:
 
 def is_heading(c: Column, profile: Profile) -> Column:
     s = strip(c)
-    return (F.length(s) <= 60) & s.rlike(f"{profile.chapter}|{profile.section}")
+    return (F.length(s) <= 60) & s.rlike(quick(f"{profile.chapter}|{profile.section}"))
 
 
 def is_noise_line(c: Column, profile: Profile) -> Column:
-    hit = c.rlike(profile.noise)
+    hit = c.rlike(quick(profile.noise))
     return hit | F.rtrim(c).isin(*profile.headers) if profile.headers else hit
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .functions import text as T
 from .functions.profiles import LATIN, ZH
@@ -31,12 +36,20 @@ def _array(xs) -> Column:
     return F.array(*map(F.lit, xs))
 
 
-def derived(c: Column) -> Column:
-    """A text with a phrase for each of its words."""
-    words = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    at = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % len(PHRASES)).cast("int")
-    bound = F.array(F.struct(words.alias("w"), _array(PHRASES).alias("p")))
-    return F.transform(bound, lambda s: F.array_join(F.transform(s["w"], lambda w: s["p"][at(w)]), ""))[0]
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@F.arrow_udf(StringType())
+def derived(c: pa.Array) -> pa.Array:
+    """A text with a phrase for each of its words; phrases of the words of a batch are looked up once."""
+    known: dict[str, str] = {}
+
+    def phrase(w: str) -> str:
+        if (p := known.get(w)) is None:
+            p = known[w] = PHRASES[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % len(PHRASES)]
+        return p
+
+    return pa.array(["".join(map(phrase, _WORD.findall(t or ""))) for t in c.to_pylist()], pa.string())
 
 
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
@@ -51,7 +64,8 @@ _ZH = f"zh AS MATERIALIZED (SELECT doc_id, {_derived_sql('text')} AS text FROM d
 
 
 def _zh(spark, d):
-    return _t(spark, d, "documents").select("doc_id", derived(F.col("text")).alias("text"))
+    # one shuffle of the raw texts: however few row groups the table has, every core derives and reads some
+    return _t(spark, d, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", derived(F.col("text")).alias("text"))
 
 
 @_query(f"WITH {_ZH} SELECT doc_id, md5(text) AS digest, length(text)::BIGINT AS n_chars FROM zh")
