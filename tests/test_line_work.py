@@ -3,13 +3,14 @@
 import hashlib
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusrank import queries_zh
 from corpusrank.functions import text as T
 from corpusrank.functions.profiles import LATIN, ZH
-from corpusrank.operators import lines, refine
+from corpusrank.operators import dedup, lines, refine
 
 LINES = ["书 号：ISBN 1", "出版社=甲", "table  of contents", "第三章 组织", "1.2 激励", "一、目标", "主要包括", "分为：", "由，计划与控制组成", "三大。", "三大甲", "是指 甲", "是指甲", "因此，", "版权所有，翻印必究",
          "", " ", "甲出版社=乙", "微信号：1", "甲微信号：1", "责任编辑：甲", "(1) 甲", "ISBN", "[General Information]", "本质是", "定价：12元", "Chapter 2", "chapter", "HTTP://甲", "加小编微信或QQ："]
@@ -55,7 +56,17 @@ def test_content_cleans_only_what_is_cut(spark):
 
 
 def test_derived_texts_by_word(spark):
-    df = spark.createDataFrame([(1, "a bb\ta"), (2, None), (3, ""), (4, " x")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "a bb\ta"), (2, None), (3, ""), (4, "\xa0x")], "doc_id long, text string")
     out = [r.t for r in df.orderBy("doc_id").select(queries_zh.derived(F.col("text")).alias("t")).collect()]
     at = lambda w: queries_zh.PHRASES[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % len(queries_zh.PHRASES)]
-    assert out == [at("a") + at("bb") + at("a"), "", "", at(" x")] and re.match(r"\[", queries_zh._list(queries_zh.PHRASES))
+    assert out == [at("a") + at("bb") + at("a"), "", "", at("\xa0x")]  # a no-break space belongs to the word
+
+
+def test_sets_are_compared_in_slices(spark, monkeypatch):
+    rows = [(i, "abcdefghij"[i % 5 :] * 3 + str(i % 7) * (i % 4)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, dedup.similar_pairs(df).collect()))
+    monkeypatch.setattr(dedup, "VISIT_GRAMS", 30)
+    monkeypatch.setattr(dedup, "SLICE_GRAMS", 40)
+    assert sorted(map(tuple, dedup.similar_pairs(df).collect())) == want and want
+    assert [(s.start, s.stop) for s in dedup._slices(np.array([30, 20, 50, 5, 5]))] == [(0, 1), (1, 2), (2, 3), (3, 5)]
