@@ -1,0 +1,59 @@
+"""The greedy clean-up of n-gram sets in rounds of tiles."""
+
+import random
+
+import numpy as np
+import pytest
+
+from corpusrank.operators import dedup, kept
+from corpusrank.plans import scratch
+
+
+def _texts(count, seed=3):
+    """Texts of two alphabets, a third of them near copies or parts of earlier ones."""
+    rng, out = random.Random(seed), []
+    for i in range(count):
+        if i > 4 and rng.random() < 0.35:
+            t = rng.choice(out)
+            out.append(t[: rng.randint(len(t) // 2, len(t))] + "".join(rng.choices("xyz", k=rng.randint(0, 12))))
+        else:
+            out.append("".join(rng.choices(rng.choice(("abcdefgh", "стувфхцч管理")), k=rng.randint(3, 90))))
+    return out
+
+
+def _greedy(texts, threshold):
+    grams, out = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts], []
+    for i, a in enumerate(grams):
+        like = False
+        for j in out:
+            b, both = grams[j], len(a & grams[j])
+            s = (0.85 if both / min(len(a), len(b)) > 0.8 else both / len(a | b)) if a and b else 0
+            like |= s > threshold
+        if not like:
+            out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("columns", [4, 64, 8192])
+def test_tiles_count_every_gram(columns, monkeypatch):
+    """Grams beside the columns are counted too, so any choice of columns gives the same pairs."""
+    sets = [dedup.grams_of(t) for t in _texts(60)]
+    grams = np.unique(np.concatenate(sets))[::3][:columns]
+    coded = [kept._coded(g, grams, np.arange(len(grams), dtype=np.uint16)) for g in sets]
+    tile = kept.Coded.of([len(g) for g in sets], [c.tobytes() for c, _ in coded], [o.tobytes() for _, o in coded])
+    for threshold in (0.3, 0.7, 0.82):
+        both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        n = tile.sizes
+        assert (kept.near(tile, tile, threshold) == (dedup._similarity(both, n[:, None], n[None, :]) > threshold)).all()
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7])
+def test_rounds_are_few_and_equal_the_loop(spark, monkeypatch, threshold):
+    texts = _texts(200)
+    want, made, path = _greedy(texts, threshold), [], scratch.scratch_path
+    monkeypatch.setattr(dedup, "BATCH_ROWS", 8)
+    monkeypatch.setattr(kept, "TILE", 16)
+    monkeypatch.setattr(scratch, "scratch_path", lambda s, name: made.append(name) or path(s, name))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in dedup.content_dedup(rows, threshold).orderBy("doc_id").collect()] == want
+    assert made.count("ngram-open") <= 3  # 8 sets a round would take twenty passes over the open sets
