@@ -69,7 +69,10 @@ class Index:
 
 
 def term_counts(df: DataFrame, tokens: Column, key: str) -> DataFrame:
-    return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf): counted for each row where it is read; rows of one key are added up."""
+    posting = F.explode(F.arrays_zip("_c.terms", "_c.tfs")).alias("_p")
+    rows = df.select(key, _counted(tokens).alias("_c")).select(key, posting)
+    return rows.groupBy(key, F.col("_p.terms").alias("term")).agg(F.sum("_p.tfs").alias("tf"))
 
 
 def build_index(df: DataFrame, tokens: Column, key: str = "doc_id") -> Index:

@@ -2,7 +2,7 @@
 
 Words are character sequences that occur often and whose parts go together: a sequence of n characters is a word if it
 occurs LEAST times or more and COHESION times as often as chance would put its two parts side by side, wherever it is
-cut. Its weight is its count; single characters are words too. Counts come from one grouped pass over the corpus.
+cut. Its weight is its count; single characters are words too. Counts come from one pass over the corpus, summed by task.
 
 A run of Han characters is a graph: an edge from each place to the end of each word that begins there. Costs are
 -1000 ln p, rounded, so that every engine adds the same integers; dynamic programming from the end finds the path of least
@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +24,46 @@ from ..plans.scratch import materialize
 
 LONGEST, LEAST, COHESION, MOST_WORDS = 4, 5, 8.0, 200_000
 _HAN = r"\p{IsHan}+"
-_RUNS = r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"
+_MARK = "\x00"  # before a run of Han characters
+_RUNS = _MARK + r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"
+RUNS = 100_000
 
 
 def grams(df: DataFrame, text_col: str = "text", longest: int = LONGEST) -> DataFrame:
-    """(gram, n): how often each sequence of 1 to `longest` Han characters occurs, counted by task before the shuffle."""
-    runs = df.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(_HAN), F.lit(0))).alias("r")).groupBy("r").agg(F.count("*").alias("c"))
-    places = F.sequence(F.lit(1), F.length("r"))
-    cut = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("r") - i + 1)), lambda m: F.substring("r", i, m))
-    return runs.select(F.explode(F.flatten(F.transform(places, cut))).alias("gram"), "c").groupBy("gram").agg(F.sum("c").alias("n"))
+    """(gram, n): how often each sequence of 1 to `longest` Han characters occurs; different runs of a batch are cut once, in its task."""
+
+    def run(batches):
+        for b in batches:
+            found = b.column(0).flatten().value_counts()
+            if not len(found):
+                continue
+            runs, times = found.field(0).to_pylist(), found.field(1).to_numpy()
+            for k in range(0, len(runs), RUNS):
+                for words, n in _counts(runs[k : k + RUNS], times[k : k + RUNS], longest):
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
+
+    runs = df.select(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(_HAN), F.lit(0)).alias("r"))
+    return runs.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _counts(runs: list[str], times: np.ndarray, longest: int):
+    """(sequences, how often they occur) of each length, in runs that occur so many times."""
+    codes = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
+    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters to the end of the run
+    weight = np.repeat(times, sizes)
+    names, one = np.unique(codes, return_inverse=True)
+    ids = one  # of the sequence that begins here, one character shorter than is counted next
+    for m in range(1, longest + 1):
+        at = np.flatnonzero(left >= m)
+        if not len(at):
+            return
+        key = ids[at] * len(names) + one[at + m - 1] if m > 1 else ids[at]
+        _, first, name = np.unique(key, return_index=True, return_inverse=True)
+        ids = np.zeros(len(codes), np.int64)
+        ids[at] = name
+        places = at[first]
+        yield np.ascontiguousarray(codes[places[:, None] + np.arange(m)]).view(f"<U{m}").ravel().tolist(), np.bincount(name, weight[at]).astype(np.int64)
 
 
 def learn(df: DataFrame, text_col: str = "text", known: tuple[str, ...] = (), longest: int = LONGEST, least: int = LEAST, cohesion: float = COHESION, most: int = MOST_WORDS) -> DataFrame:
@@ -74,28 +106,59 @@ def best_path(run: str, costs: dict[str, int], longest: int) -> list[str]:
     return out
 
 
+def inner_pairs(costs: dict[str, int]) -> set[str]:
+    """Pairs of characters that stand side by side inside a word."""
+    return {w[i : i + 2] for w in costs for i in range(len(w) - 1)}
+
+
+def pieces(run: str, inner: set[str]) -> list[str]:
+    """A run cut where no word can cross; the best path of a run is those of its pieces, one after the other."""
+    ends = [i for i in range(1, len(run)) if run[i - 1 : i + 1] not in inner]
+    return [run[a:b] for a, b in zip([0, *ends], [*ends, len(run)], strict=True)]
+
+
 def segmenter(words: DataFrame, stop_words: tuple[str, ...] = (), least: int = 1):
     """A tokenizer (a function of columns): Han runs cut into words, lower-case runs of other letters and digits whole."""
     costs = {r.word: r.cost for r in words.toLocalIterator()}  # at most MOST_WORDS words and the characters
     longest = max(map(len, costs), default=1)
-    shared = words.sparkSession.sparkContext.broadcast(costs)
-
-    @F.pandas_udf("array<string>")
-    def cut(runs: pd.Series) -> pd.Series:
-        known: dict[str, list[str]] = {}
-
-        def path(r: str) -> list[str]:
-            if r[0] != "h":
-                return [r[1:]]
-            if r not in known:
-                known[r] = best_path(r[1:], shared.value, longest)
-            return known[r]
-
-        return runs.map(lambda rs: [w for r in (rs if rs is not None else ()) for w in path(r)])
+    shared = words.sparkSession.sparkContext.broadcast((costs, inner_pairs(costs)))
+
+    known: dict[str, list[str]] = {}  # of a task
+    cut_pieces: dict[str, list[str]] = {}
+
+    def path(r: str) -> list[str]:
+        if r[0] != _MARK:
+            return [r] if kept(r) else []
+        if r not in known:
+            if len(known) >= RUNS:
+                known.clear()
+            known[r] = [w for x in pieces(r[1:], shared.value[1]) for w in piece(x)]
+        return known[r]
+
+    def piece(x: str) -> list[str]:
+        if x not in cut_pieces:
+            if len(cut_pieces) >= RUNS:
+                cut_pieces.clear()
+            cut_pieces[x] = [w for w in best_path(x, shared.value[0], longest) if kept(w)]
+        return cut_pieces[x]
+
+    def kept(w: str) -> bool:
+        return len(w) >= least and w not in stop_words
+
+    @F.arrow_udf("array<string>")
+    def cut(lists: pa.Array) -> pa.Array:
+        full = lists.fill_null([])
+        runs = full.flatten().dictionary_encode()  # different runs of a batch are cut once
+        paths = [path(r) for r in runs.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, paths), np.int64, len(paths))
+        starts, at = np.cumsum(sizes) - sizes, runs.indices.to_numpy()
+        after = np.concatenate([[0], np.cumsum(sizes[at])])
+        places = np.arange(after[-1]) + np.repeat(starts[at] - after[:-1], sizes[at])
+        offsets = full.offsets.to_numpy()
+        return pa.ListArray.from_arrays(pa.array(after[offsets - offsets[0]], pa.int32()), pa.array([w for p in paths for w in p], pa.string()).take(pa.array(places)))
 
     def tokens(c: Column) -> Column:
-        runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(_RUNS), F.lit(0))
-        marked = F.transform(runs, lambda r: F.concat(F.when(r.rlike(f"^{_HAN}"), "h").otherwise("o"), r))
-        return F.filter(cut(marked), lambda w: (F.length(w) >= least) & (~w.isin(*stop_words) if stop_words else F.lit(True)))
+        marked = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"({_HAN})", f"{_MARK}$1")
+        return cut(F.regexp_extract_all(marked, F.lit(_RUNS), F.lit(0)))
 
     return tokens

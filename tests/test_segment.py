@@ -51,3 +51,26 @@ def test_learned_words_equal_counts(spark):
     got = {r.doc_id: r.t for r in rows.select("doc_id", cut(F.col("text")).alias("t")).collect()}
     assert got == {0: [w for w in ["组织文化", "与", "员工", "okr", "激励理论"] if w not in ZH.stop_words], 1: [], 2: ["灰度", "管理", "龘"], 3: []}
     assert segment.learn(df.limit(0)).count() == 1
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_paths_of_pieces_are_the_path_of_the_run(seed):
+    rng = random.Random(seed)
+    words = {"".join(rng.choices("甲乙丙丁戊己", k=rng.randint(1, 4))): rng.randint(0, 20) for _ in range(14)} | {"": 30}
+    inner = segment.inner_pairs(words)
+    for _ in range(60):
+        run = "".join(rng.choices("甲乙丙丁戊己庚", k=rng.randint(1, 30)))
+        assert [w for p in segment.pieces(run, inner) for w in segment.best_path(p, words, 4)] == segment.best_path(run, words, 4)
+
+
+def test_sequences_are_counted_in_tasks(spark):
+    """No row for each place of a text; one shuffle, of sums. Characters beyond the first plane and repeated rows count too."""
+    rows = [(1, "管理𠀀管理ab管"), (1, "管理"), (2, None), (3, "x\x00管\x00管x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = segment.grams(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {r.gram: r.n for r in found.collect() if len(r.gram) != 2} == {"管": 6, "理": 3, "𠀀": 1, "管理𠀀": 1, "理𠀀管": 1, "𠀀管理": 1, "管理𠀀管": 1, "理𠀀管理": 1}
+    cut = lexical.tokenizer(ZH, words=spark.createDataFrame([("管理", 1), ("管", 3), ("", 9)], "word string, cost long"))
+    got = {(r.doc_id, r.term): r.tf for r in lexical.term_counts(df, cut(F.col("text")), "doc_id").collect()}
+    assert got == {(1, "管理"): 3, (1, "𠀀"): 1, (1, "ab"): 1, (1, "管"): 1, (3, "x"): 2, (3, "管"): 2}
