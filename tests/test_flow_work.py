@@ -1,8 +1,11 @@
 """What the flow from documents to results does once, and what it leaves out."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from corpusrank.functions.profiles import LATIN
 from corpusrank.operators import vectors
+from corpusrank.plans import engine
 
 
 def test_a_search_sorts_only_what_reaches_the_best_so_far(monkeypatch):
@@ -16,3 +19,11 @@ def test_a_search_sorts_only_what_reaches_the_best_so_far(monkeypatch):
     for i, s in enumerate(x @ q.T[:, i] for i in range(7)):
         want = sorted(zip((-s).round(9), ids))[:10]
         assert sorted(zip((-scores[row == i]).round(9), found[row == i])) == want
+
+
+def test_texts_are_cut_into_tokens_once_for_index_and_vectors(spark):
+    docs = spark.createDataFrame([(i, f"The planning of step{i} sets goals for the team and names what leads to them. " * 12, "book") for i in range(5)], "doc_id long, text string, source string")
+    kb = engine.build(docs, LATIN)
+    assert kb.index.by_document._scratch_path in kb.vectors.inputFiles()[0]
+    want = {r.chunk_id: r.e for r in kb.chunks.select("chunk_id", engine.default_embed(LATIN)(F.col("content")).alias("e")).collect()}
+    assert {r.chunk_id: r.embedding for r in kb.vectors.collect()} == want and want
