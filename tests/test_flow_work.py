@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusrank.functions.profiles import LATIN
+from corpusrank.functions import text as T
+from corpusrank.functions.profiles import LATIN, ZH
 from corpusrank.operators import vectors
 from corpusrank.plans import engine
 
@@ -27,3 +28,14 @@ def test_texts_are_cut_into_tokens_once_for_index_and_vectors(spark):
     assert kb.index.by_document._scratch_path in kb.vectors.inputFiles()[0]
     want = {r.chunk_id: r.e for r in kb.chunks.select("chunk_id", engine.default_embed(LATIN)(F.col("content")).alias("e")).collect()}
     assert {r.chunk_id: r.embedding for r in kb.vectors.collect()} == want and want
+
+
+def test_cleaning_and_counts_equal_the_patterns(spark):
+    odd = [f"{chr(i)}a{chr(i)}  b{chr(i)}" for i in [*range(0x300), *range(0x1680, 0x1690), *range(0x180B, 0x1810), *range(0x2000, 0x2070), *range(0x3000, 0x3010), 0xFEFF, 0x4E00, 0x20000]]
+    df = spark.createDataFrame([(x,) for x in [*odd, "", "  ", " \n\n\n\n a   b\r\n\t c \x85 \n", None]], "c string")
+    c, ends = F.col("c"), r"(?U)^\s+|\s+$"
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\t]", ""), r"\n{3,}", "\n\n"), " +", " ")
+    same = [T.strip(c).eqNullSafe(F.regexp_replace(c, ends, "")), T.clean_text(c).eqNullSafe(F.regexp_replace(clean, ends, ""))]
+    same += [T.characters_of(c, p).eqNullSafe(F.regexp_count(c, F.lit(p))) for p in (LATIN.script, ZH.script)]
+    for x in same:
+        assert df.where(~x).count() == 0
